@@ -1,15 +1,64 @@
-"""The corpus pipeline: stages that each call one training-data operator over all that is left."""
+"""The corpus pipeline: stages that each call one training-data operator over all that is left.
+
+Each stage takes (spark, docs, sf_dir). All but the last return the columns of documents; the last returns
+the pieces of packed sequences.
+"""
 
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-STAGES: list = []
 
+def quality_rules(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents that no quality rule rejects."""
+    from statuta.llm.quality_rules import filter_by_rules
+
+    return filter_by_rules(docs)
+
+
+def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """One document of each near-duplicate group."""
+    from statuta.llm.simhash import keep_one
+
+    return keep_one(docs, radius=4, size=4)
+
+
+def decontamination(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents that the benchmark does not contaminate."""
+    from statuta.llm.decontamination import decontaminate
+
+    return decontaminate(docs, spark.read.parquet(f"{sf_dir}/benchmark.parquet"), window=13, coverage=20)
+
+
+def secrets(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """All documents, their secrets blanked."""
+    from statuta.llm.secret_scan import redact
+
+    return redact(docs)
+
+
+def packing(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Pieces of sequences of at most 4096 tokens."""
+    from statuta.llm.packing import pack
+    from statuta.llm.queries import vocabulary_json
+
+    return pack(docs, vocabulary_json(), max_len=4096, end_id=2)
+
+
+STAGES = [
+    ("quality rules", quality_rules),
+    ("near duplicates", near_duplicates),
+    ("decontamination", decontamination),
+    ("secret scans", secrets),
+    ("packing", packing),
+]
+
+#: Token ids and fingerprints are not expressible in SQL; tests compare each stage with brute force.
 ORACLE_SQL = None
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """All stages over documents; each stage's rows are written to the shared scratch folder and read again."""
     from statuta.llm.common import materialize
 
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet")

@@ -5,6 +5,7 @@ from __future__ import annotations
 import functools
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -20,12 +21,81 @@ def vocabulary_json(name: str = "word_bpe_49k.json") -> str:
         return f.read()
 
 
+@functools.cache
+def unigram_pieces(name: str = "piece_bpe_32k.model") -> list[tuple[str, float]]:
+    """A public vocabulary's pieces and scores; read once on the driver and broadcast."""
+    import public_tokenizers
+
+    from statuta.llm.token_counts import pieces_of
+
+    return pieces_of(public_tokenizers.path(name))
+
+
 def op1_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     from statuta.llm.packing import pack
 
     return pack(table(spark, sf_dir, "documents"), vocabulary_json(), max_len=4096, end_id=2)
 
 
-QUERIES = {"op1_packing": op1_packing}
+def op2_secret_scans(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from statuta.llm.secret_scan import scan
+
+    return scan(table(spark, sf_dir, "documents"), scope=400).drop("found")
+
+
+def op3_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from statuta.llm.simhash import groups
+
+    return groups(table(spark, sf_dir, "documents"), radius=4, size=4, seed=42)
+
+
+def op4_lm_scoring(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from statuta.llm.language_model import score
+
+    return score(table(spark, sf_dir, "documents"), folds=7, held_out=2, deleted=3)
+
+
+def op5_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from statuta.llm.pii import scan
+
+    return scan(table(spark, sf_dir, "documents"))
+
+
+def op6_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from statuta.llm.sharding import assign
+
+    out = assign(table(spark, sf_dir, "documents"), shards=40)
+    return out.select("doc_id", "size", "text_crc32", F.lit("bytes").alias("law"), "shard", "slot", F.lit(None).cast("int").alias("grown_shard"))
+
+
+def op7_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from statuta.llm.quality_rules import judge
+
+    return judge(table(spark, sf_dir, "documents"))
+
+
+def op8_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from statuta.llm.decontamination import digest, scan
+
+    return digest(scan(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"), window=13))
+
+
+def op9_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from statuta.llm.token_counts import count_tokens
+
+    return count_tokens(table(spark, sf_dir, "documents"), unigram_pieces())
+
+
+def op10_quality_classifier(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from statuta.llm.quality_model import classify, learn
+
+    docs = table(spark, sf_dir, "documents")
+    return classify(docs, learn(docs, table(spark, sf_dir, "labels")))
+
+
+QUERIES = {
+    f.__name__: f
+    for f in (op1_packing, op2_secret_scans, op3_simhash, op4_lm_scoring, op5_pii, op6_sharding, op7_quality_rules, op8_decontamination, op9_token_counts, op10_quality_classifier)
+}
 
 ORACLES: dict[str, str] = {}
