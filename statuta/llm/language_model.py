@@ -230,17 +230,18 @@ def score(docs: DataFrame, folds: int = 7, held_out: int = 2, deleted: int = 3,
     its own; very long texts are only long blocks; an empty table gives no rows; other columns are not read.
     """
     table = blocks(docs, folds, held_out, deleted, block_tokens)
-    tokens = table.agg(F.coalesce(F.sum("n_tokens"), F.lit(0))).first()[0]
+    tokens, n_blocks = table.agg(F.coalesce(F.sum("n_tokens"), F.lit(0)), F.count(F.lit(1))).first()
     n_buckets = max(8, -(-tokens // bucket_keys))
     asked = requests(table, n_buckets)
     schema = "gram int, bucket int, block long, totals binary, rest binary, n long, n_rest long, distinct long"
-    answers = materialize(asked.groupBy("gram", "bucket").applyInArrow(answer, schema), "answers")
+    # as many tasks as hash ranges, so that what a task reads stays the same however large the corpus is
+    answers = materialize(asked.repartition(2 * n_buckets, "gram", "bucket").groupBy("gram", "bucket").applyInArrow(answer, schema), "answers")
     n, n_rest, v = answers.filter("block is null and gram = 1").agg(*[F.coalesce(F.sum(c), F.lit(0)) for c in ("n", "n_rest", "distinct")]).first()
     zero = 1.0 / (v + 1)
 
     def joined(kinds: DataFrame, column: str) -> DataFrame:
         got = answers.filter(f"block is not null and {column} is not null").groupBy("block").agg(F.collect_list(F.struct("gram", "bucket", column)).alias("answers"))
-        return kinds.join(got, "block").select("doc_ids", "ends", "words", "hashes", "answers", "kind")
+        return kinds.repartition(max(n_blocks, 1), "block").join(got, "block").select("doc_ids", "ends", "words", "hashes", "answers", "kind")
 
     def cells(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
