@@ -13,13 +13,15 @@ from pyspark.ml.functions import vector_to_array
 from pyspark.ml.linalg import SparseVector, VectorUDT
 from pyspark.ml.param.shared import HasInputCol, HasOutputCol
 from pyspark.ml.util import DefaultParamsReadable, DefaultParamsWritable
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.types import StructField, StructType
 from pyspark.sql.window import Window
 
 from statuta.functions import fields as X
 from statuta.operators import similarity as S
 from statuta.operators import text as T
+from statuta.session import scratch_path
 
 DENSE = (
     "has_deontic", "has_prohibition", "has_discretion", "modal_followed_by_verb", "names_party", "has_timeline", "has_evidence_noun", "len_words_norm", "digit_ratio", "caps_ratio", "punct_ratio",
@@ -121,29 +123,45 @@ def vectorize(texts: DataFrame, space: TermSpace, text: str = "text", key: str =
     norm = Window.partitionBy("id", "kind")
     rows = raw.withColumn("w", F.col("w") / F.sqrt(F.sum(F.col("w") * F.col("w")).over(norm)))
     gathered = rows.groupBy("id").agg(F.array_sort(F.collect_list(F.struct("index", "w"))).alias("pairs"))
-    base = texts.join(gathered, texts[key] == gathered["id"], "left")
-    if "id" != key:
-        base = base.drop("id")
+    base = texts.join(gathered.withColumnRenamed("id", "_id"), F.col(key) == F.col("_id"), "left").drop("_id")
     dense = X.modality_features(F.coalesce(F.col(text), F.lit("")))
     extra = F.array(*[dense[n].cast("double") for n in DENSE]) if space.dense else F.array().cast("array<double>")
     pairs = F.coalesce("pairs", F.array().cast("array<struct<index:int,w:double>>"))
     more = F.transform(extra, lambda v, i: F.struct((i + space.size).alias("index"), v.alias("w")))
     whole = F.filter(F.concat(pairs, more), lambda p: p["w"] != 0)
     size = space.size + (len(DENSE) if space.dense else 0)
-    vector = F.struct(F.lit(size).alias("size"), F.transform(whole, lambda p: p["index"]).alias("indices"), F.transform(whole, lambda p: p["w"]).alias("values"))
-    return base.withColumn("_v", vector).drop("pairs").withColumn("features", as_vector(F.col("_v"))).drop("_v")
+    parts = F.struct(F.lit(0).cast("tinyint").alias("type"), F.lit(size).alias("size"), F.transform(whole, lambda p: p["index"]).alias("indices"), F.transform(whole, lambda p: p["w"]).alias("values"))
+    return with_vectors(base.withColumn("features", parts).drop("pairs"))
 
 
-def as_vector(s: Column) -> Column:
-    """A vector column from struct<size, indices, values>."""
+def with_vectors(rows: DataFrame) -> DataFrame:
+    """The rows with ``features`` as a vector: a struct of a vector's parts, written once and read as the vector type."""
+    path = scratch_path(rows.sparkSession, "vectors")
+    rows.write.option("compression", "zstd").parquet(path)
+    schema = StructType([StructField(f.name, VectorUDT() if f.name == "features" else f.dataType) for f in rows.schema.fields])
+    return rows.sparkSession.read.schema(schema).parquet(path)
 
-    @F.pandas_udf(VectorUDT())
-    def build(size, indices, values):  # noqa: ANN001
-        import pandas as pd
 
-        return pd.Series([SparseVector(int(n), list(i), list(v)) for n, i, v in zip(size, indices, values)])
+def save_bundle(path: str, space: TermSpace, heads: dict[str, LogisticRegressionModel], labels: dict[str, list[str]] | None = None) -> None:
+    """Write the vocabulary, the heads and their labels below ``path``."""
+    space.terms.write.mode("overwrite").parquet(f"{path}/terms")
+    facts = [(k, F.lit(v)) for k, v in (("size", space.size), ("longest", space.longest), ("characters", space.characters), ("dense", space.dense))]
+    space.terms.sparkSession.range(1).select(*[v.alias(k) for k, v in facts]).write.mode("overwrite").parquet(f"{path}/space")
+    rows = [(n, (labels or {}).get(n, [])) for n in heads]
+    space.terms.sparkSession.createDataFrame(rows, "head string, labels array<string>").write.mode("overwrite").parquet(f"{path}/heads")
+    for name, model in heads.items():
+        model.write().overwrite().save(f"{path}/models/{name}")
 
-    return build(s["size"], s["indices"], s["values"])
+
+def load_bundle(spark: SparkSession, path: str) -> tuple[TermSpace, dict[str, LogisticRegressionModel], dict[str, list[str]]]:
+    """What ``save_bundle`` wrote, after one throw-away prediction with each head."""
+    s = spark.read.parquet(f"{path}/space").first()
+    space = TermSpace(spark.read.parquet(f"{path}/terms"), s["size"], s["longest"], s["characters"], s["dense"])
+    rows = spark.read.parquet(f"{path}/heads").collect()
+    heads = {r["head"]: LogisticRegressionModel.load(f"{path}/models/{r['head']}") for r in rows}
+    for model in heads.values():
+        model.predict(SparseVector(model.numFeatures, {}))
+    return space, heads, {r["head"]: list(r["labels"]) for r in rows}
 
 
 def balanced(rows: DataFrame, label: str = "label") -> DataFrame:
@@ -162,8 +180,8 @@ def fit_head(rows: DataFrame, label: str = "label", strength: float = 4.0, max_i
 
 def fit_labels(rows: DataFrame, label: str) -> tuple[LogisticRegressionModel, list[str]]:
     """A head for text labels, and the labels in the order of their numbers."""
-    index = StringIndexer(inputCol=label, outputCol="label", stringOrderType="alphabetAsc").fit(rows)
-    return fit_head(index.transform(rows).drop("weight")), index.labels
+    index = StringIndexer(inputCol=label, outputCol="_label", stringOrderType="alphabetAsc").fit(rows)
+    return fit_head(index.transform(rows), "_label"), index.labels
 
 
 def fit_one_vs_rest(rows: DataFrame, labels: Sequence[str], column: str) -> dict[str, LogisticRegressionModel]:

@@ -9,6 +9,7 @@ from pyspark.sql.window import Window
 from statuta.functions import fields as X
 from statuta.functions.columns import choose
 from statuta.operators.register import severity_at_least
+from statuta.session import materialize
 
 
 def with_days(register: DataFrame, as_of: Column) -> DataFrame:
@@ -83,7 +84,8 @@ def numbered(acts: DataFrame, buckets: int = 64) -> DataFrame:
     Rows are counted per range of ids, and a row's number is its place in the range plus the rows of the ranges before; no task sorts
     them all.
     """
-    ranged = acts.repartitionByRange(buckets, "obligation_id").withColumn("_range", F.spark_partition_id())
+    # written once, since two runs of a range exchange may draw different bounds
+    ranged = materialize(acts.repartitionByRange(buckets, "obligation_id").withColumn("_range", F.spark_partition_id()), "ranged")
     counts = ranged.groupBy("_range").agg(F.count(F.lit(1)).alias("_c"))
     before = counts.withColumn("_before", F.coalesce(F.sum("_c").over(Window.orderBy("_range").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)))
     place = F.row_number().over(Window.partitionBy("_range").orderBy("obligation_id"))

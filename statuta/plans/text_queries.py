@@ -90,10 +90,9 @@ def field_extraction(spark, d):
 
 
 def last_six_turns(spark, d):
-    rows = V.turns(spark, d)
-    last = rows.withColumn("n", F.row_number().over(Window.partitionBy("circular_id").orderBy(F.desc("id")))).filter("n <= 6")
-    cut = F.struct("id", F.concat(F.col("role"), F.lit(": "), F.substring(F.coalesce("text", F.lit("")), 1, 600)).alias("line"))
-    return last.groupBy("circular_id").agg(F.array_join(F.transform(F.array_sort(F.collect_list(cut)), lambda s: s["line"]), "\n").alias("dialogue"))
+    from statuta.operators.reports import dialogue_window
+
+    return dialogue_window(V.turns(spark, d), "circular_id", "id")
 
 
 def html_links(spark, d):

@@ -9,7 +9,7 @@ from pyspark.sql import DataFrame, SparkSession
 
 
 def get_session(app: str = "statuta", **conf: str) -> SparkSession:
-    """A session with the settings that the operators rely on; ``conf`` overrides with dots as underscores kept in the key."""
+    """A session with the settings that the operators rely on; ``conf`` adds settings or replaces these."""
     builder = SparkSession.builder.appName(app).config("spark.sql.session.timeZone", "UTC").config("spark.sql.adaptive.enabled", "true").config("spark.sql.adaptive.skewJoin.enabled", "true")
     for key, value in conf.items():
         builder = builder.config(key, value)
@@ -28,5 +28,13 @@ def scratch_path(spark: SparkSession, name: str) -> str:
 def materialize(df: DataFrame, name: str) -> DataFrame:
     """Write ``df`` as Parquet in the shared scratch folder and read it back; this cuts lineage and survives lost executors."""
     path = scratch_path(df.sparkSession, name)
-    df.write.parquet(path)
+    df.write.option("compression", "zstd").parquet(path)
     return df.sparkSession.read.schema(df.schema).parquet(path)
+
+
+def clear_scratch(spark: SparkSession) -> None:
+    """Delete this application's scratch tables; call it when no result that reads them is needed any more."""
+    base = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()
+    if base:
+        path = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(f"{base.rstrip('/')}/{spark.sparkContext.applicationId}")
+        path.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(path, True)
