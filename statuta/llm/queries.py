@@ -7,6 +7,8 @@ import functools
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from statuta.llm import oracles
+
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
@@ -98,4 +100,4 @@ QUERIES = {
     for f in (op1_packing, op2_secret_scans, op3_simhash, op4_lm_scoring, op5_pii, op6_sharding, op7_quality_rules, op8_decontamination, op9_token_counts, op10_quality_classifier)
 }
 
-ORACLES: dict[str, str] = {}
+ORACLES: dict[str, str] = dict(oracles.ORACLES)
