@@ -5,7 +5,8 @@ A fingerprint bit is set where more than half of the shingle hashes of a text se
 
 Only distinct fingerprints are compared, so copies cost nothing here. With ``radius`` differing bits spread
 over ``radius + 2`` blocks of bits, at least two blocks are equal; so each fingerprint goes to one shard for
-each pair of blocks, keyed by those bits, and every link lies whole in some shard. In a shard, a BK-tree holds
+each pair of blocks, keyed by those bits, and every link lies whole in some shard (for very many fingerprints there
+are more blocks, and three or more of them make a key). In a shard, a BK-tree holds
 the fingerprints, children keyed by their Hamming distance to the parent; a search follows only the edges
 within the radius. A found fingerprint leaves the tree and is searched for next, so a dense shard of n gives
 n - 1 links, never all pairs, and no component is cut. Shards beyond ``shard_rows`` fingerprints are dealt into
@@ -172,13 +173,25 @@ def links_of_batches(batches: Iterator[pa.RecordBatch], radius: int, small: int
         yield links(held_key, held_fp)
 
 
-def links(distinct: DataFrame, radius: int = 4, shard_rows: int = 2_000) -> DataFrame:
-    """Links (a, b) between distinct fingerprints (column fp) that connect all pairs within ``radius``."""
+def blocks_for(n: int, radius: int, usual: int = 64) -> int:
+    """Blocks of bits such that a shard of ``n`` spread-out fingerprints holds no more than about ``usual`` of them.
+
+    With more blocks more of them are equal in any linked pair, so keys are longer and shards smaller; the
+    links are the same.
+    """
     blocks = radius + 2
+    while blocks < 16 and n > usual << (64 * (blocks - radius) // blocks):
+        blocks += 1
+    return blocks
+
+
+def links(distinct: DataFrame, radius: int = 4, shard_rows: int = 2_000, blocks: int | None = None) -> DataFrame:
+    """Links (a, b) between distinct fingerprints (column fp) that connect all pairs within ``radius``."""
+    blocks = blocks or blocks_for(distinct.count(), radius)
     edges = [round(64 * i / blocks) for i in range(blocks + 1)]
     masks = [((1 << (b - a)) - 1) << a for a, b in zip(edges, edges[1:])]
     signed = lambda m: m - (1 << 64) if m >= 1 << 63 else m
-    keys = [F.xxhash64(F.lit(n), F.col("fp").bitwiseAND(F.lit(signed(x | y)))) for n, (x, y) in enumerate(combinations(masks, 2))]
+    keys = [F.xxhash64(F.lit(n), F.col("fp").bitwiseAND(F.lit(signed(sum(chosen))))) for n, chosen in enumerate(combinations(masks, blocks - radius))]
     keyed = distinct.select(F.explode(F.array(*keys)).alias("key"), "fp")
     # shards of one fingerprint link nothing; shards that are too large for one task are dealt into parts
     large = keyed.groupBy("key").agg(F.count(F.lit(1)).alias("n")).filter(F.col("n") > shard_rows)

@@ -235,13 +235,19 @@ def test_links_of_dense_shards(spark, seed):
                 v ^= 1 << rng.randrange(64)
             values.add(v)
     signed = [v - (1 << 64) if v >> 63 else v for v in sorted(values)]
-    for shard_rows in (20, 2000):
-        edges = links(spark.createDataFrame([(v,) for v in signed], "fp long"), 4, shard_rows)
+    for shard_rows, blocks in ((20, 6), (2000, None), (2000, 7)):
+        edges = links(spark.createDataFrame([(v,) for v in signed], "fp long"), 4, shard_rows, blocks)
         got = {r.node: r.root for r in components(edges).collect()}
         want = brute_components([(v, v % (1 << 64)) for v in signed], 4)
         assert {v: got.get(v, v) for v in signed} == {v: want[v % (1 << 64)] for v in signed}
 
 
+def test_blocks_follow_the_number_of_fingerprints():
+    from statuta.llm.simhash import blocks_for
+
+    assert [blocks_for(n, 4) for n in (0, 10**6, 10**8, 10**10, 10**12)] == [6, 6, 6, 8, 9]
+
+
 def test_components_of_long_chains(spark):
     from statuta.llm.simhash import components
 
