@@ -222,7 +222,7 @@ DIFF = (
     "WITH "
     + tf_sql("SELECT doc_id id, ' ' || coalesce(text, '') AS text FROM documents", 2, True)
     + """, sims AS (SELECT a.id a, b.id b, sum(a.weight * b.weight) s FROM wts a JOIN wts b USING (term) WHERE a.id % 100 = 0 AND b.id % 100 <> 0 GROUP BY 1, 2),
-  best AS (SELECT a, b, s FROM (SELECT *, row_number() OVER (PARTITION BY a ORDER BY s DESC, CAST(b AS VARCHAR)) n FROM sims WHERE s >= 0.62) WHERE n = 1),
+  best AS (SELECT a, b, s FROM (SELECT *, row_number() OVER (PARTITION BY a ORDER BY round(s, 9) DESC, CAST(b AS VARCHAR)) n FROM sims WHERE s >= 0.62) WHERE n = 1),
   docs AS (SELECT doc_id, CASE WHEN length(text) > 2000 THEN 'high' ELSE 'low' END sev, source, lang FROM documents),
   joined AS (SELECT CAST(x.doc_id AS VARCHAR) new_id, CAST(b AS VARCHAR) old_id, s, CASE WHEN b IS NOT NULL AND s < 0.92 THEN list_filter([CASE WHEN x.sev <> o.sev THEN 'severity: ' || o.sev || ' → ' || x.sev END,
     CASE WHEN x.source <> o.source THEN 'responsible party: ''' || o.source || ''' → ''' || x.source || '''' END, CASE WHEN x.lang <> o.lang THEN 'now also applies to: ' || x.lang END, CASE WHEN x.lang <> o.lang THEN 'no longer applies to: ' || o.lang END], lambda z: z IS NOT NULL) ELSE [] END ch
@@ -290,7 +290,7 @@ QUERIES = [
   grams AS (SELECT g, id, unnest(w) term FROM toks UNION ALL SELECT g, id, unnest(list_transform(range(1, len(w)), lambda i: w[i] || ' ' || w[i + 1])) FROM toks WHERE len(w) > 1), cnt AS (SELECT g, id, term, count(*) tf FROM grams GROUP BY 1, 2, 3),
   ndoc AS (SELECT g, count(DISTINCT id) n FROM cnt GROUP BY 1), dfs AS (SELECT g, term, count(*) df FROM cnt GROUP BY 1, 2), raw AS (SELECT g, id, term, tf * (ln((1 + n)::DOUBLE / (1 + df)) + 1) w FROM cnt JOIN dfs USING (g, term) JOIN ndoc USING (g)),
   nrm AS (SELECT g, id, sqrt(sum(w * w)) r FROM raw GROUP BY 1, 2), wts AS (SELECT g, id, term, w / r weight FROM raw JOIN nrm USING (g, id)),
-  sims AS (SELECT x.g, x.id a, y.id b, sum(x.weight * y.weight) s FROM wts x JOIN wts y USING (g, term) WHERE x.id <> y.id GROUP BY 1, 2, 3), r AS (SELECT *, row_number() OVER (PARTITION BY g, a ORDER BY s DESC, b) n FROM sims WHERE s >= 0.1)
+  sims AS (SELECT x.g, x.id a, y.id b, sum(x.weight * y.weight) s FROM wts x JOIN wts y USING (g, term) WHERE x.id <> y.id GROUP BY 1, 2, 3), r AS (SELECT *, row_number() OVER (PARTITION BY g, a ORDER BY round(s, 9) DESC, b) n FROM sims WHERE s >= 0.1)
   SELECT g circular_id, a, b, round_even(s, 6) similarity, n "rank" FROM r WHERE n <= 2""",
     ),
     (
@@ -300,25 +300,25 @@ QUERIES = [
         + f""", qtok AS (SELECT item_id q, list_filter(regexp_extract_all(lower(text), '[\\p{{L}}\\p{{M}}\\p{{N}}_]{{2,}}'), lambda x: x NOT IN ({", ".join(f"'{s}'" for s in STOPS)})) w FROM benchmark),
   qg AS (SELECT q, unnest(w) term FROM qtok UNION ALL SELECT q, unnest(list_transform(range(1, len(w)), lambda i: w[i] || ' ' || w[i + 1])) FROM qtok WHERE len(w) > 1), qc AS (SELECT q, term, count(*) tf FROM qg GROUP BY 1, 2),
   qr AS (SELECT q, term, (1 + ln(tf)) * (ln((1 + n)::DOUBLE / (1 + df)) + 1) w FROM qc JOIN dfs USING (term), ndoc), qn AS (SELECT q, sqrt(sum(w * w)) r FROM qr GROUP BY 1), qw AS (SELECT q, term, w / r w FROM qr JOIN qn USING (q)),
-  sims AS (SELECT q, id, sum(w * weight) s FROM qw JOIN wts USING (term) GROUP BY 1, 2), r AS (SELECT *, row_number() OVER (PARTITION BY q ORDER BY s DESC, id) n FROM sims) SELECT q question_id, id passage_id, round_even(s, 5) score FROM r WHERE n <= 5 AND s > 0""",
+  sims AS (SELECT q, id, sum(w * weight) s FROM qw JOIN wts USING (term) GROUP BY 1, 2), r AS (SELECT *, row_number() OVER (PARTITION BY q ORDER BY round(s, 9) DESC, id) n FROM sims) SELECT q question_id, id passage_id, round_even(s, 5) score FROM r WHERE n <= 5 AND s > 0""",
     ),
     (
         overlap_retrieval,
         """WITH q AS (SELECT item_id q, list_distinct(regexp_extract_all(lower(text), '[a-z]{3,}')) w FROM benchmark), qe AS (SELECT q, len(w) n, unnest(w) t FROM q), d AS (SELECT doc_id, unnest(list_distinct(regexp_extract_all(lower(coalesce(text, '')), '[a-z]{3,}'))) t FROM documents),
-  s AS (SELECT q, doc_id, count(*) / max(n)::DOUBLE s FROM qe JOIN d USING (t) GROUP BY 1, 2), r AS (SELECT *, row_number() OVER (PARTITION BY q ORDER BY s DESC, doc_id) k FROM s) SELECT q question_id, doc_id passage_id, round_even(s, 6) score FROM r WHERE k <= 5""",
+  s AS (SELECT q, doc_id, count(*) / max(n)::DOUBLE s FROM qe JOIN d USING (t) GROUP BY 1, 2), r AS (SELECT *, row_number() OVER (PARTITION BY q ORDER BY round(s, 9) DESC, doc_id) k FROM s) SELECT q question_id, doc_id passage_id, round_even(s, 6) score FROM r WHERE k <= 5""",
     ),
     (extractive_answers, None),
     (
         knn_l2,
         """WITH s AS (SELECT q.vec_id query_id, v.vec_id, 1 / (1 + list_sum(list_transform(list_zip(CAST(q.embedding AS DOUBLE[]), CAST(v.embedding AS DOUBLE[])), lambda z: (z[1] - z[2]) * (z[1] - z[2])))) s FROM embeddings q, embeddings v WHERE q.vec_id % 100 = 0 AND q.vec_id <> v.vec_id),
-  r AS (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY s DESC, vec_id) n FROM s WHERE s >= 0.3) SELECT query_id, vec_id, round_even(s, 5) similarity FROM r WHERE n <= 5""",
+  r AS (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY round(s, 9) DESC, vec_id) n FROM s WHERE s >= 0.3) SELECT query_id, vec_id, round_even(s, 5) similarity FROM r WHERE n <= 5""",
     ),
     (
         centroid_novelty,
         "WITH "
         + tf_sql("SELECT doc_id id, text FROM documents", 1)
         + """, fam AS (SELECT lang, count(DISTINCT doc_id) n FROM documents GROUP BY 1), mean AS (SELECT lang, term, sum(weight) / max(n) w FROM wts JOIN documents ON doc_id = id JOIN fam USING (lang) GROUP BY 1, 2), cn AS (SELECT lang, sqrt(sum(w * w)) r FROM mean GROUP BY 1),
-  cen AS (SELECT lang, term, w / r w FROM mean JOIN cn USING (lang)), s AS (SELECT id, lang, sum(weight * w) s FROM wts JOIN cen USING (term) GROUP BY 1, 2), b AS (SELECT *, row_number() OVER (PARTITION BY id ORDER BY s DESC, lang) n FROM s) SELECT id, lang AS "family", round_even(s, 5) similarity FROM b WHERE n = 1""",
+  cen AS (SELECT lang, term, w / r w FROM mean JOIN cn USING (lang)), s AS (SELECT id, lang, sum(weight * w) s FROM wts JOIN cen USING (term) GROUP BY 1, 2), b AS (SELECT *, row_number() OVER (PARTITION BY id ORDER BY round(s, 9) DESC, lang) n FROM s) SELECT id, lang AS "family", round_even(s, 5) similarity FROM b WHERE n = 1""",
     ),
     (lexical_diff, DIFF + " SELECT * FROM diff"),
     (
