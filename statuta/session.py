@@ -2,8 +2,11 @@
 
 from __future__ import annotations
 
+import os
+import shutil
 import tempfile
 import uuid
+from pathlib import Path
 
 from pyspark.sql import DataFrame, SparkSession
 
@@ -38,3 +41,14 @@ def clear_scratch(spark: SparkSession) -> None:
     if base:
         path = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(f"{base.rstrip('/')}/{spark.sparkContext.applicationId}")
         path.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(path, True)
+
+
+def ship_code(spark: SparkSession) -> None:
+    """Give the package to Python workers where they cannot find it by their own path; once per session."""
+    root = Path(__file__).resolve().parents[1]
+    known = {os.path.realpath(p) for p in [os.getcwd(), *os.environ.get("PYTHONPATH", "").split(os.pathsep)] if p}
+    if str(root) in known or getattr(spark.sparkContext, "_statuta_shipped", False):
+        return
+    archive = shutil.make_archive(os.path.join(tempfile.mkdtemp(prefix="statuta-"), "statuta"), "zip", root, "statuta")
+    spark.sparkContext.addPyFile(archive)
+    spark.sparkContext._statuta_shipped = True
