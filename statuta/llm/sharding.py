@@ -78,7 +78,8 @@ def find_splitters(rows: DataFrame, shares: list[float], tolerance: float, probe
             i = max(1, bisect.bisect_left(order, True, key=lambda p: known[p][0] >= goal))
             low, high = order[i - 1], order[i]
             near = min(abs(known[p][0] - goal) for p in (low, high))
-            if near > tolerance and high - low > 1:
+            # a single row between two probes cannot be cut
+            if near > tolerance and high - low > 1 and known[high][1] - known[low][1] > 1:
                 step = max(1, (high - low) // (probes_each + 1))
                 probes.update(range(low + step, high, step))
         if not probes:
