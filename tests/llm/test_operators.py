@@ -372,6 +372,16 @@ def test_sharding(docs, rows, empty):
     assert assign(empty).count() == 0
 
 
+def test_few_rows_in_many_shards(spark):
+    from statuta.llm.sharding import assign
+
+    for n in (1, 2, 7):
+        df = spark.range(n).select(F.col("id").alias("doc_id"), F.repeat(F.lit("x"), (F.col("id") * 50).cast("int")).alias("text"))
+        got = assign(df, shards=40).collect()
+        assert len(got) == n and all(0 <= r.shard < 40 for r in got)
+        assert all(sorted(r.slot for r in got if r.shard == s) == list(range(sum(r.shard == s for r in got))) for s in range(40))
+
+
 def test_a_third_of_all_rows_is_one_text(spark):
     from statuta.llm.sharding import assign
 
