@@ -65,11 +65,11 @@ def bytes_below(rows: DataFrame, probes: list[int]) -> tuple[list[int], list[int
 def find_splitters(rows: DataFrame, shares: list[float], tolerance: float, probes_each: int = 31, rounds: int = 40) -> list[tuple[int, int, int]]:
     """For each share of the bytes, a boundary (key, bytes below, rows below) within ``tolerance`` bytes.
 
-    Where rows that weigh no more than the heaviest one are left between two probes, the nearer side is taken,
-    so a boundary is off by half the heaviest row at most; so it is where one key's rows alone weigh more.
+    Where a single row or key is left between two probes and weighs more than that, the nearer of its two sides
+    is taken; a heavy row elsewhere in the table changes no boundary.
     """
     top = 1 << 128
-    total, n, heaviest = rows.agg(F.coalesce(F.sum("size"), F.lit(0)), F.count(F.lit(1)), F.coalesce(F.max("size"), F.lit(0))).first()
+    total, n = rows.agg(F.coalesce(F.sum("size"), F.lit(0)), F.count(F.lit(1))).first()
     known: dict[int, tuple[int, int]] = {0: (0, 0), top: (total, n)}
     order = [0, top]
     for _ in range(rounds):
@@ -79,8 +79,8 @@ def find_splitters(rows: DataFrame, shares: list[float], tolerance: float, probe
             i = max(1, bisect.bisect_left(order, True, key=lambda p: known[p][0] >= goal))
             low, high = order[i - 1], order[i]
             near = min(abs(known[p][0] - goal) for p in (low, high))
-            # one row cannot be cut, and a few rows that weigh no more than the heaviest one need not be
-            if near > tolerance and high - low > 1 and known[high][0] - known[low][0] > heaviest:
+            # a single row between two probes cannot be cut
+            if near > tolerance and high - low > 1 and known[high][1] - known[low][1] > 1:
                 step = max(1, (high - low) // (probes_each + 1))
                 probes.update(range(low + step, high, step))
         if not probes:

@@ -391,6 +391,26 @@ def test_a_third_of_all_rows_is_one_text(spark):
     assert len(got) == 10 and all(abs(r.b - total / 10) < 60 and r.m == r.n - 1 for r in got)
 
 
+def test_one_very_long_document_moves_no_other_boundary(spark):
+    from statuta.llm.sharding import assign
+
+    text = F.when(F.col("id") == 77, F.repeat(F.lit("x"), 90_000)).otherwise(F.lpad(F.col("id").cast("string"), 84, "text "))
+    got = assign(spark.range(20_000).select(F.col("id").alias("doc_id"), text.alias("text")), shards=40).orderBy("shard", "slot").collect()
+    total, at, long, ends = sum(r["size"] for r in got), 0, (0, 0), [0] * 40
+    for r in got:
+        long = (at, at + r["size"]) if r.doc_id == 77 else long
+        at += r["size"]
+        ends[r.shard] = at
+    assert long[1] - long[0] > total / 32
+    for s in range(39):
+        goal = total * (s + 1) / 40
+        if long[0] < goal < long[1]:
+            assert ends[s] == min(long, key=lambda e: abs(e - goal))
+        else:
+            assert abs(ends[s] - goal) <= max(100, total / 40 / 1000)
+    assert all(sorted(r.slot for r in got if r.shard == s) == list(range(sum(r.shard == s for r in got))) for s in range(40))
+
+
 # ---------------------------------------------------------------- quality rules
 
 
