@@ -22,7 +22,7 @@ from itertools import combinations
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from statuta.llm.common import materialize
@@ -68,15 +68,17 @@ def fingerprint(text: str | None, size: int = 4, seed: int = 42) -> int:
     return int(np.packbits(2 * bit_counts(h) > len(h), bitorder="little").view("<u8")[0])
 
 
-def fingerprints(docs: DataFrame, size: int = 4, seed: int = 42) -> DataFrame:
-    """doc_id and fp (the fingerprint's bits as a signed long) of every row."""
+def fingerprints(docs: DataFrame, size: int = 4, seed: int = 42, tag: str | None = None) -> DataFrame:
+    """doc_id, the long column ``tag`` where one is named, and fp (the fingerprint's bits as a signed long) of every row."""
+    names = ["doc_id", tag] if tag else ["doc_id"]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            fp = np.asarray([fingerprint(t.as_py(), size, seed) for t in batch.column(1)], np.uint64)
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(fp.view(np.int64))], ["doc_id", "fp"])
+            fp = np.asarray([fingerprint(t.as_py(), size, seed) for t in batch.column(len(names))], np.uint64)
+            yield pa.RecordBatch.from_arrays([*batch.columns[:-1], pa.array(fp.view(np.int64))], [*names, "fp"])
 
-    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text")).mapInArrow(run, "doc_id long, fp long")
+    columns = [F.col(c).cast("long").alias(c) for c in names]
+    return docs.select(*columns, F.col("text").cast("string").alias("text")).mapInArrow(run, ", ".join(f"{c} long" for c in [*names, "fp"]))
 
 
 class BKTree:
@@ -239,6 +241,13 @@ def components(edges: DataFrame, max_rounds: int = 60) -> DataFrame:
     return now.groupBy("a").agg(F.min("b").alias("root")).withColumnRenamed("a", "node")
 
 
+def rooted_by(marked: DataFrame, name: Column, radius: int, shard_rows: int) -> DataFrame:
+    """Each distinct fingerprint: fp, least (the least ``name`` of its rows) and root, which its whole component shares."""
+    distinct = materialize(marked.groupBy("fp").agg(F.min(name).alias("least")), "distinct-fingerprints")
+    roots = components(links(distinct.select("fp"), radius, shard_rows))
+    return distinct.join(roots, distinct["fp"] == roots["node"], "left").select("fp", "least", F.coalesce("root", "fp").alias("root"))
+
+
 def groups(docs: DataFrame, radius: int = 4, size: int = 4, seed: int = 42, shard_rows: int = 2_000) -> DataFrame:
     """Per row: doc_id, fingerprint (16 hex digits) and component_id, the least doc_id reachable by links.
 
@@ -247,10 +256,7 @@ def groups(docs: DataFrame, radius: int = 4, size: int = 4, seed: int = 42, shar
     own; an empty table gives no rows.
     """
     marked = materialize(fingerprints(docs, size, seed), "fingerprints")
-    distinct = materialize(marked.groupBy("fp").agg(F.min("doc_id").alias("least")), "distinct-fingerprints")
-    roots = components(links(distinct.select("fp"), radius, shard_rows))
-    rooted = distinct.join(roots, distinct["fp"] == roots["node"], "left").select("fp", "least", F.coalesce("root", "fp").alias("root"))
-    rooted = materialize(rooted, "rooted")
+    rooted = materialize(rooted_by(marked, F.col("doc_id"), radius, shard_rows), "rooted")
     named = rooted.groupBy("root").agg(F.min("least").alias("component_id"), F.count(F.lit(1)).alias("n"))
     several = named.filter("n > 1").select("root", "component_id")
     by_fp = rooted.join(several, "root", "left").select("fp", F.coalesce("component_id", "least").alias("component_id"))
@@ -263,10 +269,14 @@ def with_components(marked: DataFrame, by_fp: DataFrame) -> DataFrame:
     return marked.join(by_fp, "fp").select("doc_id", F.lpad(F.lower(F.hex("fp")), 16, "0").alias("fingerprint"), "component_id")
 
 
-def keep_one(docs: DataFrame, **options) -> DataFrame:
-    """One document of each group: the row whose doc_id names its component, with all its columns.
+def keep_one(docs: DataFrame, radius: int = 4, size: int = 4, seed: int = 42, shard_rows: int = 2_000) -> DataFrame:
+    """One row of each group, with all its columns: the one with the least doc_id.
 
-    Rows that repeat that doc_id all stay; rows with a null doc_id stay only where their component has no id.
+    Rows are told apart by a tag that is written once, not by their ids: of rows that repeat an id just one
+    stays, and a row with a null doc_id stays only where its component has no id.
     """
-    kept = groups(docs, **options).filter(F.col("doc_id").eqNullSafe(F.col("component_id"))).select(F.col("doc_id").alias("_kept")).distinct()
-    return docs.join(kept, F.col("doc_id").eqNullSafe(F.col("_kept")), "left_semi")
+    tagged = materialize(docs.withColumn("_tag", F.monotonically_increasing_id()), "tagged")
+    marked = materialize(fingerprints(tagged, size, seed, "_tag"), "fingerprints")
+    name = F.struct(F.col("doc_id").isNull().alias("no_id"), "doc_id", "_tag")
+    kept = rooted_by(marked, name, radius, shard_rows).groupBy("root").agg(F.min("least").alias("least")).select("least._tag")
+    return tagged.join(kept, "_tag", "left_semi").select(*docs.columns)

@@ -242,6 +242,17 @@ def test_links_of_dense_shards(spark, seed):
         assert {v: got.get(v, v) for v in signed} == {v: want[v % (1 << 64)] for v in signed}
 
 
+def test_one_row_of_each_group_stays(spark):
+    from statuta.llm.simhash import keep_one
+
+    rng = random.Random(3)
+    a, b, c, d, e, f = (" ".join(f"w{rng.randrange(10**6)}" for _ in range(60)) for _ in range(6))
+    rows = [(1, a), (1, a), (1, a.upper()), (0, b), (1, b.upper()), (None, c), (None, c), (None, d), (7, d), (None, e), (9, f), (8, f)]
+    got = keep_one(spark.createDataFrame(rows, "doc_id long, text string").repartition(3))
+    assert got.columns == ["doc_id", "text"]
+    assert sorted(((r.doc_id, r.text.lower()) for r in got.collect()), key=str) == sorted([(1, a), (0, b), (None, c), (7, d), (None, e), (8, f)], key=str)
+
+
 def test_blocks_follow_the_number_of_fingerprints():
     from statuta.llm.simhash import blocks_for
 
