@@ -3,7 +3,7 @@
 The automaton is built over the items' words and sent to every task; documents stream through it, and each
 position carries the length of the longest item passage that ends there. Passages of a whole window are
 hits. The automaton's size follows the test items; items beyond ``block_words`` words go into further
-automata, through which the documents stream in turn, so what a task holds stays bounded.
+automata. All are built on the driver and held at once by each worker, so both need room for the whole item table.
 """
 
 from __future__ import annotations
