@@ -1,16 +1,22 @@
-"""SimHash near-duplicate groups with BK-trees over shards of fingerprints.
+"""SimHash near-dedup with BK-trees over shards of fingerprints.
 
 A fingerprint bit is set where more than half of the shingle hashes of a text set it. Fingerprints within
 ``radius`` bits are linked, and the components of the links are the groups.
 
 Only distinct fingerprints are compared, so copies cost nothing here. With ``radius`` differing bits spread
-over ``radius + 2`` blocks of bits, at least two blocks are equal; so each fingerprint goes to one shard for
-each pair of blocks, keyed by those bits, and every link lies whole in some shard (for very many fingerprints there
-are more blocks, and three or more of them make a key). In a shard, a BK-tree holds
-the fingerprints, children keyed by their Hamming distance to the parent; a search follows only the edges
-within the radius. A found fingerprint leaves the tree and is searched for next, so a dense shard of n gives
-n - 1 links, never all pairs, and no component is cut. Shards beyond ``shard_rows`` fingerprints are dealt into
-parts, and each pair of parts is a task of its own.
+over ``radius + 1`` blocks of bits, at least one block is equal; so each fingerprint goes to one shard for
+each block, keyed by that block's bits, and every link lies whole in some shard. For very many fingerprints
+there are more blocks, and two or more of them make a key, so that shards stay of about the same size.
+
+In each shard, whatever its size, a BK-tree holds the fingerprints, children keyed by their Hamming distance to the
+parent; a search follows only the edges within the radius of the distance to the node, and no edge below
+which all are found already. What is found is searched for next and is not found again, so a dense shard of
+n gives about n links, never all pairs, and no component is cut.
+
+A shard of more than ``shard_rows`` fingerprints is dealt again by further blocks of its bits, which is linear in
+its rows and loses no link; only what stays together even then (a dense cloud around one text) and is still larger is dealt
+into parts, each pair of parts a task. Trees are built where their shard's rows are, so they travel by
+shuffle: their number grows with the corpus and has no bound that would allow a broadcast.
 
 The links are joined into components by rounds of joins over shared tables, none of it on the driver.
 """
@@ -81,132 +87,195 @@ def fingerprints(docs: DataFrame, size: int = 4, seed: int = 42, tag: str | None
     return docs.select(*columns, F.col("text").cast("string").alias("text")).mapInArrow(run, ", ".join(f"{c} long" for c in [*names, "fp"]))
 
 
-class BKTree:
-    """A BK-tree over distinct 64-bit numbers. Leaves hold up to ``leaf`` of them and are compared at once."""
-
-    def __init__(self, values: np.ndarray, leaf: int = 48):
-        self.values, self.alive = values, np.ones(len(values), bool)
-        self.root = self._grow(np.arange(len(values)), leaf)
-
-    def _grow(self, places: np.ndarray, leaf: int):
-        if len(places) <= leaf:
-            return places
-        pivot, rest = int(places[0]), places[1:]
-        distance = np.bitwise_count(self.values[rest] ^ self.values[pivot])
-        return pivot, {int(d): self._grow(rest[distance == d], leaf) for d in np.unique(distance)}
-
-    def take(self, place: int, radius: int) -> list[int]:
-        """Places still in the tree within ``radius`` of the value at ``place``; they leave the tree."""
-        value, out, stack = self.values[place], [], [self.root]
-        while stack:
-            node = stack.pop()
-            if isinstance(node, tuple):
-                pivot, children = node
-                d = int(np.bitwise_count(self.values[pivot] ^ value))
-                if d <= radius and self.alive[pivot]:
-                    out.append(pivot)
-                stack += [child for k, child in children.items() if d - radius <= k <= d + radius]
-            else:
-                live = node[self.alive[node]]
-                out += live[np.bitwise_count(self.values[live] ^ value) <= radius].tolist()
-        self.alive[out] = False
-        return out
-
-
-def shard_links(values: np.ndarray, radius: int) -> list[tuple[int, int]]:
-    """Links (places) that connect just what the pairs within ``radius`` connect: a tree for each component."""
-    tree, links = BKTree(values), []
-    for root in range(len(values)):
-        if not tree.alive[root]:
-            continue
-        tree.alive[root] = False
-        todo = [root]
-        while todo:
-            at = todo.pop()
-            found = tree.take(at, radius)
-            links += [(at, f) for f in found]
-            todo += found
-    return links
-
-
-def _small_groups(key: np.ndarray, fp: np.ndarray, starts: np.ndarray, sizes: np.ndarray, radius: int, most: int) -> tuple[list, list]:
-    """Links within groups of 2 to ``most`` rows, by comparing rows at each offset at once."""
-    left, right = [], []
-    for offset in range(1, most):
-        groups = (sizes > offset) & (sizes <= most)
-        if not groups.any():
-            continue
-        reps = sizes[groups] - offset
-        first = np.repeat(starts[groups] - np.concatenate(([0], np.cumsum(reps)[:-1])), reps) + np.arange(reps.sum())
-        near = first[np.bitwise_count(fp[first] ^ fp[first + offset]) <= radius]
-        left.append(fp[near])
-        right.append(fp[near + offset])
-    return left, right
+class BKForest:
+    """BK-trees over 64-bit numbers, one for each group; equal numbers may be in several groups, not twice in one.
 
+    All trees lie in the same arrays and are grown and searched together, level by level. ``group`` is sorted.
+    Node i is the number ``values[i]``; ``child_code`` sorts the children by (parent, distance to the parent).
+    """
 
-def links_of_batches(batches: Iterator[pa.RecordBatch], radius: int, small: int = 8) -> Iterator[pa.RecordBatch]:
-    """Rows (key, fp) sorted by key -> links (a, b) between fingerprints of a key."""
+    def __init__(self, group: np.ndarray, values: np.ndarray):
+        n = len(values)
+        self.values, self.n = values, n
+        starts = np.flatnonzero(np.concatenate(([True], group[1:] != group[:-1]))) if n else np.empty(0, np.int64)
+        sizes = np.diff(np.concatenate((starts, [n])))
+        self.group = np.repeat(np.arange(len(starts)), sizes)
+        self.root = np.repeat(starts, sizes)
+        self.parent, self.edge = np.full(n, -1, np.int64), np.zeros(n, np.int64)
+        self.visits = 0
+        self._grow()
+
+    def _grow(self) -> None:
+        """Each number goes down from its root; the first to come to a free edge becomes the child there."""
+        moving = np.flatnonzero(self.root != np.arange(self.n))
+        at = self.root[moving]
+        while len(moving):
+            distance = np.bitwise_count(self.values[moving] ^ self.values[at]).astype(np.int64)
+            code = at * 65 + distance
+            order = np.argsort(code, kind="stable")
+            first = np.concatenate(([True], code[order][1:] != code[order][:-1]))
+            child = moving[order][first]
+            self.parent[child], self.edge[child] = at[order][first], distance[order][first]
+            at = np.empty_like(at)
+            at[order] = child[np.cumsum(first) - 1]
+            on = at != moving
+            moving, at = moving[on], at[on]
+        inner = np.flatnonzero(self.parent >= 0)
+        code = self.parent[inner] * 65 + self.edge[inner]
+        order = np.argsort(code)
+        self.child_code, self.child = code[order], inner[order]
+        self.alive = np.ones(self.n, bool)
+        self.below = np.ones(self.n, np.int64)  # how many in the subtree are still to be found, itself included
+        depth, level, at = np.zeros(self.n, np.int64), 0, inner
+        up = self.parent[inner]
+        while len(at):
+            depth[at] += 1
+            on = self.parent[up] >= 0
+            at, up = at[on], self.parent[up[on]]
+            level += 1
+        for d in range(level, 0, -1):
+            nodes = np.flatnonzero(depth == d)
+            np.add.at(self.below, self.parent[nodes], self.below[nodes])
+
+    def search(self, queries: np.ndarray, radius: int) -> tuple[np.ndarray, np.ndarray]:
+        """Pairs (query, node) of alive nodes of the query's tree within ``radius``."""
+        q, at = queries, self.root[queries]
+        found_q, found = [np.empty(0, np.int64)], [np.empty(0, np.int64)]
+        while len(q):
+            self.visits += len(q)
+            d = np.bitwise_count(self.values[q] ^ self.values[at]).astype(np.int64)
+            hit = (d <= radius) & self.alive[at]
+            found_q.append(q[hit])
+            found.append(at[hit])
+            # only the edges from d - radius to d + radius
+            low = np.searchsorted(self.child_code, at * 65 + np.maximum(d - radius, 0))
+            high = np.searchsorted(self.child_code, at * 65 + np.minimum(d + radius, 64), "right")
+            n = high - low
+            place = np.repeat(low - np.concatenate(([0], np.cumsum(n)[:-1])), n) + np.arange(n.sum())
+            at, q = self.child[place], np.repeat(q, n)
+            on = self.below[at] > 0
+            at, q = at[on], q[on]
+        return np.concatenate(found_q), np.concatenate(found)
+
+    def take(self, nodes: np.ndarray) -> None:
+        """These alive nodes are not to be found any more."""
+        self.alive[nodes] = False
+        while len(nodes):
+            np.subtract.at(self.below, nodes, 1)
+            up = self.parent[nodes]
+            nodes = up[up >= 0]
+
+    def links(self, radius: int, width: int = 16) -> tuple[np.ndarray, np.ndarray]:
+        """Links (places) that connect just what the pairs within ``radius`` connect, in each group.
+
+        Each node is searched for once: of each group up to ``width`` at a time of those that were found, else one
+        other. So a group has one component under way at a time, and one link to each found node is enough.
+        """
+        left, right = [np.empty(0, np.int64)], [np.empty(0, np.int64)]
+        pending, waiting = np.arange(self.n), np.zeros(self.n, bool)
+
+        def first_of_groups(nodes: np.ndarray, width: int) -> np.ndarray:
+            if not len(nodes):
+                return nodes
+            g = self.group[nodes]
+            starts = np.flatnonzero(np.concatenate(([True], g[1:] != g[:-1])))
+            rank = np.arange(len(nodes)) - np.repeat(starts, np.diff(np.concatenate((starts, [len(nodes)]))))
+            return nodes[rank < width]
+
+        while len(pending):
+            found_before = waiting[pending]
+            now, fresh = first_of_groups(pending[found_before], width), pending[~found_before]
+            busy = np.zeros(self.group[-1] + 1, bool)
+            busy[self.group[now]] = True
+            fresh = first_of_groups(fresh[~busy[self.group[fresh]]], 1)
+            self.take(fresh)
+            asked = np.concatenate((now, fresh))
+            q, node = self.search(asked, radius)
+            node, first = np.unique(node, return_index=True)
+            left.append(q[first])
+            right.append(node)
+            self.take(node)
+            waiting[node] = True
+            done = np.zeros(self.n, bool)
+            done[asked] = True
+            pending = pending[~done[pending]]
+        return np.concatenate(left), np.concatenate(right)
+
+
+def links_of_batches(batches: Iterator[pa.RecordBatch], radius: int, rows: int = 100_000) -> Iterator[pa.RecordBatch]:
+    """Rows (key, fp) sorted by both, none twice -> links (a, b) between fingerprints of a key, about ``rows`` rows at a time."""
 
     def links(key: np.ndarray, fp: np.ndarray) -> pa.RecordBatch:
-        starts = np.flatnonzero(np.concatenate(([True], key[1:] != key[:-1])))
-        sizes = np.diff(np.concatenate((starts, [len(key)])))
-        left, right = _small_groups(key, fp, starts, sizes, radius, small)
-        for s, n in zip(starts[sizes > small].tolist(), sizes[sizes > small].tolist()):
-            values = np.unique(fp[s : s + n])
-            if found := shard_links(values, radius):
-                a, b = np.asarray(found).T
-                left.append(values[a])
-                right.append(values[b])
-        a = np.concatenate([np.empty(0, np.uint64), *left]).view(np.int64)
-        b = np.concatenate([np.empty(0, np.uint64), *right]).view(np.int64)
-        return pa.RecordBatch.from_arrays([pa.array(a), pa.array(b)], ["a", "b"])
-
-    held_key, held_fp = np.empty(0, np.int64), np.empty(0, np.uint64)
+        new = np.concatenate(([True], key[1:] != key[:-1]))
+        sizes = np.diff(np.concatenate((np.flatnonzero(new), [len(key)])))
+        several = np.repeat(sizes > 1, sizes)  # a single fingerprint has no links
+        key, fp = key[several], fp[several]
+        a, b = BKForest(key, fp).links(radius)
+        return pa.RecordBatch.from_arrays([pa.array(fp[a].view(np.int64)), pa.array(fp[b].view(np.int64))], ["a", "b"])
+
+    keys, fps, held = [], [], 0
     for batch in batches:
-        key = np.concatenate((held_key, batch.column(0).to_numpy()))
-        fp = np.concatenate((held_fp, batch.column(1).to_numpy().view(np.uint64)))
+        key, fp = batch.column(0).to_numpy(), batch.column(1).to_numpy().view(np.uint64)
         if not len(key):
             continue
-        cut = int(np.searchsorted(key, key[-1], "left")) if len(key) and (np.diff(key) >= 0).all() else int(np.flatnonzero(key != key[-1])[-1] + 1 if (key != key[-1]).any() else 0)
-        if cut:
-            yield links(key[:cut], fp[:cut])
-        held_key, held_fp = key[cut:], fp[cut:]
-    if len(held_key):
-        yield links(held_key, held_fp)
-
-
-def blocks_for(n: int, radius: int, usual: int = 64) -> int:
+        # the last key of what is held may go on in this batch
+        cut = int(np.searchsorted(key, key[-1], "left"))
+        if held + cut >= rows and (cut or keys[-1][-1] != key[0]):
+            yield links(np.concatenate([*keys, key[:cut]]), np.concatenate([*fps, fp[:cut]]))
+            keys, fps, held = [], [], 0
+            key, fp = key[cut:], fp[cut:]
+        keys.append(key)
+        fps.append(fp)
+        held += len(key)
+    if held:
+        yield links(np.concatenate(keys), np.concatenate(fps))
+
+
+def blocks_for(n: int, radius: int, usual: int = 64, fewest: int | None = None) -> int:
     """Blocks of bits such that a shard of ``n`` spread-out fingerprints holds no more than about ``usual`` of them.
 
     With more blocks more of them are equal in any linked pair, so keys are longer and shards smaller; the
     links are the same.
     """
-    blocks = radius + 2
+    blocks = fewest or radius + 2
     while blocks < 16 and n > usual << (64 * (blocks - radius) // blocks):
         blocks += 1
     return blocks
 
 
-def links(distinct: DataFrame, radius: int = 4, shard_rows: int = 2_000, blocks: int | None = None) -> DataFrame:
-    """Links (a, b) between distinct fingerprints (column fp) that connect all pairs within ``radius``."""
-    blocks = blocks or blocks_for(distinct.count(), radius)
+def block_keys(fp: Column, radius: int, blocks: int, *outer: Column) -> Column:
+    """The keys of the shards that a fingerprint goes to: one for each choice of ``blocks - radius`` blocks."""
     edges = [round(64 * i / blocks) for i in range(blocks + 1)]
     masks = [((1 << (b - a)) - 1) << a for a, b in zip(edges, edges[1:])]
     signed = lambda m: m - (1 << 64) if m >= 1 << 63 else m
-    keys = [F.xxhash64(F.lit(n), F.col("fp").bitwiseAND(F.lit(signed(sum(chosen))))) for n, chosen in enumerate(combinations(masks, blocks - radius))]
-    keyed = distinct.select(F.explode(F.array(*keys)).alias("key"), "fp")
-    # shards of one fingerprint link nothing; shards that are too large for one task are dealt into parts
-    large = keyed.groupBy("key").agg(F.count(F.lit(1)).alias("n")).filter(F.col("n") > shard_rows)
-    large = materialize(large.select("key", F.ceil(F.col("n") / shard_rows).cast("int").alias("parts")), "large-shards")
-    if large.isEmpty():
-        dealt = keyed
-    else:
-        n_large = large.count()
-        parted = keyed.join(F.broadcast(large) if n_large < 50_000 else large, "key", "left")
+    return F.array(*[F.xxhash64(*outer, F.lit(blocks), F.lit(n), fp.bitwiseAND(F.lit(signed(sum(chosen))))) for n, chosen in enumerate(combinations(masks, blocks - radius))])
+
+
+def links(distinct: DataFrame, radius: int = 4, shard_rows: int = 100_000, blocks: int | None = None, usual: int = 512) -> DataFrame:
+    """Links (a, b) between distinct fingerprints (column fp) that connect all pairs within ``radius``.
+
+    Shards have about ``usual`` fingerprints at most where these are spread out. No shard of over ``shard_rows``
+    meets a single task: it is dealt by three more blocks of bits, then into parts. An empty table has no links.
+    """
+    blocks = blocks or blocks_for(distinct.count(), radius, usual, radius + 1)
+    keyed = distinct.select(F.explode(block_keys(F.col("fp"), radius, blocks)).alias("key"), "fp")
+
+    def large(of: DataFrame, name: str) -> DataFrame:
+        """The few shards that are too large for one task, and into how many parts each would go."""
+        counted = of.groupBy("key").agg(F.count(F.lit(1)).alias("n")).filter(F.col("n") > shard_rows)
+        return materialize(counted.select("key", F.ceil(F.col("n") / shard_rows).cast("int").alias("parts")), name)
+
+    hot = large(keyed, "large-shards")
+    if not hot.isEmpty():
+        by_key = keyed.join(hot, "key", "left")
+        again = by_key.filter(F.col("parts").isNotNull()).select(F.explode(block_keys(F.col("fp"), radius, blocks + 3, F.col("key"))).alias("key"), "fp")
+        dense = large(again, "dense-shards")
+        parted = again.join(dense, "key", "left")
         own = F.pmod(F.xxhash64(F.lit(-1), F.col("fp")), F.col("parts")).cast("int")
         pairs = F.transform(F.sequence(F.lit(0), F.col("parts") - 1), lambda j: F.xxhash64("key", F.least(j, own), F.greatest(j, own)))
         dealt = parted.select(F.explode(F.when(F.col("parts").isNull(), F.array("key")).otherwise(pairs)).alias("key"), "fp")
-    shards = dealt.repartition("key").sortWithinPartitions("key")
+        keyed = by_key.filter(F.col("parts").isNull()).select("key", "fp").unionByName(dealt)
+    shards = keyed.repartition("key").sortWithinPartitions("key", "fp")
     return shards.mapInArrow(lambda it: links_of_batches(it, radius), "a long, b long")
 
 
@@ -248,7 +317,7 @@ def rooted_by(marked: DataFrame, name: Column, radius: int, shard_rows: int) ->
     return distinct.join(roots, distinct["fp"] == roots["node"], "left").select("fp", "least", F.coalesce("root", "fp").alias("root"))
 
 
-def groups(docs: DataFrame, radius: int = 4, size: int = 4, seed: int = 42, shard_rows: int = 2_000) -> DataFrame:
+def groups(docs: DataFrame, radius: int = 4, size: int = 4, seed: int = 42, shard_rows: int = 100_000) -> DataFrame:
     """Per row: doc_id, fingerprint (16 hex digits) and component_id, the least doc_id reachable by links.
 
     Null and blank texts have fingerprint 0 and are linked like any other; null ids take part in links but
@@ -269,14 +338,15 @@ def with_components(marked: DataFrame, by_fp: DataFrame) -> DataFrame:
     return marked.join(by_fp, "fp").select("doc_id", F.lpad(F.lower(F.hex("fp")), 16, "0").alias("fingerprint"), "component_id")
 
 
-def keep_one(docs: DataFrame, radius: int = 4, size: int = 4, seed: int = 42, shard_rows: int = 2_000) -> DataFrame:
+def keep_one(docs: DataFrame, radius: int = 4, size: int = 4, seed: int = 42, shard_rows: int = 100_000) -> DataFrame:
     """One row of each group, with all its columns: the one with the least doc_id.
 
     Rows are told apart by a tag that is written once, not by their ids: of rows that repeat an id just one
-    stays, and a row with a null doc_id stays only where its component has no id.
+    stays, and a row with a null doc_id stays only where its component has no id. Null and blank texts are one
+    group. Columns may have any name, since rows travel whole in a struct; an empty table stays empty.
     """
-    tagged = materialize(docs.withColumn("_tag", F.monotonically_increasing_id()), "tagged")
-    marked = materialize(fingerprints(tagged, size, seed, "_tag"), "fingerprints")
-    name = F.struct(F.col("doc_id").isNull().alias("no_id"), "doc_id", "_tag")
-    kept = rooted_by(marked, name, radius, shard_rows).groupBy("root").agg(F.min("least").alias("least")).select("least._tag")
-    return tagged.join(kept, "_tag", "left_semi").select(*docs.columns)
+    tagged = materialize(docs.select(F.monotonically_increasing_id().alias("tag"), F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("row")), "tagged")
+    marked = materialize(fingerprints(tagged.select("tag", "row.doc_id", "row.text"), size, seed, "tag"), "fingerprints")
+    name = F.struct(F.col("doc_id").isNull().alias("no_id"), "doc_id", "tag")
+    kept = rooted_by(marked, name, radius, shard_rows).groupBy("root").agg(F.min("least").alias("least")).select("least.tag")
+    return tagged.join(kept, "tag", "left_semi").select("row.*")
