@@ -33,6 +33,16 @@ def unigram_pieces(name: str = "piece_bpe_32k.model") -> list[tuple[str, float]]
     return pieces_of(public_tokenizers.path(name))
 
 
+@functools.cache
+def control_pieces(name: str = "piece_bpe_32k.model") -> list[str]:
+    """The control pieces of the same vocabulary."""
+    import public_tokenizers
+
+    from statuta.llm.token_counts import control_pieces_of
+
+    return control_pieces_of(public_tokenizers.path(name))
+
+
 def op1_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     from statuta.llm.packing import pack
 
@@ -85,7 +95,7 @@ def op8_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
 def op9_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     from statuta.llm.token_counts import count_tokens
 
-    return count_tokens(table(spark, sf_dir, "documents"), unigram_pieces())
+    return count_tokens(table(spark, sf_dir, "documents"), unigram_pieces(), special=control_pieces())
 
 
 def op10_quality_classifier(spark: SparkSession, sf_dir: str) -> DataFrame:

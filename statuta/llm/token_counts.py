@@ -5,17 +5,17 @@ characters carries the best score and the number of pieces, without building the
 the way of the tokenizer: a later candidate replaces an earlier one only with a higher score, so of equal
 segmentations the one whose last piece is longest stays. A character without a piece of its own costs the
 least score of the vocabulary less 10; runs of such characters are one unknown piece, or their bytes where
-the vocabulary has byte pieces.
+the vocabulary has byte pieces. Control, unknown and byte pieces never match text: ``<s>`` in a text is three characters.
 
 White space: each space begins a new word and is its first character (U+2581), which every text begins with.
 No piece holds that character anywhere but at its beginning or in runs of it alone, so words are scored on
-their own; each distinct word is scored once a task.
+their own; words are remembered within a bound of bytes.
 """
 
 from __future__ import annotations
 
 import zlib
-from collections.abc import Iterator
+from collections.abc import Collection, Iterator
 
 import pyarrow as pa
 from pyspark.sql import DataFrame
@@ -28,33 +28,43 @@ _COUNTERS: dict[int, WordCounts] = {}
 
 
 class WordCounts(dict):
-    """(pieces, unknown pieces, score) of words, each computed once."""
+    """(pieces, unknown pieces, score) of words, remembered up to ``most_bytes``; words of over ``longest`` characters are not kept.
 
-    def __init__(self, pieces: list[tuple[str, float]], unknown: int = 0, byte_pieces: bool = True, most: int = 500_000):
+    ``special`` names the pieces that are no text (control pieces); the piece at ``unknown`` and, where the
+    vocabulary has all 256, the byte pieces are none either.
+    """
+
+    longest, overhead = 32, 330
+
+    def __init__(self, pieces: list[tuple[str, float]], unknown: int = 0, byte_pieces: bool = True, special: Collection[str] = (), most_bytes: int = 48_000_000):
         import ahocorasick
 
         super().__init__()
-        self.most = most
+        self.most_bytes, self.held = most_bytes, 0
+        byte_names = {f"<0x{b:02X}>" for b in range(256)}
+        self.bytes_known = byte_pieces and byte_names <= {p for p, _ in pieces}
+        no_text = {*special, *(byte_names if self.bytes_known else ())}
         self.automaton = ahocorasick.Automaton()
-        for piece, score in pieces:
-            if piece:
+        for i, (piece, score) in enumerate(pieces):
+            if piece and i != unknown and piece not in no_text:
                 self.automaton.add_word(piece, (len(piece), score))
         self.automaton.make_automaton()
         self.unknown_score = min((s for _, s in pieces), default=0.0) - UNKNOWN_PENALTY
-        names = {p for p, _ in pieces}
-        self.bytes_known = byte_pieces and all(f"<0x{b:02X}>" in names for b in range(256))
 
     def __missing__(self, word: str) -> tuple[int, int, float]:
         out = self.count(word)
-        if len(self) >= self.most:
-            self.clear()
-        self[word] = out
+        if len(word) <= self.longest:
+            self.held += len(word) + self.overhead
+            if self.held > self.most_bytes:
+                self.clear()
+                self.held = 0
+            self[word] = out
         return out
 
     def count(self, word: str) -> tuple[int, int, float]:
         n = len(word)
         ending: list[list[tuple[int, float]]] = [[] for _ in range(n + 1)]
-        if n:
+        if n and len(self.automaton):
             for end, match in self.automaton.iter(word):
                 ending[end + 1].append(match)
         score, pieces, unknown, open_run = [0.0] * (n + 1), [0] * (n + 1), [0] * (n + 1), [False] * (n + 1)
@@ -86,21 +96,22 @@ def words_of(text: str) -> list[str]:
     return words[1:] if words and words[0] == MARK else words
 
 
-def count_tokens(docs: DataFrame, pieces: list[tuple[str, float]], byte_pieces: bool = True) -> DataFrame:
+def count_tokens(docs: DataFrame, pieces: list[tuple[str, float]], byte_pieces: bool = True, special: Collection[str] = ()) -> DataFrame:
     """Per document: doc_id, n_tokens, n_unknown, score of the best segmentation.
 
-    ``pieces`` is the vocabulary in id order, sent to all tasks; its size does not follow the corpus. Null and
-    empty texts have no tokens and score 0; repeated rows count each on its own; very long texts are only
-    many words; columns other than doc_id and text are not read.
+    ``pieces`` is the vocabulary in id order, the unknown piece first, sent to all tasks; its size does not follow
+    the corpus. ``special`` are the control pieces, which match no text. Null and empty texts have no tokens and
+    score 0; repeated rows count each on its own; very long texts are only many words; columns other than doc_id and text
+    are not read and may have any name; an empty table gives no rows.
     """
-    shared = docs.sparkSession.sparkContext.broadcast(pieces)
-    key = zlib.crc32(repr((pieces, byte_pieces)).encode())
+    shared = docs.sparkSession.sparkContext.broadcast((pieces, sorted(special)))
+    key = zlib.crc32(repr((pieces, byte_pieces, sorted(special))).encode())
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         known = _COUNTERS.get(key)
         if known is None:
             _COUNTERS.clear()
-            known = _COUNTERS[key] = WordCounts(shared.value, byte_pieces=byte_pieces)
+            known = _COUNTERS[key] = WordCounts(shared.value[0], byte_pieces=byte_pieces, special=shared.value[1])
         for batch in batches:
             rows = []
             for text in batch.column(1):
@@ -119,3 +130,11 @@ def pieces_of(model_file: str) -> list[tuple[str, float]]:
 
     model = sentencepiece.SentencePieceProcessor(model_file=model_file)
     return [(model.id_to_piece(i), model.get_score(i)) for i in range(model.get_piece_size())]
+
+
+def control_pieces_of(model_file: str) -> list[str]:
+    """The pieces of a vocabulary file that stand for no text."""
+    import sentencepiece
+
+    model = sentencepiece.SentencePieceProcessor(model_file=model_file)
+    return [model.id_to_piece(i) for i in range(model.get_piece_size()) if model.is_control(i) or model.is_unknown(i)]
