@@ -1,20 +1,28 @@
 """Benchmark decontamination with a generalised suffix automaton of the normalised test items.
 
-The automaton is built over the items' words and sent to every task; documents stream through it, and each
-position carries the length of the longest item passage that ends there. Passages of a whole window are
-hits. The automaton's size follows the test items; items beyond ``block_words`` words go into further
-automata. All are built on the driver and held at once by each worker, so both need room for the whole item table.
+The items are dealt into blocks of about ``block_words`` words by a hash, and each block's automaton is built over the
+items' words in a task of its own and written to the shared scratch folder. Documents stream through one
+automaton at a time: each position carries the length of the longest item passage that ends there, and
+passages of a whole window are hits. A task and the driver hold one block at a time (at the default below 100 MB in a worker), however large the item
+table is; with several blocks the documents pass once for each.
 """
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+import pickle
+import zlib
+from collections import defaultdict
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from statuta.llm.common import materialize
+
+#: The automaton that a worker holds, by the checksum of its bytes; never more than one.
+_HELD: dict[int, SuffixAutomaton] = {}
 #: Lower-cases A-Z and blanks all other ASCII characters that belong to no word.
 _FOLD = bytes(c + 32 if 65 <= c <= 90 else c if 48 <= c <= 57 or 97 <= c <= 122 or c >= 128 else 32 for c in range(256))
 
@@ -32,14 +40,13 @@ class SuffixAutomaton:
         self.next: list[dict[int, int]] = [{}]
         self.link, self.length = [-1], [0]
         self.vocabulary: dict[bytes, int] = {}
-        self.owners: list[set[str]] = [set()]
+        self.owners: dict[int, set[str]] = defaultdict(set)
         self.short: dict[tuple[int, ...], set[str]] = {}
 
     def _state(self, length: int) -> int:
         self.next.append({})
         self.link.append(0)
         self.length.append(length)
-        self.owners.append(set())
         return len(self.next) - 1
 
     def _extend(self, last: int, word: int) -> int:
@@ -123,7 +130,7 @@ class SuffixAutomaton:
                 state, length = self.step(state, length, w)
                 covered = 0
                 if length >= self.window:
-                    names |= self.owners[self.at_window(state)]
+                    names |= self.owners.get(self.at_window(state), set())
                     covered = self.window
                 for n in self.short_lengths:
                     if n <= length and (found := self.short.get(tuple(run[i + 1 - n : i + 1]))):
@@ -137,46 +144,90 @@ class SuffixAutomaton:
         return spans, names
 
 
-def automata(items: DataFrame, window: int = 13, block_words: int = 2_000_000) -> list[SuffixAutomaton]:
-    """Automata over all items (item_id, text), each of ``block_words`` words at most (or of one item)."""
-    blocks: list[list[tuple[str, list[bytes]]]] = [[]]
-    size = 0
-    for r in items.select(F.col("item_id").cast("string").alias("item_id"), F.col("text").cast("string").alias("text")).toLocalIterator():
-        words = words_of(r["text"])
-        if size + len(words) > block_words and blocks[-1]:
-            blocks.append([])
-            size = 0
-        size += len(words)
-        blocks[-1].append((r["item_id"] or "", words))
-    return [SuffixAutomaton(window).finish(b) for b in blocks]
+def automata(items: DataFrame, window: int = 13, block_words: int = 200_000) -> DataFrame:
+    """Rows (block, automaton): the pickled automaton of each block of items (item_id, text), written once.
+
+    Items are dealt by a hash of id and text into as many blocks as make about ``block_words`` words each; one
+    item is never cut. A null id counts as an empty one; an empty table makes no rows.
+    """
+    slim = items.select(F.coalesce(F.col("item_id").cast("string"), F.lit("")).alias("item_id"), F.coalesce(F.col("text").cast("string"), F.lit("")).alias("text"))
+    # an upper bound of the words: runs of characters that are neither space nor ASCII marks
+    words = slim.agg(F.coalesce(F.sum(F.size(F.split("text", r"[\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+"))), F.lit(0))).first()[0]
+    n_blocks = max(1, -(-words // block_words))
+
+    def build(table: pa.Table) -> pa.Table:
+        rows = sorted(zip(table["item_id"].to_pylist(), table["text"].to_pylist()))
+        blob = pickle.dumps(SuffixAutomaton(window).finish([(name, words_of(text)) for name, text in rows]), 5)
+        return pa.table({"block": pa.array([table["block"][0].as_py()], pa.int32()), "automaton": pa.array([blob], pa.binary())})
+
+    dealt = slim.withColumn("block", F.pmod(F.xxhash64("item_id", "text"), F.lit(n_blocks)).cast("int"))
+    return materialize(dealt.groupBy("block").applyInArrow(build, "block int, automaton binary"), "automata")
+
+
+def held(blob: bytes) -> SuffixAutomaton:
+    """The automaton of these bytes; the one that the worker held before goes."""
+    key = zlib.crc32(blob)
+    if key not in _HELD:
+        _HELD.clear()
+        _HELD[key] = pickle.loads(blob)
+    return _HELD[key]
+
+
+def streamed(rows: DataFrame, blocks: DataFrame, visit: Callable) -> DataFrame:
+    """``rows`` passed through the automaton of one block after the other: ``visit`` makes a batch from a batch and
+    an automaton, of the same columns. Between blocks the rows are written, so no task meets two automata.
+    """
+    numbers = sorted(r["block"] for r in blocks.select("block").collect())
+    for i, number in enumerate(numbers):
+        blob = blocks.filter(F.col("block") == number).first()["automaton"]  # of bounded size, see automata()
+        shared = rows.sparkSession.sparkContext.broadcast(blob)
 
+        def run(batches: Iterator[pa.RecordBatch], shared=shared) -> Iterator[pa.RecordBatch]:
+            automaton = held(shared.value)
+            for batch in batches:
+                yield visit(batch, automaton)
 
-def scan(docs: DataFrame, items: DataFrame, window: int = 13, block_words: int = 2_000_000) -> DataFrame:
+        rows = rows.mapInArrow(run, rows.schema)
+        if i + 1 < len(numbers):
+            rows = materialize(rows, "after-block")
+    return rows
+
+
+SPANS = "array<struct<start:long,end:long>>"
+_SPAN_KIND = pa.list_(pa.struct([("start", pa.int64()), ("end", pa.int64())]))
+
+
+def found_in(rows: DataFrame, items: DataFrame, window: int, block_words: int, text: str = "text") -> DataFrame:
+    """Rows with n_words, spans and item_ids of the column ``text`` added. Without items the words are counted all the same."""
+    blocks = automata(items, window, block_words)
+    if blocks.isEmpty():
+        blob = pickle.dumps(SuffixAutomaton(window).finish([]), 5)
+        blocks = rows.sparkSession.range(1).select(F.lit(0).alias("block"), F.lit(blob).alias("automaton"))
+
+    def visit(batch: pa.RecordBatch, automaton: SuffixAutomaton) -> pa.RecordBatch:
+        n, all_spans, all_names = [], [], []
+        for value, spans, names in zip(batch.column(text), batch.column("spans").to_pylist(), batch.column("item_ids").to_pylist()):
+            words = words_of(value.as_py())
+            found, owners = automaton.hits(words)
+            n.append(len(words))
+            all_spans.append([{"start": a, "end": b} for a, b in merged([(s["start"], s["end"]) for s in spans] + found)])
+            all_names.append(sorted({*names, *owners}))
+        made = {"n_words": pa.array(n, pa.int64()), "spans": pa.array(all_spans, _SPAN_KIND), "item_ids": pa.array(all_names, pa.list_(pa.string()))}
+        return pa.RecordBatch.from_arrays([made.get(c, batch.column(i)) for i, c in enumerate(batch.schema.names)], batch.schema.names)
+
+    empty = rows.withColumns({"n_words": F.lit(0).cast("long"), "spans": F.array().cast(SPANS), "item_ids": F.array().cast("array<string>")})
+    return streamed(empty, blocks, visit)
+
+
+def scan(docs: DataFrame, items: DataFrame, window: int = 13, block_words: int = 200_000) -> DataFrame:
     """Per document: doc_id, n_words, spans (word places, end exclusive), item_ids (sorted as strings).
 
-    A null or empty text has no words and no spans; repeated rows are scanned each on its own; an empty
-    item table finds nothing. Columns other than doc_id and text are not read.
+    A null or empty text has no words and no spans; repeated rows are scanned each on its own; very long texts
+    are scanned whole; an empty item table finds nothing; an empty table gives no rows. Columns other than
+    doc_id and text are not read and may have any name.
     """
-    schema = "doc_id long, n_words long, spans array<struct<start:long,end:long>>, item_ids array<string>"
-    kind = pa.list_(pa.struct([("start", pa.int64()), ("end", pa.int64())]))
-    shared = [docs.sparkSession.sparkContext.broadcast(a) for a in automata(items, window, block_words)]
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            n, all_spans, all_names = [], [], []
-            for text in batch.column(1):
-                words = words_of(text.as_py())
-                spans: list[tuple[int, int]] = []
-                names: set[str] = set()
-                for b in shared:
-                    found, owners = b.value.hits(words)
-                    spans, names = merged(spans + found), names | owners
-                n.append(len(words))
-                all_spans.append([{"start": a, "end": b} for a, b in spans])
-                all_names.append(sorted(names))
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(n, pa.int64()), pa.array(all_spans, kind), pa.array(all_names, pa.list_(pa.string()))], ["doc_id", "n_words", "spans", "item_ids"])
-
-    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text")).mapInArrow(run, schema)
+    slim = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
+    return found_in(slim, items, window, block_words).select("doc_id", "n_words", "spans", "item_ids")
 
 
 def merged(spans: list[tuple[int, int]]) -> list[tuple[int, int]]:
@@ -203,31 +254,35 @@ def digest(found: DataFrame, coverage: int = 20) -> DataFrame:
     )
 
 
-def decontaminate(docs: DataFrame, items: DataFrame, window: int = 13, coverage: int = 20, remove_spans: bool = False, block_words: int = 2_000_000) -> DataFrame:
+def decontaminate(docs: DataFrame, items: DataFrame, window: int = 13, coverage: int = 20, remove_spans: bool = False, block_words: int = 200_000) -> DataFrame:
     """Drop contaminated documents; with ``remove_spans``, cut hit spans out of the texts of the others.
 
     A document goes where hit words reach 1/``coverage`` of its words. All columns of ``docs`` stay as they
-    are; without ``remove_spans`` so do all texts. A null text is never contaminated.
+    are; without ``remove_spans`` so do all texts, with it n_chars, where there is such a column, follows a text that was cut.
+    A null or empty text is never contaminated; repeated rows are judged each on its own; an empty item table drops nothing; an
+    empty table stays empty. Columns may have any name, since they travel under names of their place.
     """
     names = docs.columns
-    shared = [docs.sparkSession.sparkContext.broadcast(a) for a in automata(items, window, block_words)]
-    place = names.index("text")
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            keep, texts = [], []
-            for value in batch.column(place):
-                text = value.as_py()
-                words = words_of(text)
-                spans = merged([s for b in shared for s in b.value.hits(words)[0]])
-                hit = sum(b - a for a, b in spans)
-                keep.append(not (hit and coverage * hit >= len(words)))
-                texts.append(without(text, spans) if remove_spans and spans else text)
-            columns = list(batch.columns)
-            columns[place] = pa.array(texts, batch.column(place).type)
-            yield pa.RecordBatch.from_arrays(columns, schema=batch.schema).filter(pa.array(keep, pa.bool_()))
-
-    return docs.mapInArrow(run, docs.schema)
+    inner = [f"c{i}" for i in range(len(names))]
+    text = inner[names.index("text")]
+    rows = docs.toDF(*inner)
+    rows = found_in(rows.withColumn(text, F.col(text).cast("string")), items, window, block_words, text)
+    hit = F.aggregate("spans", F.lit(0).cast("long"), lambda s, x: s + x["end"] - x["start"])
+    kept = rows.filter(~((hit > 0) & (coverage * hit >= F.col("n_words"))))
+    if remove_spans:
+
+        def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            for batch in batches:
+                texts = [without(t.as_py(), [(s["start"], s["end"]) for s in spans]) if spans else t.as_py() for t, spans in zip(batch.column(text), batch.column("spans").to_pylist())]
+                columns = {**dict(zip(batch.schema.names, batch.columns)), text: pa.array(texts, pa.string())}
+                yield pa.RecordBatch.from_arrays(list(columns.values()), list(columns))
+
+        kept = kept.select(*inner, "spans").mapInArrow(cut, kept.select(*inner, "spans").schema)
+        if "n_chars" in names:
+            place = names.index("n_chars")
+            changed = F.length(text).cast(docs.schema[place].dataType)
+            kept = kept.withColumn(inner[place], F.when(F.size("spans") > 0, changed).otherwise(F.col(inner[place])))
+    return kept.withColumn(text, F.col(text).cast(docs.schema["text"].dataType)).select(*inner).toDF(*names)
 
 
 def without(text: str, spans: list[tuple[int, int]]) -> str:
