@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import os
+import re
 import shutil
 import tempfile
 import uuid
@@ -20,9 +21,14 @@ def get_session(app: str = "statuta", **conf: str) -> SparkSession:
 
 
 def scratch_path(spark: SparkSession, name: str) -> str:
-    """A new folder below the cluster's shared checkpoint folder (``spark.checkpoint.dir``; a temporary one where unset)."""
+    """A new folder below the cluster's shared checkpoint folder (``spark.checkpoint.dir``).
+
+    Only where Spark runs in one process (tests on one machine) may it be unset; a temporary folder is made then.
+    """
     base = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()
     if not base:
+        if not re.fullmatch(r"local(\[.*\])?", spark.sparkContext.master):
+            raise ValueError("set spark.checkpoint.dir to a folder that all executors share")
         base = tempfile.mkdtemp(prefix="statuta-")
         spark.sparkContext.setCheckpointDir(base)
     return f"{base.rstrip('/')}/{spark.sparkContext.applicationId}/{name}-{uuid.uuid4().hex[:12]}"
