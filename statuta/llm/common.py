@@ -1,38 +1,16 @@
-"""Helpers shared by the training-data operators: scratch tables and Column building blocks."""
+"""Helpers shared by the training-data operators: scratch tables (those of the session module) and Column building blocks."""
 
 from __future__ import annotations
 
-import tempfile
-import uuid
-
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column
 from pyspark.sql import functions as F
 
-#: Words are runs of anything but these characters (space and the ASCII controls 9 to 13).
-SPACE = r"[\x20\x09-\x0D]+"
-
-
-def scratch_path(spark: SparkSession, name: str) -> str:
-    """A new folder below the cluster's shared checkpoint folder.
+from statuta.session import materialize, scratch_path
 
-    The folder comes from the session's ``spark.checkpoint.dir``; only where that is unset (tests on
-    one machine) a temporary folder is made.
-    """
-    base = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()
-    if not base:
-        base = tempfile.mkdtemp(prefix="statuta-")
-        spark.sparkContext.setCheckpointDir(base)
-    return f"{base.rstrip('/')}/{spark.sparkContext.applicationId}/{name}-{uuid.uuid4().hex[:12]}"
+__all__ = ["SPACE", "let", "materialize", "prefix_sums", "regex_spans", "scratch_path"]
 
-
-def materialize(df: DataFrame, name: str) -> DataFrame:
-    """Write ``df`` as Parquet in the shared scratch folder and read it back.
-
-    This cuts lineage and survives lost executors, since the files live in shared storage.
-    """
-    path = scratch_path(df.sparkSession, name)
-    df.write.option("compression", "zstd").parquet(path)
-    return df.sparkSession.read.schema(df.schema).parquet(path)
+#: Words are runs of anything but these characters (space and the ASCII controls 9 to 13).
+SPACE = r"[\x20\x09-\x0D]+"
 
 
 def let(value: Column, body) -> Column:

@@ -34,8 +34,10 @@ def _render(spans: Column) -> Column:
     return F.array_join(F.transform(F.sort_array(spans), lambda s: F.concat_ws(":", F.get(names, s["rank"]), s["start"], s["end"])), ",")
 
 
-def candidates(docs: DataFrame, least_assign: int = 12, least_weak: int = 6) -> DataFrame:
-    """doc_id, base and weak spans of each row (arrays), written once, so that texts are read only once."""
+def candidates(docs: DataFrame, least_assign: int = 12, least_weak: int = 6, whole_rows: bool = False) -> DataFrame:
+    """Base and weak spans of each row (arrays), with a tag of the row and its doc_id, or its whole as a struct ``row``;
+    written once, so that texts are read only once.
+    """
     t = F.coalesce(F.col("text").cast("string"), F.lit(""))
     # a pattern is tried only on texts that hold a word it needs
     value = lambda s: F.length(F.regexp_extract(s["match"], ASSIGN, 1))
@@ -45,8 +47,10 @@ def candidates(docs: DataFrame, least_assign: int = 12, least_weak: int = 6) ->
     endpoints = regex_spans(t, ENDPOINT, guard=t.contains("://"))
     # bare keys matter only beside an access identifier or an endpoint
     bare = regex_spans(t, BARE_KEY, guard=t.contains("AKIA") | t.contains("://"))
+    kept = F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("row") if whole_rows else F.col("doc_id")
     found = docs.select(
-        "doc_id",
+        F.monotonically_increasing_id().alias("tag"),
+        kept,
         let(
             assigned,
             lambda a: F.struct(
@@ -59,21 +63,25 @@ def candidates(docs: DataFrame, least_assign: int = 12, least_weak: int = 6) ->
         _kind(endpoints, 4).alias("endpoint"),
         _kind(bare, 3).alias("bare"),
     )
-    return materialize(found.select("doc_id", F.col("a.strong").alias("assign"), "access", "hex", F.concat("a.weak", "bare").alias("weak"), "endpoint"), "candidates")
+    return materialize(found.select("tag", "row" if whole_rows else "doc_id", F.col("a.strong").alias("assign"), "access", "hex", F.concat("a.weak", "bare").alias("weak"), "endpoint"), "candidates")
+
+
+def needs_linking() -> Column:
+    """Whether a row holds a weak part and any other part that might complete it."""
+    weak = F.size("weak") + F.size("endpoint")
+    return (weak > 0) & (F.size("assign") + F.size("access") + weak > 1)
 
 
-def link(found: DataFrame, scope: int = 400) -> DataFrame:
-    """Weak and endpoint spans that have a complementary part within ``scope`` characters: key and spans.
+def link(both: DataFrame, scope: int = 400) -> DataFrame:
+    """Weak and endpoint spans that have a complementary part within ``scope`` characters, from start to start: tag and spans.
 
-    Only rows that hold both parts are looked at. Each complementary part goes to the bin of its place and the two beside it, so
-    a candidate meets the parts of one bin only, whose number the bin's size bounds.
+    Each complementary part goes to the bin of its place and the two beside it, so a candidate meets the parts of
+    one bin only, whose number the bin's size bounds.
     """
-    keyed = found.withColumn("key", F.sha2(F.to_json(F.struct("doc_id", "assign", "access", "hex", "weak", "endpoint")), 256))
-    both = keyed.filter((F.size("weak") + F.size("endpoint") > 0) & (F.size("assign") + F.size("access") + F.size("endpoint") + F.size("weak") > 1)).dropDuplicates(["key"])
     role_of = lambda c, r: F.transform(c, lambda s: F.struct(s["start"].alias("at"), F.lit(r).alias("role")))
     # role 1: identifiers, 2: secrets, 3: endpoints
     parts = both.select(
-        "key",
+        "tag",
         F.inline(
             F.concat(
                 *[role_of(c, r) for c, r in (("access", 1), ("assign", 2), ("weak", 2), ("endpoint", 3))]
@@ -81,27 +89,32 @@ def link(found: DataFrame, scope: int = 400) -> DataFrame:
         ),
     )
     width = scope + 1
-    near = parts.select("key", F.explode(F.array(*[F.floor(F.col("at") / width) + d for d in (-1, 0, 1)])).alias("bin"), "at", "role").distinct()
-    weak = both.select("key", F.explode(F.concat("weak", "endpoint")).alias("span")).withColumn("bin", F.floor(F.col("span.start") / width))
+    near = parts.select("tag", F.explode(F.array(*[F.floor(F.col("at") / width) + d for d in (-1, 0, 1)])).alias("bin"), "at", "role").distinct()
+    weak = both.select("tag", F.explode(F.concat("weak", "endpoint")).alias("span")).withColumn("bin", F.floor(F.col("span.start") / width))
     # a secret needs an identifier or an endpoint, an endpoint an identifier or a secret: any other role will do
     role = F.when(F.col("span.rank") == 3, 2).otherwise(3)
     w, n = weak.withColumn("own", role).alias("w"), near.alias("n")
-    linked = w.join(n, (F.col("w.key") == F.col("n.key")) & (F.col("w.bin") == F.col("n.bin")) & (F.abs(F.col("w.span.start") - F.col("n.at")) <= scope) & (F.col("w.own") != F.col("n.role")), "left_semi")
-    return linked.groupBy("key").agg(F.collect_set("span").alias("linked"))
+    linked = w.join(n, (F.col("w.tag") == F.col("n.tag")) & (F.col("w.bin") == F.col("n.bin")) & (F.abs(F.col("w.span.start") - F.col("n.at")) <= scope) & (F.col("w.own") != F.col("n.role")), "left_semi")
+    return linked.groupBy("tag").agg(F.collect_set("span").alias("linked"))
+
+
+def with_links(found: DataFrame, scope: int) -> DataFrame:
+    """The candidates with their ``linked`` spans; only rows that need linking are joined, no other row moves."""
+    none = F.array().cast("array<struct<start:long,rank:int,end:long>>")
+    both = found.filter(needs_linking())
+    joined = both.join(link(both, scope), "tag", "left").withColumn("linked", F.coalesce("linked", none))
+    return found.filter(~needs_linking()).withColumn("linked", none).unionByName(joined)
 
 
 def scan(docs: DataFrame, scope: int = 400) -> DataFrame:
     """Per row: doc_id, n_assign, n_access, n_hex, base_sha256, spans, and the spans themselves (array ``found``).
 
-    A null or empty text has no spans; repeated rows give the same result each; places count code points of
-    the whole text, however long; columns other than doc_id and text are not read; an empty table gives no
+    A null or empty text has no spans; null ids pass; repeated rows give the same result each; places count code points of
+    the whole text, however long; columns other than doc_id and text are not read and may have any name; an empty table gives no
     rows. No row is dropped.
     """
-    found = candidates(docs)
-    keyed = found.withColumn("key", F.sha2(F.to_json(F.struct("doc_id", "assign", "access", "hex", "weak", "endpoint")), 256))
-    none = F.array().cast("array<struct<start:long,rank:int,end:long>>")
     base = F.concat("assign", "access", "hex")
-    joined = keyed.join(link(found, scope), "key", "left").withColumn("all", F.concat(base, F.coalesce("linked", none)))
+    joined = with_links(candidates(docs), scope).withColumn("all", F.concat(base, "linked"))
     return joined.select(
         "doc_id",
         F.size("assign").cast("long").alias("n_assign"),
@@ -116,25 +129,26 @@ def scan(docs: DataFrame, scope: int = 400) -> DataFrame:
 def redact(docs: DataFrame, scope: int = 400, mark: str = "[SECRET]") -> DataFrame:
     """The rows of ``docs`` with each reported secret replaced by ``mark``; no row goes.
 
-    Endpoints stay, since they are no secrets. Rows without secrets keep their text as it is. Texts are joined
-    with their spans by doc_id and a digest of the text; n_chars, where there is such a column, follows.
+    Endpoints stay, since they are no secrets. Rows without secrets, null and empty texts stay as they are; repeated rows
+    are changed alike; n_chars, where there is such a column, follows a text that was changed. Columns may have any
+    name, since a row travels whole in a struct beside its spans; only rows with weak parts to link are moved. An
+    empty table stays empty.
     """
-    names = docs.columns
-    tagged = docs.withColumn("_digest", F.sha2(F.coalesce(F.col("text").cast("string"), F.lit("")), 256))
-    spans = scan(tagged.select(F.struct("doc_id", "_digest").alias("doc_id"), "text"), scope)
-    cuts = spans.select("doc_id.*", F.filter("found", lambda s: s["rank"] != 4).alias("_cuts")).filter(F.size("_cuts") > 0).dropDuplicates(["doc_id", "_digest"]).withColumnRenamed("doc_id", "_id")
-    joined = tagged.join(cuts.withColumnRenamed("_digest", "_of"), (F.col("_digest") == F.col("_of")) & F.col("doc_id").eqNullSafe(F.col("_id")), "left")
-    zero = F.lit(0).cast("long")
+    found = with_links(candidates(docs, whole_rows=True), scope)
+    spans = F.concat("assign", "access", "hex", "linked")
+    found = found.select("row", F.sort_array(F.filter(spans, lambda s: s["rank"] != 4)).alias("cuts"))
+    text, zero = F.col("row.text").cast("string"), F.lit(0).cast("long")
     body = F.aggregate(
-        "_cuts",
+        "cuts",
         F.struct(zero.alias("at"), F.lit("").alias("out")),
         lambda s, x: F.struct(
             F.greatest(s["at"], x["end"]).alias("at"),
-            F.when(x["start"] >= s["at"], F.concat(s["out"], F.substring(F.col("text"), (s["at"] + 1).cast("int"), (x["start"] - s["at"]).cast("int")), F.lit(mark))).otherwise(s["out"]).alias("out"),
+            F.when(x["start"] >= s["at"], F.concat(s["out"], F.substring(text, (s["at"] + 1).cast("int"), (x["start"] - s["at"]).cast("int")), F.lit(mark))).otherwise(s["out"]).alias("out"),
         ),
-        lambda s: F.concat(s["out"], F.substring(F.col("text"), (s["at"] + 1).cast("int"), F.length("text"))),
+        lambda s: F.concat(s["out"], F.substring(text, (s["at"] + 1).cast("int"), F.length(text))),
     )
-    out = joined.withColumn("text", F.when(F.col("_cuts").isNotNull(), body).otherwise(F.col("text")))
-    if "n_chars" in names:
-        out = out.withColumn("n_chars", F.when(F.col("_cuts").isNotNull(), F.length("text").cast(docs.schema["n_chars"].dataType)).otherwise(F.col("n_chars")))
-    return out.select(*names)
+    changed = F.size("cuts") > 0
+    found = found.select("row", changed.alias("changed"), F.when(changed, body).otherwise(text).alias("text"))
+    new = {"text": F.col("text"), "n_chars": F.length("text")}
+    of = lambda c: F.col(f"row.`{c}`")
+    return found.select(*[F.when(F.col("changed"), new[c].cast(docs.schema[c].dataType)).otherwise(of(c)).alias(c) if c in new else of(c).alias(c) for c in docs.columns])

@@ -98,13 +98,14 @@ def find_splitters(rows: DataFrame, shares: list[float], tolerance: float, probe
     return out
 
 
-def assign(docs: DataFrame, shards: int = 40, tolerance: float = 0.001, pieces: int = 8, size: Column | None = None) -> DataFrame:
+def assign(docs: DataFrame, shards: int = 40, tolerance: float = 0.001, pieces: int | None = None, size: Column | None = None, piece_rows: int = 1_000_000) -> DataFrame:
     """Shard and slot of every row: the columns of ``docs`` but its text, plus size, text_crc32, shard, slot.
 
     Bytes per shard are within ``tolerance`` of the mean, but for the weight of one row. Each shard is dealt out in ``pieces``
-    ranges whose row counts are known from the probes, so that slots are gapless from 0 though no task sorts
-    a whole shard. A null text weighs as an empty one; null ids sort first; rows equal in text and doc_id
-    have the same key and stay in one shard; an empty table gives no rows.
+    ranges (where not given, as many as make about ``piece_rows`` rows each) whose row counts are known from the
+    probes, so that slots are gapless from 0 though no task sorts a whole shard. A null text weighs as an empty one; null ids sort
+    first; rows equal in text and doc_id have the same key and stay in one shard, so many of these may outweigh it;
+    columns other than doc_id and text are not read and may have any name; an empty table gives no rows.
     """
     text = F.coalesce(F.col("text").cast("string"), F.lit(""))
     slim = materialize(
@@ -117,8 +118,9 @@ def assign(docs: DataFrame, shards: int = 40, tolerance: float = 0.001, pieces:
         ),
         "sizes",
     )
+    total, n = slim.agg(F.coalesce(F.sum("size"), F.lit(0)), F.count(F.lit(1))).first()
+    pieces = pieces or max(1, -(-n // (shards * piece_rows)))
     cuts = shards * pieces
-    total = slim.agg(F.coalesce(F.sum("size"), F.lit(0))).first()[0]
     bounds = find_splitters(slim, [i / cuts for i in range(1, cuts)], tolerance * total / shards / 2)
     ends = [(0, 0, 0), *bounds]
     starts_of_shards = ends[::pieces]
@@ -132,20 +134,34 @@ def assign(docs: DataFrame, shards: int = 40, tolerance: float = 0.001, pieces:
 
     schema = "doc_id " + slim.schema["doc_id"].dataType.simpleString() + ", size long, text_crc32 long, h long, k long, piece int"
     slot_table = F.array(*[F.lit(x).cast("long") for x in first_slot])
-    moved = slim.mapInArrow(place, schema).repartition(F.col("piece"))
+    moved = slim.mapInArrow(place, schema).repartitionById(cuts, F.col("piece"))  # a task for each piece
     inside = F.row_number().over(Window.partitionBy("piece").orderBy("h", "k", "size"))
     return moved.select("doc_id", "size", "text_crc32", (F.floor(F.col("piece") / pieces)).cast("int").alias("shard"), (F.get(slot_table, F.col("piece")) + inside - 1).cast("long").alias("slot"))
 
 
-def write_shards(docs: DataFrame, path: str, shards: int = 40, tolerance: float = 0.001) -> None:
-    """Write ``docs`` as one folder per shard in the global key order; the rows move once, with all columns."""
+def write_shards(docs: DataFrame, path: str, shards: int = 40, tolerance: float = 0.001, pieces: int | None = None, piece_rows: int = 1_000_000) -> None:
+    """Write ``docs`` in the global key order, a folder ``shard=k`` for each shard; the rows move once, with all columns.
+
+    A shard has a file for each of its ``pieces`` (see ``assign``), each written by a task of its own, in the order of their
+    names. A null text weighs as an empty one; null ids sort first; repeated rows stay side by side; an empty table
+    writes no shard. A column named shard cannot be written beside the folders' own and is an error.
+    """
+    if "shard" in docs.columns:
+        raise ValueError("docs has a column named shard")
     text = F.coalesce(F.col("text").cast("string"), F.lit(""))
-    keyed = docs.withColumns({"_h": F.xxhash64(text), "_k": F.coalesce(F.col("doc_id").cast("long"), F.lit(-_HALF))})
-    slim = materialize(keyed.select(F.col("_h").alias("h"), F.col("_k").alias("k"), (F.octet_length(text) + 16).cast("long").alias("size")), "sizes")
-    total = slim.agg(F.coalesce(F.sum("size"), F.lit(0))).first()[0]
-    bounds = find_splitters(slim, [i / shards for i in range(1, shards)], tolerance * total / shards / 2)
-    high, low = _keys([b[0] for b in bounds])
-    below = F.lit(0)
-    for h, k in zip(high.tolist(), low.tolist()):
-        below = below + ((F.col("_h") > h) | ((F.col("_h") == h) & (F.col("_k") >= k))).cast("int")
-    keyed.withColumn("shard", below).repartition(shards, "shard").sortWithinPartitions("shard", "_h", "_k").drop("_h", "_k").write.partitionBy("shard").parquet(path)
+    key = [F.xxhash64(text).alias("h"), F.coalesce(F.col("doc_id").cast("long"), F.lit(-_HALF)).alias("k")]
+    slim = materialize(docs.select(*key, (F.octet_length(text) + 16).cast("long").alias("size")), "sizes")
+    total, n = slim.agg(F.coalesce(F.sum("size"), F.lit(0)), F.count(F.lit(1))).first()
+    pieces = pieces or max(1, -(-n // (shards * piece_rows)))
+    cuts = shards * pieces
+    bounds = find_splitters(slim, [i / cuts for i in range(1, cuts)], tolerance * total / shards / 2)
+    high, low = (a.tolist() for a in _keys([b[0] for b in bounds]))
+    # how many boundaries are not above the row's key: a search in the sorted list of boundaries
+    edges = F.array(*[F.struct(F.lit(h).alias("h"), F.lit(k).alias("k")) for h, k in zip(high, low)]).cast("array<struct<h:long,k:long>>")
+    steps = F.sequence(F.lit(0), F.lit(max(0, len(high).bit_length() - 1)))
+    own = F.col("key")
+    not_above = lambda i: F.coalesce(F.get(edges, i) <= own, F.lit(False))
+    piece = F.aggregate(F.reverse(steps), F.lit(0), lambda at, s: F.when(not_above(at + F.pow(F.lit(2), s).cast("int") - 1), at + F.pow(F.lit(2), s).cast("int")).otherwise(at))
+    rows = docs.select(F.struct(*key).alias("key"), F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("row")).withColumn("piece", piece)
+    moved = rows.repartitionById(cuts, F.col("piece")).sortWithinPartitions("piece", "key")
+    moved.select("row.*", F.floor(F.col("piece") / pieces).cast("int").alias("shard")).write.partitionBy("shard").parquet(path)
