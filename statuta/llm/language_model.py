@@ -32,7 +32,8 @@ _LOWER = bytes(c + 32 if 65 <= c <= 90 else c for c in range(256))
 _END = b"\n"
 TRAIN, DELETED, HELD_OUT = 0, 1, 2
 BLOCK_SCHEMA = "block long, kind int, n_tokens long, doc_ids array<long>, ends array<int>, words binary, hashes binary"
-STEP, LEAST_LOG, BUCKETS = 0.5, -40, 26
+#: Held-out tokens are summed up in cells of a quarter octave of each estimate (at most 26 * 161 * 161 rows reach the driver).
+STEP, LEAST_LOG, BUCKETS = 0.25, -40, 26
 
 
 def kind_of(doc_id: int | None, folds: int, held_out: int, deleted: int) -> int:
@@ -121,10 +122,9 @@ def grams_of(words: np.ndarray, ends: np.ndarray, hashes: np.ndarray) -> tuple[n
     return previous, place, key
 
 
-def bucket_edges(keys: np.ndarray, n: int) -> np.ndarray:
-    """Where each of ``n`` equal hash ranges begins in sorted keys, and where the last ends."""
-    bounds = np.asarray([(i << 64) // n for i in range(1, n)], np.uint64)
-    return np.concatenate(([0], np.searchsorted(keys, bounds), [len(keys)]))
+def hash_range(keys: np.ndarray, n: int) -> np.ndarray:
+    """Which of ``n`` near equal ranges of its upper 32 bits each key lies in; sorted keys give sorted ranges."""
+    return ((keys >> np.uint64(32)) * np.uint64(n)) >> np.uint64(32)
 
 
 def requests(table: DataFrame, n_buckets: int) -> DataFrame:
@@ -139,8 +139,8 @@ def requests(table: DataFrame, n_buckets: int) -> DataFrame:
                 for gram, keys, n in ((1, h, np.bincount(ids, minlength=len(h))), (2, pair_keys, np.bincount(place, minlength=len(pair_keys)))):
                     order = np.argsort(keys, kind="stable")
                     k, c = keys[order], n[order].astype("<u4")
-                    edges = bucket_edges(k, n_buckets)
-                    rows += [(gram, i, block, kind, k[a:b].tobytes(), c[a:b].tobytes()) for i, (a, b) in enumerate(zip(edges, edges[1:])) if b > a]
+                    full, starts = np.unique(hash_range(k, n_buckets), return_index=True)  # only ranges that the block has keys in
+                    rows += [(gram, i, block, kind, k[a:b].tobytes(), c[a:b].tobytes()) for i, a, b in zip(full.tolist(), starts.tolist(), [*starts[1:].tolist(), len(k)])]
                 g, i, bl, ki, k, c = zip(*rows)
                 yield pa.RecordBatch.from_arrays(
                     [pa.array(g, pa.int32()), pa.array(i, pa.int32()), pa.array(bl, pa.int64()), pa.array(ki, pa.int32()), pa.array(k, pa.binary()), pa.array(c, pa.binary())],
@@ -199,7 +199,7 @@ def _level(p: np.ndarray) -> np.ndarray:
     return np.where(p > 0, np.clip(np.floor(np.log2(np.maximum(p, 1e-300)) / STEP) - LEAST_LOG / STEP + 1, 1, None), 0).astype(np.int64)
 
 
-def learn_weights(cells: np.ndarray, zero: float, rounds: int = 100) -> np.ndarray:
+def learn_weights(cells: np.ndarray, zero: float, rounds: int = 400) -> np.ndarray:
     """Mixture weights (bucket x order 2, 1, 0) from held-out cells (bucket, n, sum of f2, sum of f1)."""
     weights = np.tile(np.asarray([0.5, 0.4, 0.1]), (BUCKETS, 1))
     if not len(cells):
@@ -234,14 +234,15 @@ def score(docs: DataFrame, folds: int = 7, held_out: int = 2, deleted: int = 3,
     n_buckets = max(8, -(-tokens // bucket_keys))
     asked = requests(table, n_buckets)
     schema = "gram int, bucket int, block long, totals binary, rest binary, n long, n_rest long, distinct long"
-    # as many tasks as hash ranges, so that what a task reads stays the same however large the corpus is
-    answers = materialize(asked.repartition(2 * n_buckets, "gram", "bucket").groupBy("gram", "bucket").applyInArrow(answer, schema), "answers")
+    # more tasks than hash ranges (and, below, than blocks), so that what a task reads stays the same however large
+    # the corpus is; a block has at most as many requests as keys, so all of it is linear in the corpus
+    answers = materialize(asked.repartition(4 * n_buckets, "gram", "bucket").groupBy("gram", "bucket").applyInArrow(answer, schema), "answers")
     n, n_rest, v = answers.filter("block is null and gram = 1").agg(*[F.coalesce(F.sum(c), F.lit(0)) for c in ("n", "n_rest", "distinct")]).first()
     zero = 1.0 / (v + 1)
 
     def joined(kinds: DataFrame, column: str) -> DataFrame:
         got = answers.filter(f"block is not null and {column} is not null").groupBy("block").agg(F.collect_list(F.struct("gram", "bucket", column)).alias("answers"))
-        return kinds.repartition(max(n_blocks, 1), "block").join(got, "block").select("doc_ids", "ends", "words", "hashes", "answers", "kind")
+        return kinds.repartition(max(3 * n_blocks, 1), "block").join(got, "block").select("doc_ids", "ends", "words", "hashes", "answers", "kind")
 
     def cells(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
