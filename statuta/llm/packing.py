@@ -30,19 +30,24 @@ class ChunkIds(dict):
 
     The tokenizer drops white space and never merges across it, so a text's ids are those of its chunks in
     order. Chunks of ASCII and Latin-1 letters are cut further, just where the tokenizer's own split cuts
-    them; all others go through the whole tokenizer.
+    them; all others go through the whole tokenizer. What is remembered is bounded in bytes, not in entries:
+    a chunk of more than ``longest`` bytes is never kept, and a full memory is emptied.
     """
 
+    #: Bytes of an entry of a dict besides its key's and value's characters.
+    overhead = 170
+    longest = 48
+
     plain = re.compile("[!-&(-~À-ÖØ-öø-ÿ]+")
     parts = re.compile("[a-zß-öø-ÿ]+|[0-9]|[^a-z0-9ß-öø-ÿ]+")
 
-    def __init__(self, tokenizer_json: str, most: int = 1_000_000):
+    def __init__(self, tokenizer_json: str, most_bytes: int = 24_000_000):
         from tokenizers import Tokenizer, pre_tokenizers
 
         super().__init__()
         self.whole = Tokenizer.from_str(tokenizer_json)
         self.bytes_as_letters = pre_tokenizers.ByteLevel(add_prefix_space=False, use_regex=False).pre_tokenize_str
-        self.most, self.part_ids = most, {}
+        self.most_bytes, self.part_ids, self.held, self.held_parts = most_bytes, {}, 0, 0
 
     def __missing__(self, chunk: bytes) -> bytes:
         text = chunk.decode("utf-8")
@@ -50,24 +55,33 @@ class ChunkIds(dict):
             ids = b"".join([self.part_ids.get(p) or self.of_part(p) for p in self.parts.findall(text.lower())])
         else:
             ids = np.asarray(self.whole.encode(text, add_special_tokens=False).ids, dtype="<u4").tobytes()
-        if len(self) >= self.most:
-            self.clear()
-        self[chunk] = ids
+        if len(chunk) <= self.longest:
+            self.held += len(chunk) + len(ids) + self.overhead
+            if self.held > self.most_bytes:
+                self.clear()
+                self.held = 0
+            self[chunk] = ids
         return ids
 
     def of_part(self, part: str) -> bytes:
         letters = part if part.isascii() else self.bytes_as_letters(part)[0][0]
         ids = np.asarray([t.id for t in self.whole.model.tokenize(letters)], dtype="<u4").tobytes()
-        if len(self.part_ids) >= self.most:
-            self.part_ids.clear()
-        self.part_ids[part] = ids
+        if len(part) <= self.longest:
+            self.held_parts += len(part) + len(ids) + self.overhead
+            if self.held_parts > self.most_bytes // 2:
+                self.part_ids.clear()
+                self.held_parts = 0
+            self.part_ids[part] = ids
         return ids
 
 
 def chunk_encoder(tokenizer_json: str):
     """A function text -> token ids as little-endian uint32 bytes; a worker keeps what it has learned."""
     key = zlib.crc32(tokenizer_json.encode())
-    known = _CODERS.get(key) or _CODERS.setdefault(key, ChunkIds(tokenizer_json))
+    known = _CODERS.get(key)
+    if known is None:  # an empty one is kept as well, so no truth test; one tokenizer at a time
+        _CODERS.clear()
+        known = _CODERS[key] = ChunkIds(tokenizer_json)
     return lambda text: b"".join(map(known.__getitem__, text.encode("utf-8", "replace").split()))
 
 
@@ -77,6 +91,11 @@ def tokenize_pieces(docs: DataFrame, tokenizer_json: str, max_len: int = 4096, e
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         encode, tail = chunk_encoder(coder.value), np.asarray([end_id], dtype="<u4").tobytes()
+        names = ["doc_id", "start", "length", "ids_crc32", "doc_tokens"]
+
+        def emit(rows: list[tuple]) -> pa.RecordBatch:
+            return pa.RecordBatch.from_arrays([pa.array(c, pa.int64()) for c in list(zip(*rows)) or [()] * 5], names)
+
         for batch in batches:
             rows: list[tuple] = []
             for doc_id, text in zip(batch.column(0).to_pylist(), batch.column(1)):
@@ -85,8 +104,11 @@ def tokenize_pieces(docs: DataFrame, tokenizer_json: str, max_len: int = 4096, e
                 for at in range(0, n, max_len):
                     part = ids[4 * at : 4 * (at + max_len)]
                     rows.append((doc_id, at, len(part) // 4, zlib.crc32(part), n))
-            cols = list(zip(*rows)) or [()] * 5
-            yield pa.RecordBatch.from_arrays([pa.array(c, pa.int64()) for c in cols], ["doc_id", "start", "length", "ids_crc32", "doc_tokens"])
+                if len(rows) >= 4096:
+                    yield emit(rows)
+                    rows = []
+            if rows:
+                yield emit(rows)
 
     return docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text")).mapInArrow(run, PIECE_SCHEMA)
 
