@@ -11,9 +11,9 @@ from statuta.functions.fields import url_hash
 
 
 def read_or_empty(spark: SparkSession, path: str, schema: t.StructType | str) -> DataFrame:
-    """A Parquet table, or an empty one where there is none yet."""
+    """A Parquet table, or an empty one where there is none yet; a swap that broke off is brought to its end first."""
     try:
-        return spark.read.schema(schema).parquet(path) if exists(spark, path) else spark.createDataFrame([], schema)
+        return spark.read.schema(schema).parquet(path) if recover(spark, path) else spark.createDataFrame([], schema)
     except AnalysisException:
         return spark.createDataFrame([], schema)
 
@@ -29,13 +29,25 @@ def exists(spark: SparkSession, path: str) -> bool:
     return fs.exists(p)
 
 
+def recover(spark: SparkSession, path: str) -> bool:
+    """Whether there is a table at ``path``, after a swap that broke off was brought to its end.
+
+    The new files are whole once their folder holds Spark's success mark. With the old table moved aside and nothing in its
+    place, whole new files take the place; else the old ones come back.
+    """
+    fs, target = _fs(spark, path)
+    (_, staging), (_, old), (_, whole) = (_fs(spark, f"{path}{end}") for end in (".staging", ".old", ".staging/_SUCCESS"))
+    if not fs.exists(target) and fs.exists(old):
+        fs.rename(staging if fs.exists(whole) else old, target)
+    return fs.exists(target)
+
+
 def replace_table(df: DataFrame, path: str) -> None:
-    """Write beside the table, then swap; readers of the old files keep a whole table until the swap."""
+    """Write beside the table, then swap; whatever step a crash comes after, ``recover`` finds a whole table."""
     spark = df.sparkSession
+    recover(spark, path)
     df.write.mode("overwrite").parquet(f"{path}.staging")
-    fs, target = _fs(spark, path)
-    _, staging = _fs(spark, f"{path}.staging")
-    _, old = _fs(spark, f"{path}.old")
+    (fs, target), (_, staging), (_, old) = (_fs(spark, f"{path}{end}") for end in ("", ".staging", ".old"))
     fs.delete(old, True)
     if fs.exists(target):
         fs.rename(target, old)
@@ -64,6 +76,17 @@ def append(df: DataFrame, path: str) -> None:
     df.write.mode("append").parquet(path)
 
 
+def write_batch(df: DataFrame, path: str, batch_id: int) -> None:
+    """Append a stream's batch as a folder of its own below ``path``; a batch that runs again replaces its folder."""
+    df.write.mode("overwrite").parquet(f"{path}/batch={batch_id:020d}")
+
+
+def run_metrics(runs: DataFrame) -> DataFrame:
+    """Runs (run_id, circular_id, chars, obligations, seconds) with pages, obligations per page and a summary text."""
+    pages = page_estimate(F.col("chars"))
+    return runs.select("*", pages.alias("pages"), F.bround(F.col("obligations") / pages, 2).alias("obligations_per_page"), run_summary_text(F.col("chars"), F.col("obligations"), F.col("seconds")).alias("summary"))
+
+
 def audit_trail(log: DataFrame, circular_id: str | None = None, status: str | None = None) -> DataFrame:
     rows = log if circular_id is None else log.filter(F.col("circular_id") == circular_id)
     return rows if status is None else rows.filter(F.col("status") == status)

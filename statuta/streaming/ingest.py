@@ -10,7 +10,7 @@ from pyspark.sql.streaming import StreamingQuery
 
 from statuta.operators.evidence import fold_updates
 from statuta.operators.register import upsert
-from statuta.sources.writers import SEEN, append, mark_seen, read_or_empty, replace_table, unseen
+from statuta.sources.writers import SEEN, mark_seen, read_or_empty, replace_table, unseen, write_batch
 
 DOCUMENTS = "detail_url string, circular_id string, title string, circular_type string, date string, document_text string"
 
@@ -48,7 +48,8 @@ def audit_stream(events: DataFrame, late: str = "1 hour") -> DataFrame:
 
 
 def append_stream(rows: DataFrame, path: str, checkpoint: str) -> StreamingQuery:
-    return rows.writeStream.foreachBatch(lambda df, _: append(df, path)).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
+    """Append a stream to a table of one folder a batch, so that a batch that is tried again leaves no row twice."""
+    return rows.writeStream.foreachBatch(lambda df, batch_id: write_batch(df, path, batch_id)).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
 
 
 def daily_counts(events: DataFrame, at: str = "timestamp", kind: str = "event_type") -> DataFrame:
@@ -57,12 +58,16 @@ def daily_counts(events: DataFrame, at: str = "timestamp", kind: str = "event_ty
 
 
 def checklist_batch(register_path: str, updates_path: str, register_schema: str) -> Callable[[DataFrame, int], None]:
-    """A foreachBatch function: append updates, fold all of them, set the register's evidence status."""
+    """A foreachBatch function: add updates, fold those of the obligations that they name, set their evidence status.
 
-    def batch(updates: DataFrame, _: int) -> None:
+    A batch that runs again replaces its own updates and leaves the same register.
+    """
+
+    def batch(updates: DataFrame, batch_id: int) -> None:
         session = updates.sparkSession
-        append(updates, updates_path)
-        state = fold_updates(session.read.parquet(updates_path)).select("obligation_id", F.col("evidence_status").alias("_s"))
+        write_batch(updates, updates_path, batch_id)
+        named = updates.select("obligation_id").distinct()
+        state = fold_updates(session.read.parquet(updates_path).drop("batch").join(named, "obligation_id", "left_semi")).select("obligation_id", F.col("evidence_status").alias("_s"))
         register = read_or_empty(session, register_path, register_schema)
         replace_table(register.join(state, "obligation_id", "left").withColumn("evidence_status", F.coalesce("_s", "evidence_status")).drop("_s"), register_path)
 
