@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import re
 from collections.abc import Sequence
 
 from pyspark.sql import Column
@@ -142,29 +143,28 @@ def priority(sev: Column, kind: Column, days: Column) -> Column:
     return F.when(days < 0, "critical").when((days <= 7) & base.isin("medium", "low"), "high").otherwise(base)
 
 
+def filled(template: str, values: dict[str, Column]) -> Column:
+    """A text with its {names} replaced by columns."""
+    parts = re.split(r"\{(\w+)\}", template)
+    return F.concat(*[values[x] if i % 2 else F.lit(x) for i, x in enumerate(parts) if i % 2 or x])
+
+
+def _step_values(form: int, clause: Column, act: Column, ev: Column, party: Column, due: Column) -> dict[str, Column]:
+    given = {"action": act, "evidence": F.array_join(F.slice(ev, 1, 3), ", "), "party": party, "due": due}
+    default = {k: v if isinstance(v, str) else v[form] for k, v in L.STEP_DEFAULTS.items()}
+    return {"clause": F.coalesce(clause, F.lit(default["clause"]))} | {k: F.coalesce(F.nullif(c, F.lit("")), F.lit(default[k])) for k, c in given.items()}
+
+
 def default_steps(clause: Column, act: Column, ev: Column, party: Column) -> Column:
-    text = lambda c, d: F.coalesce(F.nullif(c, F.lit("")), F.lit(d))
-    return F.array(
-        F.concat(F.lit("Step 1: Review "), F.coalesce(clause, F.lit("None")), F.lit(" in the source circular and confirm applicability.")),
-        F.concat(F.lit("Step 2: "), text(act, "Implement the required changes per the obligation.")),
-        F.lit("Step 3: Update internal policy / procedures to reflect new requirement."),
-        F.concat(F.lit("Step 4: Collect and document evidence: "), text(F.array_join(F.slice(ev, 1, 3), ", "), "as applicable"), F.lit(".")),
-        F.concat(F.lit("Step 5: Submit completed checklist to "), text(party, "Compliance Officer"), F.lit(" for sign-off.")),
-    )
+    """The five-step procedure."""
+    values = _step_values(0, clause, act, ev, party, F.lit(None).cast("string"))
+    return F.array(*[filled(t, values) for t in L.DEFAULT_STEPS])
 
 
 def template_steps(clause: Column, act: Column, ev: Column, party: Column, due: Column) -> Column:
     """The six-step procedure."""
-    text = lambda c, d: F.coalesce(F.nullif(c, F.lit("")), F.lit(d))
-    join = lambda *p: F.concat(*[x if isinstance(x, Column) else F.lit(x) for x in p])
-    return F.array(
-        join("Step 1 — Review source clause: Read ", F.coalesce(clause, F.lit("None")), " and confirm applicability to your organisation."),
-        join("Step 2 — Gap assessment: Compare current policy/process against the requirement: '", text(act, "fulfil the stated requirement"), "'. Document any gaps found."),
-        F.lit("Step 3 — Implement changes: Update internal policy, systems, or procedures to satisfy the obligation. Notify affected teams."),
-        join("Step 4 — Collect evidence: Gather required evidence — ", text(F.array_join(F.slice(ev, 1, 3), ", "), "supporting documentation"), ". Store in the compliance repository with date and version."),
-        join("Step 5 — Review and approval: Submit evidence to ", text(party, "Compliance Officer"), " for sign-off before ", text(due, "the applicable regulatory deadline"), "."),
-        F.lit("Step 6 — Close and audit: Mark the obligation as complete in the compliance register. Confirm the audit trail reflects completion."),
-    )
+    values = _step_values(1, clause, act, ev, party, due)
+    return F.array(*[filled(t, values) for t in L.TEMPLATE_STEPS])
 
 
 def effort(description: Column, ladder: dict[str, str]) -> Column:

@@ -19,6 +19,7 @@ from pyspark.sql.types import StructField, StructType
 from pyspark.sql.window import Window
 
 from statuta.functions import fields as X
+from statuta.functions import lexicon as L
 from statuta.operators import similarity as S
 from statuta.operators import text as T
 from statuta.session import scratch_path
@@ -254,11 +255,8 @@ def recognise(window_rows: DataFrame, nearest: DataFrame, key: str = "circular_i
     sim = F.coalesce("similarity", F.lit(0.0))
     rows = rows.withColumn("novelty", F.bround(1 - sim, 4)).withColumn("is_novel_topic", (sim < known_at) | (F.coalesce("family_confidence", F.lit(0.0)) < sure_at)).withColumn("is_circular", F.col("circular_confidence") >= 0.5)
     name = F.replace("family", F.lit("_"), F.lit(" "))
-    verdict = (
-        F.when(~F.col("is_circular"), "Not recognised as a regulatory circular")
-        .when(F.col("is_novel_topic"), F.concat(F.lit("Recognised as a regulatory circular, but on a topic outside the trained families (closest: "), name, F.lit(")")))
-        .otherwise(F.concat(F.lit("Recognised as a regulatory circular — "), name))
-    )
+    told = F.when(F.col("is_novel_topic"), "new topic, nearest family: ").otherwise("family: ")
+    verdict = F.when(F.col("is_circular"), F.concat(told, name)).otherwise(L.NOT_RECOGNISED)
     return rows.withColumn("verdict", verdict).drop("similarity")
 
 

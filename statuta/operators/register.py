@@ -208,3 +208,9 @@ def version_timeline(register: DataFrame) -> DataFrame:
     has = F.exists("version_history", lambda v: v["version"] == F.col("version"))
     whole = F.when(has, F.col("version_history")).otherwise(F.concat("version_history", F.array(own)))
     return register.select("obligation_id", F.array_sort(whole).alias("timeline"))
+
+
+def highest(register: DataFrame, k: int = 25) -> DataFrame:
+    """The ``k`` rows of the highest severity and, within it, the highest confidence; ties by id."""
+    rank = F.when(F.col("severity") == "high", 2).when(F.col("severity") == "medium", 1).otherwise(0)
+    return register.orderBy(F.desc(rank), F.desc_nulls_last("confidence_score"), "obligation_id").limit(k)

@@ -6,8 +6,8 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from statuta.plans import graph_queries, register_queries, text_queries
+from statuta.plans import graph_queries, more_queries, register_queries, text_queries
 
-_ALL = [*register_queries.QUERIES, *text_queries.QUERIES, *graph_queries.QUERIES]
+_ALL = [*register_queries.QUERIES, *text_queries.QUERIES, *graph_queries.QUERIES, *more_queries.QUERIES]
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {f.__name__: f for f, _ in _ALL}
 ORACLES: dict[str, str] = {f.__name__: sql for f, sql in _ALL if sql}

@@ -114,7 +114,8 @@ def tfidf_weights(spark, d):
 
 
 def link_by_similarity(spark, d):
-    return S.link_by_similarity(V.turns(spark, d), at_least=0.1, stops=STOPS).select("circular_id", "a", "b", F.bround("similarity", 6).alias("similarity"), "rank")
+    docs = V.table(spark, d, "documents").select(F.col("source").alias("circular_id"), F.col("doc_id").alias("id"), "text")
+    return S.link_by_similarity(docs, at_least=0.3, stops=STOPS).select("circular_id", "a", "b", F.bround("similarity", 6).alias("similarity"), "rank")
 
 
 def _questions(spark, d):
@@ -286,11 +287,11 @@ QUERIES = [
     (tfidf_weights, "WITH " + tf_sql("SELECT conv_id || ':' || turn id, text FROM conversations", 2) + " SELECT id, term, round_even(weight, 6) weight FROM wts"),
     (
         link_by_similarity,
-        f"""WITH toks AS (SELECT conv_id g, turn id, list_filter(regexp_extract_all(lower(coalesce(text, '')), '[\\p{{L}}\\p{{M}}\\p{{N}}_]{{2,}}'), lambda x: x NOT IN ({", ".join(f"'{s}'" for s in STOPS)})) w FROM conversations),
+        f"""WITH toks AS (SELECT source g, doc_id id, list_filter(regexp_extract_all(lower(coalesce(text, '')), '[\\p{{L}}\\p{{M}}\\p{{N}}_]{{2,}}'), lambda x: x NOT IN ({", ".join(f"'{s}'" for s in STOPS)})) w FROM documents),
   grams AS (SELECT g, id, unnest(w) term FROM toks UNION ALL SELECT g, id, unnest(list_transform(range(1, len(w)), lambda i: w[i] || ' ' || w[i + 1])) FROM toks WHERE len(w) > 1), cnt AS (SELECT g, id, term, count(*) tf FROM grams GROUP BY 1, 2, 3),
   ndoc AS (SELECT g, count(DISTINCT id) n FROM cnt GROUP BY 1), dfs AS (SELECT g, term, count(*) df FROM cnt GROUP BY 1, 2), raw AS (SELECT g, id, term, tf * (ln((1 + n)::DOUBLE / (1 + df)) + 1) w FROM cnt JOIN dfs USING (g, term) JOIN ndoc USING (g)),
   nrm AS (SELECT g, id, sqrt(sum(w * w)) r FROM raw GROUP BY 1, 2), wts AS (SELECT g, id, term, w / r weight FROM raw JOIN nrm USING (g, id)),
-  sims AS (SELECT x.g, x.id a, y.id b, sum(x.weight * y.weight) s FROM wts x JOIN wts y USING (g, term) WHERE x.id <> y.id GROUP BY 1, 2, 3), r AS (SELECT *, row_number() OVER (PARTITION BY g, a ORDER BY round(s, 9) DESC, b) n FROM sims WHERE s >= 0.1)
+  sims AS (SELECT x.g, x.id a, y.id b, sum(x.weight * y.weight) s FROM wts x JOIN wts y USING (g, term) WHERE x.id <> y.id GROUP BY 1, 2, 3), r AS (SELECT *, row_number() OVER (PARTITION BY g, a ORDER BY round(s, 9) DESC, b) n FROM sims WHERE s >= 0.3)
   SELECT g circular_id, a, b, round_even(s, 6) similarity, n "rank" FROM r WHERE n <= 2""",
     ),
     (
