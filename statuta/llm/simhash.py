@@ -349,4 +349,5 @@ def keep_one(docs: DataFrame, radius: int = 4, size: int = 4, seed: int = 42, sh
     marked = materialize(fingerprints(tagged.select("tag", "row.doc_id", "row.text"), size, seed, "tag"), "fingerprints")
     name = F.struct(F.col("doc_id").isNull().alias("no_id"), "doc_id", "tag")
     kept = rooted_by(marked, name, radius, shard_rows).groupBy("root").agg(F.min("least").alias("least")).select("least.tag")
-    return tagged.join(kept, "tag", "left_semi").select("row.*")
+    # rows and kept tags meet by shuffle whatever their number, so the plan is the same at every size
+    return tagged.join(kept.hint("merge"), "tag", "left_semi").select("row.*")
