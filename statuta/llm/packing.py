@@ -31,7 +31,8 @@ class ChunkIds(dict):
     The tokenizer drops white space and never merges across it, so a text's ids are those of its chunks in
     order. Chunks of ASCII and Latin-1 letters are cut further, just where the tokenizer's own split cuts
     them; all others go through the whole tokenizer. What is remembered is bounded in bytes, not in entries:
-    a chunk of more than ``longest`` bytes is never kept, and a full memory is emptied.
+    a chunk of more than ``longest`` bytes is never kept, and when half the bound is full, what was not met since
+    the last time goes.
     """
 
     #: Bytes of an entry of a dict besides its key's and value's characters.
@@ -41,36 +42,42 @@ class ChunkIds(dict):
     plain = re.compile("[!-&(-~À-ÖØ-öø-ÿ]+")
     parts = re.compile("[a-zß-öø-ÿ]+|[0-9]|[^a-z0-9ß-öø-ÿ]+")
 
-    def __init__(self, tokenizer_json: str, most_bytes: int = 24_000_000):
+    def __init__(self, tokenizer_json: str, most_bytes: int = 64_000_000, parts_bytes: int = 96_000_000):
         from tokenizers import Tokenizer, pre_tokenizers
 
         super().__init__()
         self.whole = Tokenizer.from_str(tokenizer_json)
         self.bytes_as_letters = pre_tokenizers.ByteLevel(add_prefix_space=False, use_regex=False).pre_tokenize_str
-        self.most_bytes, self.part_ids, self.held, self.held_parts = most_bytes, {}, 0, 0
+        self.most_bytes, self.parts_bytes, self.part_ids, self.held, self.held_parts = most_bytes, parts_bytes, {}, 0, 0
+        self.before: dict[bytes, bytes] = {}
+        self.parts_before: dict[str, bytes] = {}
 
     def __missing__(self, chunk: bytes) -> bytes:
-        text = chunk.decode("utf-8")
-        if self.plain.fullmatch(text) and "<|" not in text:
-            ids = b"".join([self.part_ids.get(p) or self.of_part(p) for p in self.parts.findall(text.lower())])
-        else:
-            ids = np.asarray(self.whole.encode(text, add_special_tokens=False).ids, dtype="<u4").tobytes()
+        ids = self.before.get(chunk)
+        if ids is None:
+            ids = self.of_chunk(chunk.decode("utf-8"))
         if len(chunk) <= self.longest:
             self.held += len(chunk) + len(ids) + self.overhead
-            if self.held > self.most_bytes:
+            if self.held > self.most_bytes // 2:
+                self.before, self.held = dict(self), 0
                 self.clear()
-                self.held = 0
             self[chunk] = ids
         return ids
 
+    def of_chunk(self, text: str) -> bytes:
+        if self.plain.fullmatch(text) and "<|" not in text:
+            return b"".join([self.part_ids.get(p) or self.of_part(p) for p in self.parts.findall(text.lower())])
+        return np.asarray(self.whole.encode(text, add_special_tokens=False).ids, dtype="<u4").tobytes()
+
     def of_part(self, part: str) -> bytes:
-        letters = part if part.isascii() else self.bytes_as_letters(part)[0][0]
-        ids = np.asarray([t.id for t in self.whole.model.tokenize(letters)], dtype="<u4").tobytes()
+        ids = self.parts_before.get(part)
+        if ids is None:
+            letters = part if part.isascii() else self.bytes_as_letters(part)[0][0]
+            ids = np.asarray([t.id for t in self.whole.model.tokenize(letters)], dtype="<u4").tobytes()
         if len(part) <= self.longest:
             self.held_parts += len(part) + len(ids) + self.overhead
-            if self.held_parts > self.most_bytes // 2:
-                self.part_ids.clear()
-                self.held_parts = 0
+            if self.held_parts > self.parts_bytes // 2:
+                self.parts_before, self.part_ids, self.held_parts = self.part_ids, {}, 0
             self.part_ids[part] = ids
         return ids
 
