@@ -241,8 +241,9 @@ def score(docs: DataFrame, folds: int = 7, held_out: int = 2, deleted: int = 3,
     zero = 1.0 / (v + 1)
 
     def joined(kinds: DataFrame, column: str) -> DataFrame:
-        got = answers.filter(f"block is not null and {column} is not null").groupBy("block").agg(F.collect_list(F.struct("gram", "bucket", column)).alias("answers"))
-        return kinds.repartition(max(3 * n_blocks, 1), "block").join(got, "block").select("doc_ids", "ends", "words", "hashes", "answers", "kind")
+        tasks = max(3 * n_blocks, 1)  # for both sides, so that few tasks meet more than one block
+        got = answers.filter(f"block is not null and {column} is not null").repartition(tasks, "block").groupBy("block").agg(F.collect_list(F.struct("gram", "bucket", column)).alias("answers"))
+        return kinds.repartition(tasks, "block").join(got, "block").select("doc_ids", "ends", "words", "hashes", "answers", "kind")
 
     def cells(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:

@@ -36,7 +36,7 @@ class WordCounts(dict):
 
     longest, overhead = 32, 330
 
-    def __init__(self, pieces: list[tuple[str, float]], unknown: int = 0, byte_pieces: bool = True, special: Collection[str] = (), most_bytes: int = 48_000_000):
+    def __init__(self, pieces: list[tuple[str, float]], unknown: int = 0, byte_pieces: bool = True, special: Collection[str] = (), most_bytes: int = 160_000_000):
         import ahocorasick
 
         super().__init__()
