@@ -237,7 +237,8 @@ def extraction_scores(spark, d):
 
 
 def summary_metrics(spark, d):
-    reg = V.register(spark, d).withColumn("confidence_score", confidence())
+    # in 64ths, whose sums are exact in any order
+    reg = V.register(spark, d).withColumn("confidence_score", F.col("obligation_id") % 64 / 64.0)
     profiles = V.table(spark, d, "customer").select(F.col("c_custkey").alias("circular_id"), (F.col("c_custkey") % 30).cast("int").alias("sentences"))
     return I.summary_metrics(reg, profiles, prohibitions=("urgent",)).select("circular_id", "obligations_detected", "high_severity", "with_deadline", "recurring_obligations", "prohibitions", "distinct_owners", "mean_confidence", "obligation_density_pct")
 
@@ -356,7 +357,7 @@ QUERIES = [
     (
         summary_metrics,
         PLAIN
-        + """, c AS (SELECT circular_id, count(*) n, count(*) FILTER (severity = 'high') h, count(*) FILTER (coalesce(deadline, '') <> '') w, count(*) FILTER (deadline_type = 'recurring') r, count(*) FILTER (contains(lower(description), 'urgent')) p, count(DISTINCT responsible_party) o, round_even(avg((obligation_id % 100) / 100.0::DOUBLE), 3) m FROM register GROUP BY 1)
+        + """, c AS (SELECT circular_id, count(*) n, count(*) FILTER (severity = 'high') h, count(*) FILTER (coalesce(deadline, '') <> '') w, count(*) FILTER (deadline_type = 'recurring') r, count(*) FILTER (contains(lower(description), 'urgent')) p, count(DISTINCT responsible_party) o, round_even(avg((obligation_id % 64) / 64.0::DOUBLE), 3) m FROM register GROUP BY 1)
   SELECT c_custkey circular_id, coalesce(n, 0) obligations_detected, coalesce(h, 0) high_severity, coalesce(w, 0) with_deadline, coalesce(r, 0) recurring_obligations, coalesce(p, 0) prohibitions, coalesce(o, 0) distinct_owners, coalesce(m, 0) mean_confidence, round_even(coalesce(n, 0) / greatest(c_custkey % 30, 1)::DOUBLE * 100, 1) obligation_density_pct FROM customer LEFT JOIN c ON circular_id = c_custkey""",
     ),
     (
