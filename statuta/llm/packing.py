@@ -22,7 +22,7 @@ from pyspark.sql.window import Window
 from statuta.llm.common import materialize
 
 PIECE_SCHEMA = "doc_id long, start long, length long, ids_crc32 long, doc_tokens long"
-_CODERS: dict[int, ChunkIds] = {}
+_CODERS: dict[tuple[int, int, int], ChunkIds] = {}
 
 
 class ChunkIds(dict):
@@ -82,22 +82,25 @@ class ChunkIds(dict):
         return ids
 
 
-def chunk_encoder(tokenizer_json: str):
+def chunk_encoder(tokenizer_json: str, most_bytes: int = 64_000_000, parts_bytes: int = 96_000_000):
     """A function text -> token ids as little-endian uint32 bytes; a worker keeps what it has learned."""
-    key = zlib.crc32(tokenizer_json.encode())
+    key = (zlib.crc32(tokenizer_json.encode()), most_bytes, parts_bytes)
     known = _CODERS.get(key)
     if known is None:  # an empty one is kept as well, so no truth test; one tokenizer at a time
         _CODERS.clear()
-        known = _CODERS[key] = ChunkIds(tokenizer_json)
+        known = _CODERS[key] = ChunkIds(tokenizer_json, most_bytes, parts_bytes)
     return lambda text: b"".join(map(known.__getitem__, text.encode("utf-8", "replace").split()))
 
 
-def tokenize_pieces(docs: DataFrame, tokenizer_json: str, max_len: int = 4096, end_id: int = 2) -> DataFrame:
-    """Pieces of every document: ids of the text, then ``end_id``, cut every ``max_len`` tokens."""
+def tokenize_pieces(docs: DataFrame, tokenizer_json: str, max_len: int = 4096, end_id: int = 2, remembered: tuple[int, int] = (64_000_000, 96_000_000)) -> DataFrame:
+    """Pieces of every document: ids of the text, then ``end_id``, cut every ``max_len`` tokens.
+
+    ``remembered`` bounds the bytes of chunks and of parts that a worker keeps; it changes no result.
+    """
     coder = docs.sparkSession.sparkContext.broadcast(tokenizer_json)  # one vocabulary file, a few MB at most
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        encode, tail = chunk_encoder(coder.value), np.asarray([end_id], dtype="<u4").tobytes()
+        encode, tail = chunk_encoder(coder.value, *remembered), np.asarray([end_id], dtype="<u4").tobytes()
         names = ["doc_id", "start", "length", "ids_crc32", "doc_tokens"]
 
         def emit(rows: list[tuple]) -> pa.RecordBatch:
@@ -174,15 +177,16 @@ def ranked_within_length(pieces: DataFrame, buckets: int = 64) -> DataFrame:
     return salted.withColumn("place", place).join(first, ["length", "bucket"]).withColumn("rank", F.col("first") + F.col("place") - 1).drop("bucket", "place", "first")
 
 
-def pack(docs: DataFrame, tokenizer_json: str, max_len: int = 4096, end_id: int = 2, bucket_rows: int = 50_000) -> DataFrame:
+def pack(docs: DataFrame, tokenizer_json: str, max_len: int = 4096, end_id: int = 2, bucket_rows: int = 50_000, remembered: tuple[int, int] = (64_000_000, 96_000_000)) -> DataFrame:
     """Pack documents (doc_id, text) into sequences of at most ``max_len`` tokens.
 
     Returns one row per piece: doc_id, start, length, ids_crc32, doc_tokens, sequence_id, offset. A null text
     is an empty one and gives the single piece of ``end_id``; repeated rows are packed each on its own; null
     ids pass through; further columns of ``docs`` are ignored; an empty table gives no rows. Documents longer
-    than ``max_len`` are cut, so very long texts need no special case.
+    than ``max_len`` are cut, so very long texts need no special case. ``remembered`` bounds the bytes of
+    chunks and of parts that a worker keeps; it changes no result.
     """
-    pieces = materialize(tokenize_pieces(docs, tokenizer_json, max_len, end_id), "pieces")
+    pieces = materialize(tokenize_pieces(docs, tokenizer_json, max_len, end_id, remembered), "pieces")
     histogram = {r["length"]: r["n"] for r in pieces.groupBy("length").agg(F.count(F.lit(1)).alias("n")).collect()}
     slots = slots_of(shortest_pack_first(histogram, max_len))
     buckets = max(16, -(-max(histogram.values(), default=1) // bucket_rows))
