@@ -50,7 +50,8 @@ def packing(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     from statuta.llm.packing import pack
     from statuta.llm.queries import vocabulary_json
 
-    return pack(docs, vocabulary_json(), max_len=4096, end_id=2)
+    # the workers of earlier stages live on, so this stage remembers less than the operator alone
+    return pack(docs, vocabulary_json(), max_len=4096, end_id=2, remembered=(24_000_000, 12_000_000))
 
 
 STAGES = [
