@@ -269,15 +269,15 @@ def rule_scores(units: DataFrame) -> DataFrame:
 def extract_obligations(docs: DataFrame, scorer=rule_scores, threshold: float = 0.55, requested: Sequence[str] = ()) -> DataFrame:  # noqa: ANN001
     """Documents (circular_id, title, document_text) to obligation rows.
 
-    ``scorer`` adds obligation_probability to unit rows, and may add severity, severity_confidence, deadline_type
+    ``scorer`` adds obligation_probability to unit rows and keeps their columns; it may add severity, severity_confidence, deadline_type
     and intermediary_types of its own under model_* names.
     """
-    base = T.units(docs).filter(~T.is_boilerplate(F.col("sentence")))
+    base = T.units(docs, carry=["title"]).filter(~T.is_boilerplate(F.col("sentence")))
     rows = scorer(base)
     for name, kind in (("model_severity", "string"), ("model_severity_confidence", "double"), ("model_deadline_type", "string"), ("model_types", "array<string>")):
         if name not in rows.columns:
             rows = rows.withColumn(name, F.lit(None).cast(kind))
-    hits = rows.filter(F.col("obligation_probability") >= threshold).join(docs.select("circular_id", "title"), "circular_id")
+    hits = rows.filter(F.col("obligation_probability") >= threshold)
     s = F.col("sentence")
     asked = F.array(*[F.lit(r) for r in requested]).cast("array<string>")
     first = hits.withColumns({"_d": X.deadline(s), "_action": X.action(s), "_evidence": X.evidence(s)})

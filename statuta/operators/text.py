@@ -84,6 +84,12 @@ def block_sentences(body: Column, abbreviations: Sequence[str] = L.ABBREVIATIONS
     return let(_fragments(clean_text(body)), lambda f: _glue(f, abbreviations))
 
 
+def line_sentences(line: Column, abbreviations: Sequence[str] = L.ABBREVIATIONS) -> Column:
+    """``block_sentences`` of a line that was cleaned and squeezed before: only a bare page number is left to remove."""
+    plain = F.when(line.rlike(r"(?idU)^\s*(?:page\s+)?\d+(?:\s+of\s+\d+)?\s*$"), "").otherwise(line)
+    return let(_fragments(plain), lambda f: _glue(f, abbreviations))
+
+
 def clause_number(s: Column) -> Column:
     """The clause number at the beginning, '' where there is none."""
     return F.regexp_replace(strip(F.regexp_extract(s, "(?U)" + L.CLAUSE_NUMBER, 0)), r"[.)]+$", "")
@@ -112,8 +118,8 @@ def blocks(docs: DataFrame, text: str = "document_text", key: str = "circular_id
     return docs.select(key, F.posexplode(segment_blocks(F.col(text))).alias("block_no", "b")).select(key, "block_no", "b.kind", "b.text")
 
 
-def units(docs: DataFrame, text: str = "document_text", key: str = "circular_id", default_section: str = "General") -> DataFrame:
-    """One row per sentence: the key, order from 1, sentence, section (carried on), clause_number."""
+def units(docs: DataFrame, text: str = "document_text", key: str = "circular_id", default_section: str = "General", carry: Sequence[str] = ()) -> DataFrame:
+    """One row per sentence: the key, order from 1, sentence, section (carried on), clause_number, and the columns to carry."""
 
     def mark(b: Column) -> Column:
         return (
@@ -128,13 +134,13 @@ def units(docs: DataFrame, text: str = "document_text", key: str = "circular_id"
 
         def of_body(body: Column, name: Column) -> Column:
             number = clause_number(body)
-            return F.transform(block_sentences(without_clause_number(body)), lambda s: F.struct(s.alias("sentence"), name.alias("section"), number.alias("clause_number")))
+            return F.transform(line_sentences(without_clause_number(body)), lambda s: F.struct(s.alias("sentence"), name.alias("section"), number.alias("clause_number")))
 
         return let(section, lambda name: F.flatten(F.transform(bodies, lambda b: of_body(b, name))))
 
     parts = F.split(F.array_join(F.transform(segment_blocks(F.col(text)), mark), ""), SECTION)
-    rows = docs.select(key, F.posexplode(F.flatten(F.transform(parts, of_section))).alias("pos", "u"))
-    return rows.select(key, (F.col("pos") + 1).alias("order"), "u.sentence", "u.section", "u.clause_number")
+    rows = docs.select(key, *carry, F.posexplode(F.flatten(F.transform(parts, of_section))).alias("pos", "u"))
+    return rows.select(key, (F.col("pos") + 1).alias("order"), "u.sentence", "u.section", "u.clause_number", *carry)
 
 
 def _packed(pieces: Column, limit: int, closes: str) -> Column:
