@@ -27,4 +27,26 @@ SELECT doc_id, CAST(len(w) AS BIGINT) n_words, coalesce(h, 0) n_hit, coalesce(c,
 FROM dw LEFT JOIN cov USING (rid) LEFT JOIN its USING (rid)
 """
 
-ORACLES = {"op7_quality_rules": QUALITY, "op8_decontamination": DECONTAMINATION}
+#: Unsigned CRC-32 of an ASCII text: a byte is mixed in, then eight steps of shift and fixed polynomial.
+CRC32 = """xor(4294967295, list_reduce(list_concat([4294967295::BIGINT], flatten(list_transform(string_split(CAST({0} AS VARCHAR), ''), lambda x: list_concat([ascii(x)::BIGINT], [-1::BIGINT, -1, -1, -1, -1, -1, -1, -1])))),
+    lambda a, x: CASE WHEN x >= 0 THEN xor(a, x) WHEN a & 1 = 1 THEN xor(a >> 1, 3988292384::BIGINT) ELSE a >> 1 END))"""
+
+PREFIX_TRIE = f"""
+WITH t AS (SELECT conv_id c, row_number() OVER (PARTITION BY conv_id ORDER BY turn NULLS FIRST) - 1 p, length(coalesce(role, '')) || ':' || coalesce(role, '') || coalesce(text, '') x, length(coalesce(text, '')) n FROM conversations WHERE conv_id IS NOT NULL),
+convs AS (SELECT c, c - c % 100 b, {CRC32.format("c")} % 6 h FROM (SELECT DISTINCT c FROM t)),
+lent AS (SELECT convs.c, t.p, x, n FROM convs JOIN t ON t.c = b AND t.p < h), own AS (SELECT c, h + t.p - h p, x, n FROM convs JOIN t USING (c) WHERE t.p >= h),
+turns AS (SELECT c, row_number() OVER (PARTITION BY c ORDER BY s, p) d, x, n FROM (SELECT *, 0 s FROM lent UNION ALL SELECT *, 1 FROM own)),
+chain AS (SELECT c, d, n, list(sha256(x)) OVER (PARTITION BY c ORDER BY d) k FROM turns),
+pre AS (SELECT c, d, n, sha256(array_to_string(k, ',')) k FROM chain UNION ALL SELECT c, 0, 0, '' FROM convs),
+node AS (SELECT k, min(c) conv_id, any_value(d) depth, count(*) n_convs, any_value(n) chars FROM pre GROUP BY 1),
+place AS (SELECT c, d, conv_id FROM pre JOIN node USING (k)),
+link AS (SELECT node.conv_id, depth, n_convs, (n_convs - 1) * chars saved, up.conv_id parent_conv_id FROM node LEFT JOIN place up ON up.c = node.conv_id AND up.d = depth - 1),
+kids AS (SELECT parent_conv_id conv_id, depth - 1 AS depth, count(*) n FROM link WHERE depth > 0 GROUP BY 1, 2),
+sub AS (SELECT a.conv_id, a.d AS depth, count(*) FILTER (kids.n IS NULL) n_leaves, sum(saved) s FROM link JOIN place a ON a.c = link.conv_id AND a.d <= depth LEFT JOIN kids ON kids.conv_id = link.conv_id AND kids.depth = link.depth GROUP BY 1, 2),
+last AS (SELECT c, max(d) AS depth FROM pre GROUP BY 1),
+ends AS (SELECT conv_id, last.depth, sha256(string_agg(CAST(last.c AS VARCHAR), ',' ORDER BY last.c)) e FROM last JOIN place ON place.c = last.c AND place.d = last.depth GROUP BY 1, 2)
+SELECT conv_id, depth, parent_conv_id, n_convs, coalesce(kids.n, 0) n_children, n_leaves, CAST(s AS BIGINT) saved_tokens, coalesce(e, sha256('')) ends_sha256
+FROM link JOIN sub USING (conv_id, depth) LEFT JOIN kids USING (conv_id, depth) LEFT JOIN ends USING (conv_id, depth)
+"""
+
+ORACLES = {"op7_quality_rules": QUALITY, "op8_decontamination": DECONTAMINATION, "op11_prefix_trie": PREFIX_TRIE}

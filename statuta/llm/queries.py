@@ -105,9 +105,15 @@ def op10_quality_classifier(spark: SparkSession, sf_dir: str) -> DataFrame:
     return classify(docs, learn(docs, table(spark, sf_dir, "labels")))
 
 
+def op11_prefix_trie(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from statuta.llm.prefix_trie import prefix_trie
+
+    return prefix_trie(table(spark, sf_dir, "conversations"), rebuild_every=100, rebuild_most=6)
+
+
 QUERIES = {
     f.__name__: f
-    for f in (op1_packing, op2_secret_scans, op3_simhash, op4_lm_scoring, op5_pii, op6_sharding, op7_quality_rules, op8_decontamination, op9_token_counts, op10_quality_classifier)
+    for f in (op1_packing, op2_secret_scans, op3_simhash, op4_lm_scoring, op5_pii, op6_sharding, op7_quality_rules, op8_decontamination, op9_token_counts, op10_quality_classifier, op11_prefix_trie)
 }
 
 ORACLES: dict[str, str] = dict(oracles.ORACLES)
