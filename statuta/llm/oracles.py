@@ -49,4 +49,16 @@ SELECT conv_id, depth, parent_conv_id, n_convs, coalesce(kids.n, 0) n_children,
 FROM link JOIN sub USING (conv_id, depth) LEFT JOIN kids USING (conv_id, depth) LEFT JOIN ends USING (conv_id, depth)
 """
 
-ORACLES = {"op7_quality_rules": QUALITY, "op8_decontamination": DECONTAMINATION, "op11_prefix_trie": PREFIX_TRIE}
+_ASSIGN = "a{0} AS MATERIALIZED (SELECT r, vec_id, m // 16 d, m % 16 c, x FROM (SELECT r, any_value(vec_id) vec_id, min(CAST(list_sum(list_transform(list_zip(v.x, s.x), lambda z: (z[1] - z[2]) * (z[1] - z[2]))) AS BIGINT) * 16 + s.c) m, any_value(v.x) x FROM kept v, s{0} s GROUP BY 1))"
+_MOVE = """f{1} AS (SELECT c, list((s - (((s % n) + n) % n)) // n ORDER BY i) x FROM (SELECT c, i, CAST(sum(e) AS BIGINT) s, count(*) n FROM (SELECT c, unnest(x) e, generate_subscripts(x, 1) i FROM a{0}) GROUP BY 1, 2) GROUP BY 1),
+s{1} AS MATERIALIZED (SELECT c, coalesce(f{1}.x, s{0}.x) x FROM s{0} LEFT JOIN f{1} USING (c))"""
+
+CENTROIDS = f"""
+WITH kept AS MATERIALIZED (SELECT row_number() OVER () r, vec_id, list_transform(embedding, lambda e: CAST(floor(64 * CAST(e AS DOUBLE)) AS BIGINT)) x FROM embeddings WHERE len(embedding) = 64 AND len(list_filter(embedding, lambda e: e IS NOT NULL AND isfinite(e))) = 64),
+s0 AS MATERIALIZED (SELECT row_number() OVER (ORDER BY sha256('1:' || vec_id), x) - 1 c, x FROM kept QUALIFY row_number() OVER (ORDER BY sha256('1:' || vec_id), x) <= 16),
+{_ASSIGN.format(0)}, {_MOVE.format(0, 1)}, {_ASSIGN.format(1)}, {_MOVE.format(1, 2)}, {_ASSIGN.format(2)}, {_MOVE.format(2, 3)}, {_ASSIGN.format(3)}
+SELECT vec_id, CAST(a3.c AS INTEGER) AS "cluster", d distance, CAST(sum(d) OVER (PARTITION BY a3.c) AS BIGINT) cluster_inertia, CAST(sum(d) OVER () AS BIGINT) inertia, sha256(array_to_string(list_transform(s3.x, lambda e: CAST(e AS VARCHAR)), ',')) centroid_sha256
+FROM a3 JOIN s3 ON s3.c = a3.c
+"""
+
+ORACLES = {"op7_quality_rules": QUALITY, "op8_decontamination": DECONTAMINATION, "op11_prefix_trie": PREFIX_TRIE, "op13_centroid_clustering": CENTROIDS}
