@@ -111,6 +111,13 @@ def op11_prefix_trie(spark: SparkSession, sf_dir: str) -> DataFrame:
     return prefix_trie(table(spark, sf_dir, "conversations"), rebuild_every=100, rebuild_most=6)
 
 
+def op12_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from statuta.llm.toxicity import classify, learn
+
+    docs = table(spark, sf_dir, "documents")
+    return classify(docs, learn(docs, table(spark, sf_dir, "labels")))
+
+
 def op13_centroid_clustering(spark: SparkSession, sf_dir: str) -> DataFrame:
     from statuta.llm.centroid_clustering import clusters_with_inertia
 
@@ -119,7 +126,7 @@ def op13_centroid_clustering(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 QUERIES = {
     f.__name__: f
-    for f in (op1_packing, op2_secret_scans, op3_simhash, op4_lm_scoring, op5_pii, op6_sharding, op7_quality_rules, op8_decontamination, op9_token_counts, op10_quality_classifier, op11_prefix_trie, op13_centroid_clustering)
+    for f in (op1_packing, op2_secret_scans, op3_simhash, op4_lm_scoring, op5_pii, op6_sharding, op7_quality_rules, op8_decontamination, op9_token_counts, op10_quality_classifier, op11_prefix_trie, op12_toxicity, op13_centroid_clustering)
 }
 
 ORACLES: dict[str, str] = dict(oracles.ORACLES)
