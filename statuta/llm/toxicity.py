@@ -243,16 +243,15 @@ def learn(
     """Fit on at most ``sample_rows`` labelled documents of each label outside the held-out fold, in the order of a hash of the id.
 
     Documents weigh by the share of their label that was taken; ``ridge`` is a document's share in the penalty of large weights. Null labels are none; of several labels of one id the least holds, of
-    several texts the least. ``invariance`` 0 leaves the counterfactuals out. Without both labels the model is a constant.
+    several texts the least. ``invariance`` 0 leaves the counterfactuals out. Without both labels the model is a constant, near the one label or, without any, near 0.
     """
     rest = F.crc32(F.col("doc_id").cast("string")) % folds
     usable = labels.filter(F.col("toxic").isNotNull() & F.col("doc_id").isNotNull() & (rest != held_out)).groupBy(F.col("doc_id").cast("long").alias("doc_id")).agg(F.min((F.col("toxic") > 0).cast("int")).alias("y"))
     usable = materialize(usable, "toxicity-labels")
     sizes = {r["y"]: r["count"] for r in usable.groupBy("y").count().collect()}
     if len(sizes) < 2:
-        n, y = sum(sizes.values()), max(sizes, default=0)
-        share = (sizes.get(1, 0) + 0.5) / (n + 1) if n else 0.5 * (1 - y)
-        return ToxicityModel(intercept=float(np.log(share / (1 - share))) if 0 < share < 1 else -3.0)
+        share = (sizes.get(1, 0) + 0.5) / (sum(sizes.values()) + 1)
+        return ToxicityModel(intercept=float(np.log(share / (1 - share))) if sizes else -3.0)
     taken = {y: min(n, sample_rows) for y, n in sizes.items()}
     chosen = None
     for y in (0, 1):
