@@ -150,7 +150,7 @@ def latest_run(spark, d):
     return W.latest(events_log(spark, d), "timestamp", "event_id", by="circular_id").select("circular_id", "event_id", "event_type")
 
 
-def daily_event_counts(spark, d):
+def daily_signup_counts(spark, d):
     from statuta.streaming.ingest import daily_counts
 
     return daily_counts(events_log(spark, d)).select(F.date_format("day", "yyyy-MM-dd").alias("day"), "event_type", "n")
@@ -327,7 +327,7 @@ QUERIES = [
     (seen_anti_join, "SELECT page_id, md5(url)[1:8] url_hash FROM pages WHERE url NOT IN (SELECT url FROM pages WHERE html LIKE '%<table%')"),
     (audit_summary, "SELECT count(*) events, count(DISTINCT CASE WHEN event_type = 'signup' THEN user_id END) circulars_completed, count(*) FILTER (event_type = 'error') failures, arg_max(CASE event_type WHEN 'signup' THEN 'pipeline_completed' ELSE event_type END, (ts, event_type)) last_event FROM events"),
     (latest_run, "SELECT CAST(user_id AS VARCHAR) circular_id, arg_max(event_id, (ts, event_id)) event_id, arg_max(CASE event_type WHEN 'signup' THEN 'pipeline_completed' ELSE event_type END, (ts, event_id)) event_type FROM events GROUP BY user_id"),
-    (daily_event_counts, "SELECT strftime(ts, '%Y-%m-%d') \"day\", CASE event_type WHEN 'signup' THEN 'pipeline_completed' ELSE event_type END event_type, count(*) n FROM events GROUP BY 1, 2"),
+    (daily_signup_counts, "SELECT strftime(ts, '%Y-%m-%d') \"day\", CASE event_type WHEN 'signup' THEN 'pipeline_completed' ELSE event_type END event_type, count(*) n FROM events GROUP BY 1, 2"),
     (event_properties, "SELECT event_id, CAST(props->>'k' AS INTEGER) k FROM events"),
     (confidence_buckets, "SELECT CASE WHEN c >= 0.9 THEN '0.9–1.0' WHEN c >= 0.8 THEN '0.8–0.9' WHEN c >= 0.7 THEN '0.7–0.8' WHEN c >= 0.6 THEN '0.6–0.7' ELSE '0.55–0.6' END bucket, count(*) n FROM (SELECT value % 1.0::DOUBLE c FROM events WHERE value IS NOT NULL) GROUP BY 1"),
     (
