@@ -5,16 +5,15 @@ Every rule is a Column that is true where a text fails it. Each rule's cost (sec
 rejection per cost, and a text that fails a rule is not tried on the later ones. The verdict is the same in
 any order, since a text is kept only where no rule fails.
 
-The sample comes from the first partitions that hold enough rows, so its price does not follow the corpus. The
-cost of the rules here is estimated from the work that each does on the sample (characters scanned, windows made, at
-measured nanoseconds each), which gives the same order in every run. A rule without such an estimate is
-timed: by how much further repetitions of the sample prolong one task, so that planning, compiling
-and scheduling do not count. Ties go by selectivity and name.
+The sample comes from the first partitions that hold enough rows, so its price does not follow the corpus. A rule is
+timed as it will be tried: by how much further repetitions of the sample prolong one task, so that planning, compiling
+and scheduling do not count. Costs are rounded to powers of two, so that the clock's noise seldom changes the order;
+ties go by selectivity and name. ``text_costs`` replaces the clock where the order has to be the same in every run.
 """
 
 from __future__ import annotations
 
-import json
+import math
 import time
 from collections.abc import Callable
 
@@ -140,41 +139,49 @@ def text_costs() -> Rules:
     }
 
 
-def order_by_rejection_per_cost(docs: DataFrame, rules: Rules, text: str = "text", costs: Rules | None = None, sample_rows: int = 100, repeats: int = 6, longest: int = 100_000) -> list[dict]:
-    """Each rule's cost (seconds a row) and selectivity on ``sample_rows`` texts, best rejection per cost first.
+def sample_of(docs: DataFrame, text: str = "text", sample_rows: int = 2000, longest: int = 20_000) -> DataFrame:
+    """Up to ``sample_rows`` texts of up to ``longest`` characters from the first partitions that have enough of them, written once.
 
-    The sample holds texts of up to ``longest`` characters from the first partitions that have enough of them, so
-    what comes to the driver is bounded and other partitions are not read. It only orders the rules and never
-    decides on a row. ``costs`` estimates a rule's nanoseconds on a text; rules that it lacks are timed. An empty
-    table keeps the given order.
+    What comes to the driver is bounded and other partitions are not read. It only orders rules and never decides on a row.
     """
-    spark = docs.sparkSession
     value = F.col(f"`{text}`").cast("string").alias("text")
-    texts = [r["text"] for r in docs.select(value).filter(F.coalesce(F.length("text"), F.lit(0)) <= longest).limit(sample_rows).collect()]
-    n = len(texts)
-    sample = materialize(spark.range(1).select(F.explode(F.from_json(F.lit(json.dumps(texts)), "array<string>")).alias("text")), "rule-sample")
+    texts = docs.select(value).filter(F.coalesce(F.length("text"), F.lit(0)) <= longest).limit(sample_rows).collect()
+    return materialize(docs.sparkSession.createDataFrame([(r["text"],) for r in texts], "text string").coalesce(1), "rule-sample")
+
+
+def order_on(sample: DataFrame, rules: Rules, costs: Rules | None = None, repeats: int = 6) -> list[dict]:
+    """Each rule's cost (seconds a row) and selectivity on a written sample, best rejection per cost first.
+
+    ``costs`` estimates a rule's nanoseconds on a text; rules that it lacks are timed. An empty sample keeps the given order.
+    """
 
     def run(failed: Column, times: int) -> float:
-        rows = sample.select("text", F.explode(F.sequence(F.lit(1), F.lit(times))).alias("time")).coalesce(1).agg(F.count_if(failed))
+        rows = sample.select("*", F.explode(F.sequence(F.lit(1), F.lit(times))).alias("_time")).coalesce(1).agg(F.count_if(failed))
         rows.first()
         began = time.perf_counter()
         rows.first()
         return time.perf_counter() - began
 
-    if not n:
-        return [{"rule": name, "cost": 0.0, "selectivity": 0.0, "rank": 0.0} for name in rules]
     fails = {name: F.coalesce(rule(F.col("text")), F.lit(False)) for name, rule in rules.items()}
     work = {name: F.avg(cost(F.col("text"))) for name, cost in (costs or {}).items() if name in rules}
-    told = sample.agg(*[F.count_if(c).alias(f"n {k}") for k, c in fails.items()], *[c.alias(f"ns {k}") for k, c in work.items()]).first()
+    told = sample.agg(F.count(F.lit(1)).alias("n"), *[F.count_if(c).alias(f"n {k}") for k, c in fails.items()], *[c.alias(f"ns {k}") for k, c in work.items()]).first()
+    n = told["n"]
+    if not n:
+        return [{"rule": name, "cost": 0.0, "selectivity": 0.0, "rank": 0.0} for name in rules]
     least = 0.05 / (repeats * n)  # the clock tells 50 ms from nothing
     found = []
     for name, failed in fails.items():
-        cost = told[f"ns {name}"] * 1e-9 if name in work else max(run(failed, 1 + repeats) - run(failed, 1), least * repeats * n) / (repeats * n)
+        cost = told[f"ns {name}"] * 1e-9 if name in work else 2.0 ** round(math.log2(max((run(failed, 1 + repeats) - run(failed, 1)) / (repeats * n), least)))
         selectivity = told[f"n {name}"] / n
         found.append({"rule": name, "cost": cost, "selectivity": selectivity, "rank": selectivity / max(cost, 1e-9)})
     return sorted(found, key=lambda r: (-r["rank"], -r["selectivity"], r["rule"]))
 
 
+def order_by_rejection_per_cost(docs: DataFrame, rules: Rules, text: str = "text", costs: Rules | None = None, sample_rows: int = 2000, repeats: int = 6, longest: int = 20_000) -> list[dict]:
+    """``order_on`` the first texts of ``docs`` (``sample_of``)."""
+    return order_on(sample_of(docs, text, sample_rows, longest), rules, costs, repeats)
+
+
 def cascade(text: Column, rules: Rules, order: list[str]) -> Column:
     """The name of the first rule that fails, null where none does; later rules are not evaluated."""
     out = F.lit(None).cast("string")
@@ -193,33 +200,43 @@ def evaluated_counts(docs: DataFrame, rules: Rules, order: list[str], text: str
     return out
 
 
-def filter_by_rules(docs: DataFrame, rules: Rules | None = None, text: str = "text", sample_rows: int = 100) -> DataFrame:
+def filter_by_rules(docs: DataFrame, rules: Rules | None = None, text: str = "text", sample_rows: int = 2000) -> DataFrame:
     """The rows of ``docs`` that no rule rejects, with their columns as they are.
 
     A null or blank text has no words and is rejected by the word count. Repeated rows are judged each
     on its own; other columns may have any name, nulls in them do not matter; an empty table stays empty.
     """
-    order = [r["rule"] for r in order_by_rejection_per_cost(docs, rules or text_rules(), text, None if rules else text_costs(), sample_rows)]
     rules = rules or text_rules()
+    order = [r["rule"] for r in order_by_rejection_per_cost(docs, rules, text, None, sample_rows)]
     return docs.filter(cascade(F.col(f"`{text}`"), rules, order).isNull())
 
 
-def judge(docs: DataFrame, sample_rows: int = 100, base_repeat: int = 50, min_words: int = 50) -> DataFrame:
+def later_rules(**limits) -> Rules:
+    """The default rules besides those of the base verdict, over the measured columns and, for lines, the text."""
+    rules = default_rules(**limits)
+    return {k: rules[k] for k in ("symbols", "word_length", "repeated_lines")}
+
+
+def measured(docs: DataFrame, base_repeat: int = 50, min_words: int = 50) -> DataFrame:
+    """doc_id, text, the measured columns (the words are split once a row) and base_failed."""
+    base = docs.select("doc_id", F.col("text").cast("string").alias("text"))
+    failed = (F.col("n_words") < min_words) | (100 * F.col("n_repeat_words") > base_repeat * F.col("n_words"))
+    return base.select("doc_id", "text", *[v.alias(k) for k, v in stats(F.col("text")).items()]).withColumn("base_failed", failed)
+
+
+def judge(docs: DataFrame, sample_rows: int = 2000, base_repeat: int = 50, min_words: int = 50, rules: Rules | None = None) -> DataFrame:
     """Measured columns and verdict for every row: doc_id, n_words, word_chars, n_symbols, n_dup_lines,
     n_repeat_words, base_failed, kept.
 
-    The words are split once a row. The measured columns are part of the result, so they are made for every row
-    and only what a rule needs besides is left out after the first that fails; ``filter_by_rules`` measures
-    nothing that the cascade does not reach. A null or empty text has no words, so it fails; repeated rows are
-    judged each on its own; columns other than doc_id and text may have any name; an empty table gives no rows;
-    rows are never dropped.
+    The measured columns and the base verdict belong to the result and are made for every row. The cascade of ``rules``
+    (default: ``later_rules``) stands behind the base verdict: a row that fails it is tried on none of them. Their order comes
+    from what they cost and reject among sampled rows that pass the base verdict. A null or empty text has no words, so
+    it fails; repeated rows are judged each on its own; columns other than doc_id and text may have any name; an empty
+    table gives no rows; rows are never dropped.
     """
-    base = docs.select("doc_id", F.col("text").cast("string").alias("text"))
-    s = stats(F.col("text"))
-    rules = text_rules(min_words=min_words, repeat_share=base_repeat / 100)
-    order = [r["rule"] for r in order_by_rejection_per_cost(base, rules, "text", text_costs(), sample_rows)]
-    measured = base.select("doc_id", "text", *[v.alias(k) for k, v in s.items()])
-    by_columns = default_rules(min_words=min_words, repeat_share=base_repeat / 100)
-    failed = (F.col("n_words") < min_words) | (100 * F.col("n_repeat_words") > base_repeat * F.col("n_words"))
-    out = measured.select("doc_id", *s, failed.alias("base_failed"), cascade(F.col("text"), by_columns, order).isNull().alias("kept"))
-    return out
+    rules = rules or later_rules()
+    sample = sample_of(docs, "text", sample_rows).select(F.lit(None).cast("long").alias("doc_id"), "text")
+    passed = materialize(measured(sample, base_repeat, min_words).filter(~F.col("base_failed")), "rule-sample-measured")
+    order = [r["rule"] for r in order_on(passed, rules)]
+    verdict = F.when(F.col("base_failed"), F.lit(False)).otherwise(cascade(F.col("text"), rules, order).isNull())
+    return measured(docs, base_repeat, min_words).select("doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", verdict.alias("kept"))

@@ -44,3 +44,31 @@ def test_rules_on_hard_rows(spark):
     assert sorted((str(r.doc_id), r.n_words, r.n_repeat_words, r.kept) for r in got.collect()) == [("1", 0, 0, False), ("2", 0, 0, False), ("3", 0, 0, False), ("4", 120, 120, False), ("4", 120, 120, False), ("None", 60, 0, True)]
     assert [r.doc_id for r in q.filter_by_rules(df).collect()] == [None] and q.filter_by_rules(df).columns == df.columns
     assert q.judge(df.limit(0)).count() == 0
+
+
+def test_rows_that_fail_the_base_verdict_are_tried_on_no_rule(spark):
+    """A rule that fails the job wherever it is evaluated on such a row; the first rule in the order keeps the second from its rows."""
+    docs = spark.read.parquet(f"{DIR}/documents.parquet").withColumn("text", F.concat(F.coalesce("text", F.lit("")), F.lit(" "), F.col("doc_id").cast("string")))
+    c = F.col
+    boom = lambda when: F.when(when, F.raise_error(F.lit("reached")).cast("boolean"))
+    rules = {
+        "first": lambda t: boom(c("base_failed")).otherwise(t.rlike("[0-4]$")),
+        "second": lambda t: boom(c("base_failed") | (c("doc_id").isNotNull() & t.rlike("[0-4]$"))).otherwise(F.size(F.split(t, "\\s*\\s*x")) < 0),
+    }
+    out = q.judge(docs, rules=rules)
+    kept = out.filter("kept").select("doc_id").collect()
+    assert kept and all(r.doc_id % 10 > 4 for r in kept) and out.count() == docs.count()
+    rest = q.measured(docs).filter("not base_failed")
+    assert len(kept) == rest.filter("doc_id % 10 > 4").count() < rest.count() < docs.count()
+
+
+def test_the_order_is_made_of_the_rules_that_are_tried(spark):
+    """On rows that pass the base verdict: cost and selectivity of the later rules as they stand in the query."""
+    docs = spark.read.parquet(f"{DIR}/documents.parquet")
+    passed = q.measured(docs.select("doc_id", "text")).filter("not base_failed").cache()
+    found = q.order_on(passed, q.later_rules())
+    assert sorted(r["rule"] for r in found) == sorted(q.later_rules())
+    n = passed.count()
+    for r in found:
+        assert r["selectivity"] == passed.filter(q.later_rules()[r["rule"]](F.col("text"))).count() / n
+    assert [r["rank"] for r in found] == sorted((r["rank"] for r in found), reverse=True)
