@@ -2,9 +2,9 @@
 
 Base spans are those of three patterns. The method adds weak candidates: short assigned values, bare
 40-character keys and endpoints, none of which says much alone. They are joined with the complementary parts
-of the same text whose place is within ``scope`` characters (an interval join on bins of that size), and are
+of the same text that leave at most ``scope`` characters between them (an interval join on bins of that size), and are
 reported only where such a part is found: a weak secret needs an access identifier or an endpoint, an
-endpoint needs an access identifier or a secret.
+endpoint needs an access identifier or a secret. Assigned values, hex runs and weak secrets are secrets.
 """
 
 from __future__ import annotations
@@ -69,32 +69,30 @@ def candidates(docs: DataFrame, least_assign: int = 12, least_weak: int = 6, who
 def needs_linking() -> Column:
     """Whether a row holds a weak part and any other part that might complete it."""
     weak = F.size("weak") + F.size("endpoint")
-    return (weak > 0) & (F.size("assign") + F.size("access") + weak > 1)
+    return (weak > 0) & (F.size("assign") + F.size("access") + F.size("hex") + weak > 1)
 
 
 def link(both: DataFrame, scope: int = 400) -> DataFrame:
-    """Weak and endpoint spans that have a complementary part within ``scope`` characters, from start to start: tag and spans.
+    """Weak and endpoint spans that have a complementary part with at most ``scope`` characters between the two: tag and spans.
 
-    Each complementary part goes to the bin of its place and the two beside it, so a candidate meets the parts of
-    one bin only, whose number the bin's size bounds.
+    A part goes to every bin that its interval, widened by the scope, crosses, and a candidate to every bin that it
+    crosses itself. Spans of a kind do not overlap, so the bin's size bounds what meets there, and a span takes as many bins as its
+    length fills.
     """
-    role_of = lambda c, r: F.transform(c, lambda s: F.struct(s["start"].alias("at"), F.lit(r).alias("role")))
+    role_of = lambda c, r: F.transform(c, lambda s: F.struct(s["start"].alias("first"), s["end"].alias("last"), F.lit(r).alias("role")))
     # role 1: identifiers, 2: secrets, 3: endpoints
-    parts = both.select(
-        "tag",
-        F.inline(
-            F.concat(
-                *[role_of(c, r) for c, r in (("access", 1), ("assign", 2), ("weak", 2), ("endpoint", 3))]
-            )
-        ),
-    )
+    roles = (("access", 1), ("assign", 2), ("hex", 2), ("weak", 2), ("endpoint", 3))
+    parts = both.select("tag", F.inline(F.concat(*[role_of(c, r) for c, r in roles])))
     width = scope + 1
-    near = parts.select("tag", F.explode(F.array(*[F.floor(F.col("at") / width) + d for d in (-1, 0, 1)])).alias("bin"), "at", "role").distinct()
-    weak = both.select("tag", F.explode(F.concat("weak", "endpoint")).alias("span")).withColumn("bin", F.floor(F.col("span.start") / width))
+    bins = lambda first, last: F.explode(F.sequence(F.floor(first / width), F.floor(last / width)))
+    near = parts.select("tag", "first", "last", "role", bins(F.col("first") - scope, F.col("last") + scope).alias("bin"))
+    weak = both.select("tag", F.explode(F.concat("weak", "endpoint")).alias("span"))
+    weak = weak.select("tag", "span", bins(F.col("span.start"), F.col("span.end")).alias("bin"))
     # a secret needs an identifier or an endpoint, an endpoint an identifier or a secret: any other role will do
     role = F.when(F.col("span.rank") == 3, 2).otherwise(3)
     w, n = weak.withColumn("own", role).alias("w"), near.alias("n")
-    linked = w.join(n, (F.col("w.tag") == F.col("n.tag")) & (F.col("w.bin") == F.col("n.bin")) & (F.abs(F.col("w.span.start") - F.col("n.at")) <= scope) & (F.col("w.own") != F.col("n.role")), "left_semi")
+    gap = F.greatest(F.col("w.span.start") - F.col("n.last"), F.col("n.first") - F.col("w.span.end"))
+    linked = w.join(n, (F.col("w.tag") == F.col("n.tag")) & (F.col("w.bin") == F.col("n.bin")) & (gap <= scope) & (F.col("w.own") != F.col("n.role")), "left_semi")
     return linked.groupBy("tag").agg(F.collect_set("span").alias("linked"))
 
 

@@ -15,7 +15,7 @@ DIR = "/root/testdata/sf0.001"
 @pytest.mark.parametrize("name", sorted(ORACLES))
 def test_sql(spark, name):
     con = duckdb.connect()
-    for t in ("documents", "benchmark"):
+    for t in ("documents", "benchmark", "conversations", "embeddings"):
         con.sql(f"CREATE VIEW {t} AS SELECT * FROM '{DIR}/{t}.parquet'")
     df = queries.QUERIES[name](spark, DIR)
     columns = sorted(df.columns)
@@ -35,8 +35,8 @@ def brute_secret_spans(t, scope=400):
     if "AKIA" in t or "://" in t:
         weak += [(m.start(), 3, m.end()) for m in find(S.BARE_KEY)]
     ends = [(m.start(), 4, m.end()) for m in find(S.ENDPOINT)]
-    roles = [(s, 1) for s in base if s[1] == 1] + [(s, 2) for s in base if s[1] == 0] + [(s, 2) for s in weak] + [(s, 3) for s in ends]
-    near = lambda s, own: any(r != own and abs(s[0] - x[0]) <= scope for x, r in roles)
+    roles = [(s, 1) for s in base if s[1] == 1] + [(s, 2) for s in base if s[1] != 1] + [(s, 2) for s in weak] + [(s, 3) for s in ends]
+    near = lambda s, own: any(r != own and max(s[0] - x[2], x[0] - s[2]) <= scope for x, r in roles)
     more = {s for s in weak if near(s, 2)} | {s for s in ends if near(s, 3)}
     return ",".join(f"{S.KINDS[k]}:{a}:{b}" for a, k, b in sorted(base + sorted(more)))
 
@@ -54,6 +54,39 @@ def test_whole_secret_spans(spark):
     assert any("weak_secret" in s for s in got.values()) and any("endpoint" in s for s in got.values())
 
 
+def test_long_and_hex_parts_link(spark):
+    from statuta.llm.secret_scan import scan
+
+    url = "https://db.example.com/x"
+    texts = [
+        f"connect {url} {'deadbeef' * 5}", f"token={'Ab1' * 170} {url}", f"{url}{'/ab1' * 900} key {'c0ffee' * 4}",  # a hex run, a part and an endpoint beyond the scope's length
+        f"token={'Ab1' * 170} {'.' * 401}{url}", f"{url} alone", f"{'0123abcd' * 3} {'x ' * 199} {url}", f"{'0123abcd' * 3} {'x ' * 220} {url}",
+    ]
+    got = {r.doc_id: r.spans for r in scan(spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")).collect()}
+    assert got == {i: brute_secret_spans(t) for i, t in enumerate(texts)}
+    assert ["endpoint" in got[i] for i in range(7)] == [True, True, True, False, False, True, False]
+
+
+def test_planted_parts_in_the_documents(spark):
+    """Every third document gets parts at random places; all spans of all documents equal brute force."""
+    import random
+
+    from statuta.llm.secret_scan import scan
+
+    rng = random.Random(6)
+    parts = ["AKIA" + "A1B2C3D4E5F6G7H8", "password=abc1234", "https://api.example.com/v1", "Zz0+" * 10, "0123456789abcdef" * 2, "redis://cache:6379/0"]
+    rows = []
+    for r in spark.read.parquet("/root/testdata/sf0.01/documents.parquet").select("doc_id", "text").collect():
+        t = r.text or ""
+        for _ in range(rng.randint(1, 5) if r.doc_id % 3 == 0 else 0):
+            at = rng.randint(0, len(t))
+            t = f"{t[:at]} {rng.choice(parts)} {t[at:]}"
+        rows.append((r.doc_id, t))
+    got = sorted((r.doc_id, r.spans) for r in scan(spark.createDataFrame(rows, "doc_id long, text string").repartition(8)).collect())
+    assert got == sorted((i, brute_secret_spans(t)) for i, t in rows)
+    assert sum("endpoint" in s for _, s in got) > 20 and sum("weak_secret" in s for _, s in got) > 20
+
+
 def test_many_spans_in_one_text(spark):
     """Thousands of matches in one row take near linear time and keep their places."""
     from statuta.llm.pii import scan
