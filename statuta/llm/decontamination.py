@@ -4,7 +4,8 @@ The items are dealt into blocks of about ``block_words`` words by a hash, and ea
 items' words in a task of its own and written to the shared scratch folder. Documents stream through one
 automaton at a time: each position carries the length of the longest item passage that ends there, and
 passages of a whole window are hits. A task and the driver hold one block at a time (at the default below 100 MB in a worker), however large the item
-table is; with several blocks the documents pass once for each.
+table is. With several blocks the texts are written once with a tag and read once for each block; only tags, spans and item ids of
+documents with hits are written a block, and these meet the documents at the end.
 """
 
 from __future__ import annotations
@@ -12,12 +13,13 @@ from __future__ import annotations
 import pickle
 import zlib
 from collections import defaultdict
-from collections.abc import Callable, Iterator
+from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from statuta.llm.common import materialize
 
@@ -173,50 +175,70 @@ def held(blob: bytes) -> SuffixAutomaton:
     return _HELD[key]
 
 
-def streamed(rows: DataFrame, blocks: DataFrame, visit: Callable) -> DataFrame:
-    """``rows`` passed through the automaton of one block after the other: ``visit`` makes a batch from a batch and
-    an automaton, of the same columns. Between blocks the rows are written, so no task meets two automata.
-    """
-    numbers = sorted(r["block"] for r in blocks.select("block").collect())
-    for i, number in enumerate(numbers):
-        blob = blocks.filter(F.col("block") == number).first()["automaton"]  # of bounded size, see automata()
-        shared = rows.sparkSession.sparkContext.broadcast(blob)
+SPANS = "array<struct<start:long,end:long>>"
+_SPAN_KIND = pa.list_(pa.struct([("start", pa.int64()), ("end", pa.int64())]))
 
-        def run(batches: Iterator[pa.RecordBatch], shared=shared) -> Iterator[pa.RecordBatch]:
-            automaton = held(shared.value)
-            for batch in batches:
-                yield visit(batch, automaton)
 
-        rows = rows.mapInArrow(run, rows.schema)
-        if i + 1 < len(numbers):
-            rows = materialize(rows, "after-block")
-    return rows
+def _visited(rows: DataFrame, blob: bytes, text: str, hits_only: bool) -> tuple[DataFrame, object]:
+    """``rows`` with n_words, spans and item_ids of one block's automaton, and its broadcast; with ``hits_only``, rows with hits."""
+    shared = rows.sparkSession.sparkContext.broadcast(blob)
+    names = [c for c in rows.columns if not (hits_only and c == text)]
 
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        automaton = held(shared.value)
+        for batch in batches:
+            n, all_spans, all_names, at = [], [], [], []
+            for i, value in enumerate(batch.column(text)):
+                words = words_of(value.as_py())
+                found, owners = automaton.hits(words)
+                if found or not hits_only:
+                    at.append(i)
+                    n.append(len(words))
+                    all_spans.append([{"start": a, "end": b} for a, b in merged(found)])
+                    all_names.append(sorted(owners))
+            kept = [batch.column(c).take(pa.array(at, pa.int64())) if hits_only else batch.column(c) for c in names]
+            yield pa.RecordBatch.from_arrays([*kept, pa.array(n, pa.int64()), pa.array(all_spans, _SPAN_KIND), pa.array(all_names, pa.list_(pa.string()))], [*names, "n_words", "spans", "item_ids"])
 
-SPANS = "array<struct<start:long,end:long>>"
-_SPAN_KIND = pa.list_(pa.struct([("start", pa.int64()), ("end", pa.int64())]))
+    schema = T.StructType([*[rows.schema[c] for c in names], *T.StructType.fromDDL(f"n_words long, spans {SPANS}, item_ids array<string>").fields])
+    return rows.mapInArrow(run, schema), shared
 
 
-def found_in(rows: DataFrame, items: DataFrame, window: int, block_words: int, text: str = "text") -> DataFrame:
-    """Rows with n_words, spans and item_ids of the column ``text`` added. Without items the words are counted all the same."""
-    blocks = automata(items, window, block_words)
-    if blocks.isEmpty():
-        blob = pickle.dumps(SuffixAutomaton(window).finish([]), 5)
-        blocks = rows.sparkSession.range(1).select(F.lit(0).alias("block"), F.lit(blob).alias("automaton"))
+def _merge(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Spans of several blocks as one list, their items each once."""
+    for batch in batches:
+        spans = [[{"start": a, "end": b} for a, b in merged([(s["start"], s["end"]) for part in parts for s in part])] for parts in batch.column("spans").to_pylist()]
+        names = [sorted({x for part in parts for x in part}) for parts in batch.column("item_ids").to_pylist()]
+        yield pa.RecordBatch.from_arrays([batch.column("_tag"), batch.column("n_words"), pa.array(spans, _SPAN_KIND), pa.array(names, pa.list_(pa.string()))], ["_tag", "n_words", "spans", "item_ids"])
+
 
-    def visit(batch: pa.RecordBatch, automaton: SuffixAutomaton) -> pa.RecordBatch:
-        n, all_spans, all_names = [], [], []
-        for value, spans, names in zip(batch.column(text), batch.column("spans").to_pylist(), batch.column("item_ids").to_pylist()):
-            words = words_of(value.as_py())
-            found, owners = automaton.hits(words)
-            n.append(len(words))
-            all_spans.append([{"start": a, "end": b} for a, b in merged([(s["start"], s["end"]) for s in spans] + found)])
-            all_names.append(sorted({*names, *owners}))
-        made = {"n_words": pa.array(n, pa.int64()), "spans": pa.array(all_spans, _SPAN_KIND), "item_ids": pa.array(all_names, pa.list_(pa.string()))}
-        return pa.RecordBatch.from_arrays([made.get(c, batch.column(i)) for i, c in enumerate(batch.schema.names)], batch.schema.names)
+def found_in(rows: DataFrame, items: DataFrame, window: int, block_words: int, text: str = "text", count_words: bool = True) -> DataFrame:
+    """Rows with n_words, spans and item_ids of the column ``text`` added. Without items the words are counted all the same.
 
-    empty = rows.withColumns({"n_words": F.lit(0).cast("long"), "spans": F.array().cast(SPANS), "item_ids": F.array().cast("array<string>")})
-    return streamed(empty, blocks, visit)
+    Without ``count_words``, n_words may be null where there is no hit. How often a text is written or moved: not at all with one
+    block, and once with several. Documents meet the blocks' hits by a join that the planner chooses from the size of the written hits.
+    """
+    blocks = automata(items, window, block_words)
+    numbers = sorted(r["block"] for r in blocks.select("block").collect())
+    none = pickle.dumps(SuffixAutomaton(window).finish([]), 5)
+    blob = lambda number: blocks.filter(F.col("block") == number).first()["automaton"]  # noqa: E731  of bounded size, see automata()
+    if len(numbers) < 2:
+        return _visited(rows, blob(numbers[0]) if numbers else none, text, False)[0]
+    tagged = materialize(rows.withColumn("_tag", F.monotonically_increasing_id()), "tagged-for-blocks")
+    parts = None
+    for number in numbers:
+        found, shared = _visited(tagged.select("_tag", text), blob(number), text, True)
+        found = materialize(found, "block-hits")
+        shared.destroy()
+        parts = found if parts is None else parts.unionByName(found)
+    kind = f"_tag long, n_words long, spans {SPANS}, item_ids array<string>"
+    gathered = parts.groupBy("_tag").agg(F.max("n_words").alias("n_words"), F.collect_list("spans").alias("spans"), F.collect_list("item_ids").alias("item_ids"))  # at most one row a block
+    hits = materialize(gathered.select("_tag", "n_words", "spans", "item_ids").mapInArrow(_merge, kind), "hits")
+    joined = tagged.join(hits, "_tag", "left")
+    if count_words:
+        counted = materialize(_visited(tagged.select("_tag", text), none, text, False)[0].select("_tag", F.col("n_words").alias("_n")), "word-counts")
+        joined = tagged.drop(text).join(counted, "_tag").join(hits, "_tag", "left").withColumn("n_words", F.col("_n")).drop("_n")
+    empty = {"spans": F.coalesce("spans", F.array().cast(SPANS)), "item_ids": F.coalesce("item_ids", F.array().cast("array<string>"))}
+    return joined.withColumns(empty).select(*[c for c in rows.columns if c in joined.columns], "n_words", "spans", "item_ids")
 
 
 def scan(docs: DataFrame, items: DataFrame, window: int = 13, block_words: int = 200_000) -> DataFrame:
@@ -266,9 +288,9 @@ def decontaminate(docs: DataFrame, items: DataFrame, window: int = 13, coverage:
     inner = [f"c{i}" for i in range(len(names))]
     text = inner[names.index("text")]
     rows = docs.toDF(*inner)
-    rows = found_in(rows.withColumn(text, F.col(text).cast("string")), items, window, block_words, text)
+    rows = found_in(rows.withColumn(text, F.col(text).cast("string")), items, window, block_words, text, count_words=False)
     hit = F.aggregate("spans", F.lit(0).cast("long"), lambda s, x: s + x["end"] - x["start"])
-    kept = rows.filter(~((hit > 0) & (coverage * hit >= F.col("n_words"))))
+    kept = rows.filter(~F.coalesce((hit > 0) & (coverage * hit >= F.col("n_words")), F.lit(False)))
     if remove_spans:
 
         def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:

@@ -44,3 +44,22 @@ def test_spans_go_and_all_else_stays(spark):
     assert {r.text for r in decontaminate(df, bench).filter("doc_id = 1").collect()} == {rows[0][1]}
     assert decontaminate(df.limit(0), bench).count() == 0 and decontaminate(df, bench.limit(0)).count() == len(rows)
     assert [r.n_words for r in scan(df, bench.limit(0)).orderBy("n_words").collect()][:2] == [0, 0]
+
+
+def test_many_blocks_write_the_texts_once(spark):
+    """Twenty blocks: the documents that stay are those of one block, and less than twice the input is written."""
+    import os
+
+    docs = spark.read.parquet(f"{DIR}/documents.parquet")
+    items = spark.read.parquet(f"{DIR}/benchmark.parquet")
+    base = spark.conf.get("spark.checkpoint.dir")
+    size = lambda: sum(os.path.getsize(os.path.join(d, f)) for d, _, names in os.walk(base) for f in names if f.endswith(".parquet"))
+    one = decontaminate(docs, items, remove_spans=True)
+    before = size()
+    words = 40 * items.count()
+    many = decontaminate(docs, items, remove_spans=True, block_words=max(1, words // 20))
+    written = size() - before - sum(len(r.automaton) for r in automata(items, 13, max(1, words // 20)).collect())
+    assert automata(items, 13, max(1, words // 20)).count() >= 15
+    assert written < 2 * os.path.getsize(f"{DIR}/documents.parquet")
+    key = lambda df: sorted(map(str, df.collect()))
+    assert key(one) == key(many)
