@@ -22,7 +22,7 @@ from statuta.functions import fields as X
 from statuta.functions import lexicon as L
 from statuta.operators import similarity as S
 from statuta.operators import text as T
-from statuta.session import scratch_path
+from statuta.session import materialize, scratch_path
 
 DENSE = (
     "has_deontic", "has_prohibition", "has_discretion", "modal_followed_by_verb", "names_party", "has_timeline", "has_evidence_noun", "len_words_norm", "digit_ratio", "caps_ratio", "punct_ratio",
@@ -105,7 +105,7 @@ def fit_terms(texts: DataFrame, text: str = "text", key: str = "id", longest: in
     counts = _counts(texts, text, key, longest, characters)
     kept = S.document_frequencies(counts).filter(F.col("df") >= min_df).orderBy(F.desc("df"), "term").limit(most)
     # the vocabulary is bounded by ``most``, so one task may number it
-    numbered = kept.withColumn("index", F.row_number().over(Window.orderBy(F.desc("df"), "term")) - 1).persist()
+    numbered = materialize(kept.withColumn("index", F.row_number().over(Window.orderBy(F.desc("df"), "term")) - 1), "vocabulary")
     return TermSpace(numbered, numbered.count(), longest, characters, dense)
 
 
@@ -230,8 +230,19 @@ def explain(rows: DataFrame, model: LogisticRegressionModel, space: TermSpace, k
     names = space.terms.select("index", "term").unionByName(spark.createDataFrame([(space.size + i, f"modality__{n}") for i, n in enumerate(DENSE)], "index int, term string"))
     scored = model.transform(rows).withColumn("cls", F.when(F.lit(matrix.shape[0] > 1), F.col("prediction").cast("int")).otherwise(F.lit(0)))
     parts = scored.select(key, "cls", F.posexplode(vector_to_array("features")).alias("index", "value")).filter("value <> 0")
-    found = parts.join(F.broadcast(table), ["cls", "index"]).join(F.broadcast(names), "index").withColumn("contribution", F.col("value") * F.col("weight"))
-    by_size = Window.partitionBy(key).orderBy(F.desc(F.abs("contribution")), "term")
+    return explain_parts(parts.join(F.broadcast(table), ["cls", "index"]).join(F.broadcast(names), "index").select(key, "term", "value", "weight"), key, k)
+
+
+def explain_terms(values: DataFrame, coefficients: DataFrame, key: str = "id", k: int = 6) -> DataFrame:
+    """``explain_parts`` of texts in long form (key, term, value) and a sparse table of coefficients (term, weight); terms without a weight tell nothing."""
+    return explain_parts(values.join(coefficients.filter("weight <> 0"), "term").select(key, "term", "value", "weight"), key, k)
+
+
+def explain_parts(parts: DataFrame, key: str = "id", k: int = 6) -> DataFrame:
+    """(key, feature, contribution, direction, rank) of rows (key, term, value, weight): the k largest products a key, where
+    character terms take at most half of the places and are looked for among the 3 k largest. What differs beyond the ninth place is a tie, broken by term."""
+    found = parts.withColumn("contribution", F.col("value") * F.col("weight"))
+    by_size = Window.partitionBy(key).orderBy(F.desc(F.round(F.abs("contribution"), 9)), "term")
     wide = found.withColumn("_n", F.row_number().over(by_size)).filter(F.col("_n") <= 3 * k)
     words_first = Window.partitionBy(key).orderBy("_n")
     character = F.startswith("term", F.lit("char__"))

@@ -6,9 +6,9 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from statuta.plans import graph_queries, more_queries, register_queries, text_queries
+from statuta.plans import graph_queries, model_queries, more_queries, register_queries, text_queries
 
-_ALL = [*register_queries.QUERIES, *text_queries.QUERIES, *graph_queries.QUERIES, *more_queries.QUERIES]
+_ALL = [*register_queries.QUERIES, *text_queries.QUERIES, *graph_queries.QUERIES, *more_queries.QUERIES, *model_queries.QUERIES]
 _NAMES = [f.__name__ for f, _ in _ALL]
 if len(set(_NAMES)) < len(_NAMES):
     raise ValueError(f"registered twice: {sorted(n for n in set(_NAMES) if _NAMES.count(n) > 1)}")
