@@ -88,6 +88,38 @@ def recognised_documents(spark, d):
     return out.select("circular_id", "circular_confidence", "windows_analysed", "family", "family_confidence", "novelty", "is_novel_topic", "is_circular")
 
 
+def stream_ingestion(spark, d):
+    """Documents as a stream of files into a register of hash buckets; each file a batch, those that are seen or too short left out."""
+    from statuta.sources.buckets import read_buckets
+    from statuta.streaming.ingest import ingest
+
+    source, register, seen, checkpoint = (scratch_path(spark, n) for n in ("incoming", "register", "seen", "ingest-state"))
+    docs = V.table(spark, d, "documents").select(
+        F.concat(F.lit("https://x.example.org/"), F.coalesce("source", F.lit("")), F.lit("/"), F.col("doc_id").cast("string")).alias("detail_url"), F.col("doc_id").cast("string").alias("circular_id"),
+        F.lit("").alias("title"), F.col("lang").alias("circular_type"), F.lit("").alias("date"), F.col("text").alias("document_text"),
+    )
+    docs.repartition(4, "circular_id").write.json(source)
+    extract = lambda new: new.select(F.col("circular_id").cast("long").alias("obligation_id"), F.length("document_text").alias("characters"), F.col("circular_type").alias("lang"))
+    schema = "obligation_id long, characters int, lang string"
+    ingest(spark, source, register, seen, checkpoint, extract, schema, most_files=2, buckets=16).awaitTermination()
+    return read_buckets(spark, register, schema)
+
+
+def checklist_stream(spark, d):
+    """Checklist updates (of line items, a return done is the later state) as a stream that sets the evidence status of a register in buckets: counts by status."""
+    from statuta.sources.buckets import read_buckets, upsert_buckets
+    from statuta.streaming.ingest import checklist_batch
+
+    register, updates, source, checkpoint = (scratch_path(spark, n) for n in ("register", "updates", "update-files", "checklist-state"))
+    schema = "obligation_id long, severity string, evidence_status string"
+    upsert_buckets(spark, register, V.register(spark, d).select("obligation_id", "severity", F.lit("red").alias("evidence_status")), schema, buckets=16)
+    lines = V.table(spark, d, "lineitem").filter("l_returnflag <> 'N'")
+    lines.select(F.col("l_orderkey").alias("obligation_id"), F.col("l_linenumber").cast("string").alias("item_id"), (F.col("l_returnflag") == "R").alias("completed"), F.when(F.col("l_returnflag") == "R", 1).otherwise(0).alias("ts")).repartition(3, "obligation_id").write.parquet(source)
+    stream = spark.readStream.schema(spark.read.parquet(source).schema).option("maxFilesPerTrigger", 2).parquet(source)
+    stream.writeStream.foreachBatch(checklist_batch(register, updates, schema, buckets=16)).option("checkpointLocation", checkpoint).trigger(availableNow=True).start().awaitTermination()
+    return read_buckets(spark, register, schema).groupBy("evidence_status").agg(F.count(F.lit(1)).alias("n"))
+
+
 def _gradient_sql() -> str:
     k = len(FEATURES)
     zs = [f"(x{i} - m{i}) / s{i}" for i in range(k)]
@@ -116,6 +148,11 @@ QUERIES = [
     (logistic_scores, GRADIENT + " SELECT doc_id, h held_out, round_even(p, 4) probability, CAST(p >= 0.5 AS INTEGER) predicted FROM p"),
     (head_coefficients, GRADIENT + " SELECT 'intercept' AS feature, round_even(b, 6) weight FROM last " + " ".join(f"UNION ALL SELECT '{n}', round_even(w{i}, 6) FROM last" for i, n in enumerate(FEATURES))),
     (training_report, GRADIENT + REPORT),
+    (stream_ingestion, "SELECT doc_id obligation_id, CAST(length(text) AS INTEGER) characters, lang FROM documents WHERE length(text) >= 100"),
+    (
+        checklist_stream,
+        "WITH i AS (SELECT l_orderkey k, bool_or(l_returnflag = 'R') r FROM lineitem WHERE l_returnflag <> 'N' GROUP BY 1, l_linenumber), s AS (SELECT k, count(*) n, count(*) FILTER (r) c FROM i GROUP BY 1) SELECT CASE WHEN c = n THEN 'green' WHEN c > 0 THEN 'yellow' ELSE 'red' END evidence_status, count(*) n FROM orders LEFT JOIN s ON k = o_orderkey GROUP BY 1",
+    ),
     (
         explain_terms,
         rf"""WITH t AS (SELECT conv_id || ':' || turn id, coalesce(role, '') r, lower(coalesce(text, '')) s FROM conversations),
