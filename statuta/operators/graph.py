@@ -84,6 +84,19 @@ def timeline(spread: DataFrame, register: DataFrame) -> DataFrame:
     return hit.groupBy("deadline").agg(F.count(F.lit(1)).alias("obligation_count"), F.array_sort(F.collect_list("obligation_id")).alias("ids")).orderBy("deadline")
 
 
+def timeline_blocks(spread: DataFrame, register: DataFrame, block_ids: int = 1000) -> DataFrame:
+    """``timeline`` in two levels: deadline, block, blocks, obligation_count (of the block), ids (sorted), with about ``block_ids`` ids a block.
+
+    A deadline has as many blocks as its count asks for, and an id's block is the MD5 of the id, so however many ids share a
+    deadline, no group gathers more than a block. Counts are taken before anything is gathered.
+    """
+    hit = register.join(spread.select(F.col("node").alias("obligation_id")).distinct(), "obligation_id").filter(F.coalesce("deadline", F.lit("")) != "").select("obligation_id", "deadline")
+    sizes = hit.groupBy("deadline").agg(F.ceil(F.count(F.lit(1)) / block_ids).cast("int").alias("blocks"))
+    number = F.conv(F.substring(F.md5(F.col("obligation_id").cast("string").cast("binary")), 1, 7), 16, 10).cast("int")
+    dealt = hit.join(sizes, "deadline").withColumn("block", number % F.col("blocks"))
+    return dealt.groupBy("deadline", "block", "blocks").agg(F.count(F.lit(1)).alias("obligation_count"), F.array_sort(F.collect_list("obligation_id")).alias("ids"))
+
+
 def effort_totals(spread: DataFrame, register: DataFrame) -> DataFrame:
     """Affected obligations by effort class with their weights 3, 2 and 1."""
     from statuta.functions.fields import effort

@@ -6,10 +6,12 @@ removed from the text first, and the marked text is split. Nothing is shuffled,
 
 from __future__ import annotations
 
-from collections.abc import Sequence
+from collections.abc import Callable, Iterator, Sequence
 
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as t
 
 from statuta.functions import lexicon as L
 from statuta.functions.columns import let, literals, squeeze, strip, words
@@ -143,34 +145,54 @@ def units(docs: DataFrame, text: str = "document_text", key: str = "circular_id"
     return rows.select(key, (F.col("pos") + 1).alias("order"), "u.sentence", "u.section", "u.clause_number", *carry)
 
 
-def _packed(pieces: Column, limit: int, closes: str) -> Column:
-    """Greedy packing of an ordered array: struct<text, size, section> chunks by a fold over the row's array."""
-    start = F.struct(
-        F.array().cast("array<struct<text:string,section:string>>").alias("done"), F.lit("").alias("buffer"), F.lit(0).alias("size"), F.lit("General").alias("section")
-    )
+#: Characters that count as white space at the ends of a text.
+WHITE = "\t\n\x0b\x0c\r \x85\xa0\u1680\u2000\u2001\u2002\u2003\u2004\u2005\u2006\u2007\u2008\u2009\u200a\u2028\u2029\u202f\u205f\u3000"
 
-    def step(s: Column, b: Column) -> Column:
-        full = F.when(s["buffer"] != "", F.concat(s["done"], F.array(F.struct(s["buffer"].alias("text"), s["section"].alias("section"))))).otherwise(s["done"])
-        head = b["kind"] == closes
-        over = (s["size"] + F.length(b["text"]) > limit) & (s["buffer"] != "")
-        fresh = F.struct(full.alias("done"), b["text"].alias("buffer"), F.length(b["text"]).alias("size"), s["section"].alias("section"))
-        more = F.struct(
-            s["done"].alias("done"),
-            F.when(s["buffer"] == "", b["text"]).otherwise(F.concat(s["buffer"], F.lit(" "), b["text"])).alias("buffer"),
-            (s["size"] + F.length(b["text"])).alias("size"),
-            s["section"].alias("section"),
-        )
-        titled = F.struct(full.alias("done"), F.lit("").alias("buffer"), F.lit(0).alias("size"), b["text"].alias("section"))
-        return F.when(head, titled).when(over, fresh).otherwise(more)
 
-    end = lambda s: F.when(s["buffer"] != "", F.concat(s["done"], F.array(F.struct(s["buffer"].alias("text"), s["section"].alias("section"))))).otherwise(s["done"])
-    return F.aggregate(pieces, start, step, end)
+def folded(docs: DataFrame, key: str, pieces: Column, fold: Callable[[list[dict]], Iterator[tuple[str, str]]]) -> DataFrame:
+    """(key, place, text, section) of what ``fold`` makes of each row's array of structs, in one pass over it.
+
+    A fold in a Column expression copies all that it holds at each step, which is quadratic in a long document; here a
+    document takes time in proportion to its length. The pieces are cut by Column expressions before.
+    """
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            keys, places, texts, sections = [], [], [], []
+            for i in range(batch.num_rows):
+                row = batch.column(1)[i].as_py()
+                for place, (text, section) in enumerate(fold(row or [])):
+                    keys.append(i), places.append(place), texts.append(text), sections.append(section)
+            columns = [batch.column(0).take(pa.array(keys, pa.int64())), pa.array(places, pa.int32()), pa.array(texts, pa.string()), pa.array(sections, pa.string())]
+            yield pa.RecordBatch.from_arrays(columns, [key, "place", "text", "section"])
+
+    schema = t.StructType([docs.schema[key], t.StructField("place", t.IntegerType()), t.StructField("text", t.StringType()), t.StructField("section", t.StringType())])
+    return docs.select(key, pieces.alias("pieces")).mapInArrow(run, schema)
 
 
 def passages(docs: DataFrame, text: str = "document_text", key: str = "circular_id", target: int = 900, least: int = 40) -> DataFrame:
-    """Passages of about ``target`` characters inside clause boundaries: the key, passage_id, text, section, kind, place."""
-    packed = docs.select(key, F.posexplode(_packed(segment_blocks(F.col(text)), target, "heading")).alias("place", "p"))
-    return packed.filter(F.length("p.text") > least).select(key, F.format_string("p%03d", "place").alias("passage_id"), "p.text", "p.section", F.lit("document").alias("kind"), "place")
+    """Passages of about ``target`` characters inside clause boundaries: the key, passage_id, text, section, kind, place.
+
+    Blocks are taken up until the next would pass the target; a heading ends a passage and names those after it.
+    """
+
+    def fold(blocks: list[dict]) -> Iterator[tuple[str, str]]:
+        held, size, section = [], 0, "General"
+        for b in blocks:
+            heading = b["kind"] == "heading"
+            if held and (heading or size + len(b["text"]) > target):
+                yield " ".join(held), section
+                held, size = [], 0
+            if heading:
+                section = b["text"]
+            else:
+                held.append(b["text"])
+                size += len(b["text"])
+        if held:
+            yield " ".join(held), section
+
+    packed = folded(docs, key, segment_blocks(F.col(text)), fold).filter(F.length("text") > least)
+    return packed.select(key, F.format_string("p%03d", "place").alias("passage_id"), "text", "section", F.lit("document").alias("kind"), "place")
 
 
 def obligation_passages(obligations: DataFrame, document_passages: DataFrame, key: str = "circular_id") -> DataFrame:
@@ -189,24 +211,24 @@ def obligation_passages(obligations: DataFrame, document_passages: DataFrame, ke
 
 def chunks(docs: DataFrame, text: str = "document_text", key: str = "circular_id", size: int = 6000, least: int = 200) -> DataFrame:
     """Heading-aware chunks: a heading closes a chunk once more than ``least`` characters are held, ``size`` always does."""
-    start = F.struct(F.array().cast("array<struct<text:string,section:string>>").alias("done"), F.lit("").alias("buffer"), F.lit("General").alias("section"))
-    close = lambda s: F.concat(s["done"], F.array(F.struct(strip(s["buffer"]).alias("text"), s["section"].alias("section"))))
-
-    def step(s: Column, line: Column) -> Column:
-        head = strip(F.regexp_extract(line, L.CHUNK_HEADING, 1))
-        joined = F.concat(s["buffer"], line)
-        return (
-            F.when((head != "") & (F.length(strip(s["buffer"])) > least), F.struct(close(s).alias("done"), line.alias("buffer"), head.alias("section")))
-            .when(
-                F.length(joined) >= size,
-                F.struct(F.concat(s["done"], F.array(F.struct(strip(joined).alias("text"), s["section"].alias("section")))).alias("done"), F.lit("").alias("buffer"), s["section"].alias("section")),
-            )
-            .otherwise(F.struct(s["done"].alias("done"), joined.alias("buffer"), s["section"].alias("section")))
-        )
 
-    lines = F.split(F.col(text), r"(?<=\n)")
-    folded = F.aggregate(lines, start, step, lambda s: F.when(strip(s["buffer"]) != "", close(s)).otherwise(s["done"]))
-    return docs.select(key, F.posexplode(folded).alias("chunk_no", "c")).select(key, "chunk_no", "c.text", F.col("c.section").alias("section_hint"))
+    def fold(lines: list[dict]) -> Iterator[tuple[str, str]]:
+        held, n, section = [], 0, "General"
+        for x in lines:
+            if x["head"] and len("".join(held).strip(WHITE)) > least:
+                yield "".join(held).strip(WHITE), section
+                held, n, section = [x["line"]], len(x["line"]), x["head"]
+                continue
+            held.append(x["line"])
+            n += len(x["line"])
+            if n >= size:
+                yield "".join(held).strip(WHITE), section
+                held, n = [], 0
+        if "".join(held).strip(WHITE):
+            yield "".join(held).strip(WHITE), section
+
+    lines = F.transform(F.split(F.col(text), r"(?<=\n)"), lambda x: F.struct(x.alias("line"), strip(F.regexp_extract(x, L.CHUNK_HEADING, 1)).alias("head")))
+    return folded(docs, key, lines, fold).select(key, F.col("place").alias("chunk_no"), "text", F.col("section").alias("section_hint"))
 
 
 def windows(docs: DataFrame, text: str = "document_text", key: str = "circular_id", width: int = 1200, least: int = 250, training: bool = False) -> DataFrame:

@@ -89,6 +89,12 @@ def impact_timeline(spark, d):
     return G.timeline(spread, V.register(spark, d)).select("deadline", "obligation_count", F.array_join(F.col("ids").cast("array<string>"), ",").alias("ids"))
 
 
+def impact_timeline_blocks(spark, d):
+    """The timeline with at most about 50 ids a row, whatever the number of a deadline's obligations."""
+    out = G.timeline_blocks(G.propagate_direct(V.order_edges(spark, d)), V.register(spark, d), 50)
+    return out.select("deadline", "block", "blocks", "obligation_count", F.array_join(F.col("ids").cast("array<string>"), ",").alias("ids"))
+
+
 def effort_totals(spark, d):
     return G.effort_totals(G.propagate_direct(V.order_edges(spark, d)), V.register(spark, d))
 
@@ -124,6 +130,11 @@ QUERIES = [
     ),
     (set_difference_affected, REACH + " SELECT DISTINCT node FROM reach WHERE root LIKE 'p%' AND depth > 1 AND node NOT IN (SELECT node FROM reach WHERE root LIKE 'p%' AND depth = 1)"),
     (impact_timeline, "WITH " + V.REGISTER + ", " + V.ORDER_EDGES + " SELECT deadline, count(*) obligation_count, string_agg(obligation_id, ',' ORDER BY obligation_id) ids FROM register WHERE obligation_id IN (SELECT dst FROM order_edges) GROUP BY 1"),
+    (
+        impact_timeline_blocks,
+        "WITH " + V.REGISTER + ", " + V.ORDER_EDGES + """, h AS (SELECT obligation_id, deadline FROM register WHERE obligation_id IN (SELECT dst FROM order_edges)), c AS (SELECT deadline, CAST(ceil(count(*) / 50.0) AS INTEGER) AS blocks FROM h GROUP BY 1)
+  SELECT deadline, CAST('0x' || md5(CAST(obligation_id AS VARCHAR))[1:7] AS INTEGER) % blocks AS "block", any_value(blocks) AS blocks, count(*) obligation_count, string_agg(obligation_id, ',' ORDER BY obligation_id) ids FROM h JOIN c USING (deadline) GROUP BY 1, 2""",
+    ),
     (effort_totals, "WITH " + V.REGISTER + ", " + V.ORDER_EDGES + " SELECT 'high' effort, count(*) obligations, 3 * count(*) effort_points FROM register WHERE obligation_id IN (SELECT dst FROM order_edges)"),
     (affected_workflows, "WITH " + V.REGISTER + ", " + V.ORDER_EDGES + " SELECT DISTINCT w AS workflow FROM (SELECT unnest(keywords) w FROM register WHERE obligation_id IN (SELECT dst FROM order_edges)) WHERE w LIKE '%risk%'"),
     (

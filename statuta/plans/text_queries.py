@@ -262,8 +262,27 @@ QUERIES = [
         r"""WITH f AS (SELECT doc_id, trim(regexp_replace(coalesce(text, ''), '\s+', ' ', 'g')) t FROM documents), w AS (SELECT doc_id, CASE WHEN t = '' THEN [] WHEN length(t) <= 1200 THEN [t] ELSE list_filter(list_transform(range(0, length(t) - 600, 600), lambda i: t[i + 1 : i + 1200]), lambda x: length(x) >= 250) END w FROM f)
   SELECT doc_id circular_id, unnest(range(0, len(w))) window_no, md5(unnest(w)) digest FROM w WHERE len(w) > 0""",
     ),
-    (passage_packing, None),
-    (text_chunks, None),
+    (
+        passage_packing,
+        "WITH RECURSIVE "
+        + BLOCKS
+        + """, nb AS MATERIALIZED (SELECT doc_id, kind, b, length(b) l, row_number() OVER (PARTITION BY doc_id ORDER BY i) n FROM blocks WHERE b <> ''),
+  r AS (SELECT DISTINCT doc_id, 0::BIGINT n, 0::BIGINT s, false o, 0::BIGINT c, 'General' h, true head FROM nb UNION ALL
+    SELECT nb.doc_id, nb.n, CASE WHEN kind = 'heading' THEN 0 WHEN o AND s + l > 900 THEN l ELSE s + l END, kind <> 'heading', c + CASE WHEN o AND (kind = 'heading' OR s + l > 900) THEN 1 ELSE 0 END, CASE WHEN kind = 'heading' THEN b ELSE h END, kind = 'heading' FROM r JOIN nb ON nb.doc_id = r.doc_id AND nb.n = r.n + 1),
+  p AS (SELECT doc_id, c, sum(l) + count(*) - 1 k, any_value(h) h FROM r JOIN nb USING (doc_id, n) WHERE NOT head GROUP BY 1, 2)
+  SELECT doc_id circular_id, 'p' || lpad(CAST(c AS VARCHAR), CAST(greatest(3, length(CAST(c AS VARCHAR))) AS INTEGER), '0') passage_id, CAST(k AS INTEGER) characters, h AS "section" FROM p WHERE k > 40""",
+    ),
+    (
+        text_chunks,
+        r"""WITH RECURSIVE ln AS (SELECT doc_id, unnest(list_transform(range(1, len(x) + 1), lambda i: x[i] || CASE WHEN i < len(x) THEN chr(10) ELSE '' END)) l, unnest(range(1, len(x) + 1)) n FROM (SELECT doc_id, string_split(text, chr(10)) x FROM documents WHERE text IS NOT NULL)),
+  hd AS MATERIALIZED (SELECT doc_id, l, n, regexp_replace(regexp_extract(l, '^((?:\d+\.)+\d*\s+[A-Z][^\n]{3,80}|[A-Z][A-Z\s]{4,60}|(?:PART|CHAPTER|SECTION)\s+\w+)', 1), '^\s+|\s+$', '', 'g') h FROM ln),
+  r AS (SELECT DISTINCT doc_id, 0::BIGINT n, '' b, 'General' s, 0::BIGINT c, NULL::VARCHAR e, '' es FROM hd UNION ALL
+    SELECT q.doc_id, q.n, CASE WHEN cut THEN q.l WHEN length(q.b || q.l) >= 6000 THEN '' ELSE q.b || q.l END, CASE WHEN cut THEN h ELSE s END, c + CASE WHEN cut OR length(q.b || q.l) >= 6000 THEN 1 ELSE 0 END,
+      CASE WHEN cut THEN t WHEN length(q.b || q.l) >= 6000 THEN regexp_replace(q.b || q.l, '^\s+|\s+$', '', 'g') END, s
+    FROM (SELECT hd.doc_id, hd.n, hd.l, hd.h, r.b, r.s, r.c, regexp_replace(r.b, '^\s+|\s+$', '', 'g') t, hd.h <> '' AND length(regexp_replace(r.b, '^\s+|\s+$', '', 'g')) > 200 cut FROM r JOIN hd ON hd.doc_id = r.doc_id AND hd.n = r.n + 1) q),
+  z AS (SELECT doc_id, c - 1 k, e, es FROM r WHERE e IS NOT NULL UNION ALL SELECT doc_id, c, regexp_replace(b, '^\s+|\s+$', '', 'g'), s FROM (SELECT *, row_number() OVER (PARTITION BY doc_id ORDER BY n DESC) x FROM r) WHERE x = 1 AND regexp_matches(b, '\S'))
+  SELECT doc_id circular_id, k chunk_no, CAST(length(e) AS INTEGER) characters, es section_hint FROM z""",
+    ),
     (document_metadata, None),
     (
         modality_features,
