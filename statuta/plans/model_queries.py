@@ -121,18 +121,18 @@ def checklist_stream(spark, d):
 
 
 def merge_sets(spark, d):
-    """Documents of even numbers as local obligations, of odd ones as responses, merged within their source: near copies meet."""
+    """Two sets that overlap in a third of the documents, which the responses have in a revised wording, merged within their source."""
     from statuta.operators.changes import merge_sets as merge
 
     n, text = F.col("doc_id"), lambda *p: F.concat(*[F.lit(x) if isinstance(x, str) else x.cast("string") for x in p])
     docs = V.table(spark, d, "documents").withColumn("text", F.coalesce("text", F.lit("")))
-    fixed = [F.col("source").alias("circular_id"), n.alias("order"), F.col("text").alias("description"), F.lit("").alias("required_action"), F.col("lang").alias("responsible_party")]
-    local = docs.filter(n % 2 == 0).select(
-        *fixed, text("L", n).alias("title"), F.when(n % 4 == 0, "").otherwise(text("day ", n)).alias("deadline"), F.lit("fixed").alias("deadline_type"),
+    fixed = [F.col("source").alias("circular_id"), n.alias("order"), F.lit("").alias("required_action"), F.col("lang").alias("responsible_party")]
+    local = docs.filter(n % 3 != 2).select(
+        *fixed, F.col("text").alias("description"), text("L", n).alias("title"), F.when(n % 4 == 0, "").otherwise(text("day ", n)).alias("deadline"), F.lit("fixed").alias("deadline_type"),
         F.array(F.col("lang"), F.lit("file")).alias("evidence_requirements"), F.array("source").alias("keywords"), (n % 64 / 64.0).alias("confidence_score"),
     )
-    response = docs.filter(n % 2 == 1).select(
-        *fixed, F.when(n % 3 == 0, "").otherwise(text("R", n)).alias("title"), F.when(n % 5 == 0, "").otherwise(text("due ", n)).alias("deadline"), F.lit("relative").alias("deadline_type"),
+    response = docs.filter(n % 3 != 0).select(
+        *fixed, text("revised ", F.col("text")).alias("description"), F.when(n % 7 == 0, "").otherwise(text("R", n)).alias("title"), F.when(n % 5 == 0, "").otherwise(text("due ", n)).alias("deadline"), F.lit("relative").alias("deadline_type"),
         F.array(text("e", n % 7), F.lit("file")).alias("evidence_requirements"), F.array("lang", "source").alias("keywords"), F.lit(0.8).alias("confidence_score"),
     )
     out = merge(local, response, stops=STOPS)
@@ -175,15 +175,15 @@ QUERIES = [
     ),
     (
         merge_sets,
-        "WITH " + tf_sql("SELECT doc_id id, coalesce(text, '') AS text FROM documents", 2)
-        + """, sims AS (SELECT r.id r, l.id l, sum(r.weight * l.weight) s FROM wts r JOIN wts l USING (term) JOIN documents dr ON dr.doc_id = r.id JOIN documents dl ON dl.doc_id = l.id WHERE r.id % 2 = 1 AND l.id % 2 = 0 AND dr.source = dl.source GROUP BY 1, 2),
+        "WITH " + tf_sql("SELECT doc_id id, coalesce(text, '') AS text FROM documents WHERE doc_id % 3 <> 2 UNION ALL SELECT doc_id + 1000000000000, 'revised ' || coalesce(text, '') FROM documents WHERE doc_id % 3 <> 0", 2)
+        + """, sims AS (SELECT dr.doc_id r, dl.doc_id l, sum(r.weight * l.weight) s FROM wts r JOIN wts l USING (term) JOIN documents dr ON dr.doc_id = r.id - 1000000000000 JOIN documents dl ON dl.doc_id = l.id WHERE dr.source = dl.source GROUP BY 1, 2),
   best AS (SELECT r, l FROM (SELECT *, row_number() OVER (PARTITION BY r ORDER BY round(s, 9) DESC, l) n FROM sims WHERE s >= 0.55) WHERE n = 1), claim AS (SELECT min(r) r, l FROM best GROUP BY l),
-  base AS (SELECT doc_id id, source, lang, CASE WHEN doc_id % 2 = 0 THEN 'L' || doc_id WHEN doc_id % 3 = 0 THEN '' ELSE 'R' || doc_id END title, CASE WHEN doc_id % 2 = 0 THEN CASE WHEN doc_id % 4 = 0 THEN '' ELSE 'day ' || doc_id END WHEN doc_id % 5 = 0 THEN '' ELSE 'due ' || doc_id END deadline,
-    CASE WHEN doc_id % 2 = 0 THEN [lang, 'file'] ELSE ['e' || doc_id % 7, 'file'] END ev, CASE WHEN doc_id % 2 = 0 THEN [source] ELSE [lang, source] END kw FROM documents),
+  a AS (SELECT doc_id id, source, 'L' || doc_id title, CASE WHEN doc_id % 4 = 0 THEN '' ELSE 'day ' || doc_id END deadline, [lang, 'file'] ev, [source] kw FROM documents WHERE doc_id % 3 <> 2),
+  b AS (SELECT doc_id id, source, CASE WHEN doc_id % 7 = 0 THEN '' ELSE 'R' || doc_id END title, CASE WHEN doc_id % 5 = 0 THEN '' ELSE 'due ' || doc_id END deadline, ['e' || doc_id % 7, 'file'] ev, [lang, source] kw FROM documents WHERE doc_id % 3 <> 0),
   own AS (SELECT x.source, x.id, 0 part, coalesce(nullif(r.title, ''), x.title) title, CASE WHEN x.deadline = '' THEN coalesce(nullif(r.deadline, ''), '') ELSE x.deadline END deadline, CASE WHEN x.deadline = '' AND coalesce(r.deadline, '') <> '' THEN 'relative' ELSE 'fixed' END kind,
     CASE WHEN r.id IS NULL THEN x.ev ELSE list_sort(list_distinct(list_concat(x.ev, r.ev)))[1:6] END ev, CASE WHEN r.id IS NULL THEN x.kw ELSE list_sort(list_distinct(list_concat(x.kw, r.kw)))[1:8] END kw,
-    CASE WHEN r.id IS NULL THEN (x.id % 64) / 64.0::DOUBLE ELSE round_even(least(1.0::DOUBLE, (x.id % 64) / 64.0::DOUBLE + 0.05::DOUBLE), 3) END c, r.id IS NOT NULL ok FROM base x LEFT JOIN claim ON l = x.id LEFT JOIN base r ON r.id = claim.r WHERE x.id % 2 = 0),
-  every AS (SELECT * FROM own UNION ALL SELECT source, id, 1, title, deadline, 'relative', ev, kw, 0.8::DOUBLE, false FROM base WHERE id % 2 = 1 AND id NOT IN (SELECT r FROM claim))
+    CASE WHEN r.id IS NULL THEN (x.id % 64) / 64.0::DOUBLE ELSE round_even(least(1.0::DOUBLE, (x.id % 64) / 64.0::DOUBLE + 0.05::DOUBLE), 3) END c, r.id IS NOT NULL ok FROM a x LEFT JOIN claim ON l = x.id LEFT JOIN b r ON r.id = claim.r),
+  every AS (SELECT * FROM own UNION ALL SELECT source, id, 1, title, deadline, 'relative', ev, kw, 0.8::DOUBLE, false FROM b WHERE id NOT IN (SELECT r FROM claim))
   SELECT source || '_obl_' || (row_number() OVER (PARTITION BY source ORDER BY part, id) - 1) AS obligation_id, id source_id, title, deadline, kind deadline_type, array_to_string(ev, ',') evidence_requirements, array_to_string(kw, ',') keywords, round_even(c, 6) confidence_score, ok confirmed FROM every""",
     ),
     (
