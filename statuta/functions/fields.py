@@ -204,8 +204,8 @@ def trigger_confidence(description: Column, act: Column, section: Column, trigge
     hits = F.array_compact(F.array(*[F.when(text.contains(t), F.lit(t)) for t in triggers]))
 
     def build(h: Column) -> Column:
-        why = F.when(F.size(h) > 0, F.concat(F.lit("Contains mandatory language: "), F.array_join(F.slice(h, 1, 3), ", "), F.lit("."))).otherwise("Identified as a compliance requirement.")
-        return F.struct(h.alias("triggers"), F.when(F.size(h) > 0, 0.95).otherwise(0.70).alias("confidence"), F.concat(F.lit("Extracted from "), section, F.lit(". "), why).alias("rationale"))
+        why = F.when(F.size(h) > 0, F.concat(F.lit(L.EXTRACTED_FROM[2]), F.array_join(F.slice(h, 1, 3), ", "), F.lit(L.EXTRACTED_FROM[3]))).otherwise(L.EXTRACTED_FROM[4])
+        return F.struct(h.alias("triggers"), F.when(F.size(h) > 0, 0.95).otherwise(0.70).alias("confidence"), F.concat(F.lit(L.EXTRACTED_FROM[0]), section, F.lit(L.EXTRACTED_FROM[1]), why).alias("rationale"))
 
     return let(hits, build)
 

@@ -295,7 +295,7 @@ def extract_obligations(docs: DataFrame, scorer=rule_scores, threshold: float =
     first = first.withColumn("deadline_type", X.adopt_type(F.col("_d.deadline"), F.col("_d.deadline_type"), F.col("model_deadline_type")))
     first = first.withColumn("_s", X.severity(s, F.col("deadline_type"), F.col("model_severity"), F.col("model_severity_confidence")))
     number = F.row_number().over(Window.partitionBy("circular_id").orderBy("order")) - 1
-    why = F.format_string("Classified as an obligation with probability %.2f (section: %s). Severity %s — %s.", "obligation_probability", "section", F.col("_s.severity"), F.col("_s.basis"))
+    why = F.format_string(L.RATIONALE, "obligation_probability", "section", F.col("_s.severity"), F.col("_s.basis"))
     return first.select(
         F.concat_ws("_", "circular_id", F.lit("obl"), number.cast("string")).alias("obligation_id"),
         "circular_id",

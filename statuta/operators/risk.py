@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
+from statuta.functions import lexicon as L
 from statuta.functions import fields as X
 from statuta.functions.columns import choose
 from statuta.operators.register import severity_at_least
@@ -127,7 +128,7 @@ def alerts(queue: DataFrame, due_soon: int = 7, floor: str = "medium") -> DataFr
     """OVERDUE and DUE_SOON alerts of the urgency queue: severe enough and evidence not complete."""
     days = F.col("days_remaining")
     rule = F.when(F.col("overdue"), "OVERDUE").when(days.between(0, due_soon), "DUE_SOON")
-    label = F.when(F.col("overdue"), F.format_string("OVERDUE by %d days", F.abs(days))).otherwise(F.format_string("Due in %d days", days))
+    label = F.when(F.col("overdue"), F.format_string(L.ALERT_LABELS[0], F.abs(days))).otherwise(F.format_string(L.ALERT_LABELS[1], days))
     rows = queue.filter(severity_at_least(F.coalesce("severity", F.lit("low")), floor) & (F.coalesce("evidence_status", F.lit("red")) != "green"))
     return rows.withColumn("rule", rule).filter("rule is not null").withColumn("alert_label", label)
 
