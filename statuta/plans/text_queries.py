@@ -30,6 +30,12 @@ BLOCKS = (
   blocks AS (SELECT doc_id, i, CASE WHEN contains(p, chr(2)) THEN split_part(p, chr(2), 1) ELSE 'text' END kind, trim(regexp_replace(split_part(p, chr(2), -1), '\s+', ' ', 'g')) b FROM pieces)"""
 )
 
+#: SQL of the sentences of each document (table sents), after that of its blocks.
+SENTENCES = BLOCKS + r""", frags AS (SELECT doc_id, i, unnest(f) s, generate_subscripts(f, 1) k FROM (SELECT doc_id, i, string_split(regexp_replace(b, '([.!?;])\s+', '\1' || chr(3), 'g'), chr(3)) f FROM blocks WHERE b <> '')),
+  ordered AS (SELECT doc_id, trim(s) s, row_number() OVER (PARTITION BY doc_id ORDER BY i, k) n FROM frags WHERE trim(s) <> ''),
+  glued AS (SELECT doc_id, string_agg(CASE WHEN n > 1 AND lower(split_part(rtrim(s, '.'), ' ', -1)) IN ('no','nos','vs','viz','etc','i.e','e.g','sec','cl','pvt','ltd','sr','dr','mr','ms','hon','para','fig','rs') THEN ' ' ELSE chr(1) END || s, '' ORDER BY n) g FROM ordered GROUP BY 1),
+  sents AS (SELECT doc_id, list_filter(string_split(g, chr(1)), lambda x: length(x) > 2) s FROM glued)"""
+
 
 def marker_counts(spark, d):
     rows = V.documents(spark, d).select("circular_id", C.marker_counts(F.lower(F.coalesce("document_text", F.lit(""))), MARKERS).alias("m"))
@@ -241,14 +247,20 @@ QUERIES = [
     (
         sentence_split,
         "WITH "
-        + BLOCKS
-        + r""", frags AS (SELECT doc_id, i, unnest(f) s, generate_subscripts(f, 1) k FROM (SELECT doc_id, i, string_split(regexp_replace(b, '([.!?;])\s+', '\1' || chr(3), 'g'), chr(3)) f FROM blocks WHERE b <> '')),
-  ordered AS (SELECT doc_id, trim(s) s, row_number() OVER (PARTITION BY doc_id ORDER BY i, k) n FROM frags WHERE trim(s) <> ''),
-  glued AS (SELECT doc_id, string_agg(CASE WHEN n > 1 AND lower(split_part(rtrim(s, '.'), ' ', -1)) IN ('no','nos','vs','viz','etc','i.e','e.g','sec','cl','pvt','ltd','sr','dr','mr','ms','hon','para','fig','rs') THEN ' ' ELSE chr(1) END || s, '' ORDER BY n) g FROM ordered GROUP BY 1),
-  sents AS (SELECT doc_id, list_filter(string_split(g, chr(1)), lambda x: length(x) > 2) s FROM glued)
+        + SENTENCES
+        + """
   SELECT d.doc_id circular_id, coalesce(len(s), 0) sentences, md5(coalesce(array_to_string(s, chr(10)), '')) digest FROM documents d LEFT JOIN sents USING (doc_id)""",
     ),
-    (doc_profile, None),
+    (
+        doc_profile,
+        "WITH "
+        + SENTENCES
+        + r"""
+  SELECT c.doc_id circular_id, CAST(length(t) AS INTEGER) characters, CAST(coalesce(len(s), 0) AS INTEGER) sentences, CAST(len(list_filter(regexp_split_to_array(t, '\n\s*\n'), lambda x: regexp_matches(x, '\S'))) AS INTEGER) paragraphs,
+    CAST(coalesce(list_max(list_transform(s, lambda x: len(list_filter(regexp_split_to_array(x, '\s+'), lambda y: y <> '')))), 0) AS INTEGER) longest_sentence_words, """
+        + ", ".join(" + ".join(f"CAST((length(t) - length(replace(lower(t), '{m}', ''))) / {len(m)} AS INTEGER)" for m in marks) + f" {name}" for name, marks in (("mandatory", MARKERS[:2]), ("discretionary", MARKERS[2:5])))
+        + " FROM clean c LEFT JOIN sents ON sents.doc_id = c.doc_id",
+    ),
     (unit_sections, None),
     (
         keyword_profile,
@@ -283,7 +295,13 @@ QUERIES = [
   z AS (SELECT doc_id, c - 1 k, e, es FROM r WHERE e IS NOT NULL UNION ALL SELECT doc_id, c, regexp_replace(b, '^\s+|\s+$', '', 'g'), s FROM (SELECT *, row_number() OVER (PARTITION BY doc_id ORDER BY n DESC) x FROM r) WHERE x = 1 AND regexp_matches(b, '\S'))
   SELECT doc_id circular_id, k chunk_no, CAST(length(e) AS INTEGER) characters, es section_hint FROM z""",
     ),
-    (document_metadata, None),
+    (
+        document_metadata,
+        r"""WITH l AS (SELECT doc_id, list_filter(list_transform(string_split(coalesce(text, ''), chr(10)), lambda x: regexp_replace(x, '^\s+|\s+$', '', 'g')), lambda x: x <> '') l FROM documents),
+  m AS (SELECT doc_id, regexp_extract(list_filter(l[1:15], lambda x: regexp_matches(x, '(?i)\b[A-Z]{2,5}-\d{2,6}\b'))[1], '(?i)\b[A-Z]{2,5}-\d{2,6}\b') ref, regexp_extract(list_filter(l[1:25], lambda x: regexp_matches(x, '(?i)^(?:sub(?:ject)?|re)\s*[:\-]'))[1], '(?i)^(?:sub(?:ject)?|re)\s*[:\-]\s*(.*)$', 1) sub,
+    list_filter(l[1:25], lambda x: length(x) > 20 AND x <> upper(x))[1] plain, l[2] other FROM l)
+  SELECT doc_id circular_id, ref AS reference, md5(coalesce(nullif(trim(sub), ''), plain, other)) subject FROM m""",
+    ),
     (
         modality_features,
         r"""WITH t AS (SELECT conv_id circular_id, turn id, coalesce(text, '') s FROM conversations), w AS (SELECT *, greatest(len(list_filter(regexp_split_to_array(s, '\s+'), lambda x: x <> '')), 1) n, greatest(length(s), 1) c FROM t)
@@ -327,7 +345,13 @@ QUERIES = [
         """WITH q AS (SELECT item_id q, list_distinct(regexp_extract_all(lower(text), '[a-z]{3,}')) w FROM benchmark), qe AS (SELECT q, len(w) n, unnest(w) t FROM q), d AS (SELECT doc_id, unnest(list_distinct(regexp_extract_all(lower(coalesce(text, '')), '[a-z]{3,}'))) t FROM documents),
   s AS (SELECT q, doc_id, count(*) / max(n)::DOUBLE s FROM qe JOIN d USING (t) GROUP BY 1, 2), r AS (SELECT *, row_number() OVER (PARTITION BY q ORDER BY round(s, 9) DESC, doc_id) k FROM s) SELECT q question_id, doc_id passage_id, round_even(s, 6) score FROM r WHERE k <= 5""",
     ),
-    (extractive_answers, None),
+    (
+        extractive_answers,
+        """WITH q AS (SELECT item_id q, list_distinct(regexp_extract_all(lower(text), '[a-z]{3,}')) w FROM benchmark), qe AS (SELECT q, len(w) n, unnest(w) t FROM q), d AS (SELECT doc_id, unnest(list_distinct(regexp_extract_all(lower(coalesce(text, '')), '[a-z]{3,}'))) t FROM documents),
+  s AS (SELECT q, doc_id, count(*) / max(n)::DOUBLE s FROM qe JOIN d USING (t) GROUP BY 1, 2), r AS (SELECT *, row_number() OVER (PARTITION BY q ORDER BY round(s, 9) DESC, doc_id) k FROM s),
+  a AS (SELECT q, string_agg('**' || source || '** (relevance ' || printf('%.2f', floor(s * 100 + 0.5) / 100) || ')' || chr(10) || CASE WHEN length(text) > 600 THEN text[1:600] || '…' ELSE text END, chr(10) || chr(10) ORDER BY k) b FROM r JOIN documents USING (doc_id) WHERE k <= 3 GROUP BY 1)
+  SELECT item_id question_id, md5(coalesce('Most relevant passages:' || chr(10) || chr(10) || b, 'No indexed passage has a word of the question.')) answer FROM benchmark LEFT JOIN a ON q = item_id""",
+    ),
     (
         knn_l2,
         """WITH s AS (SELECT q.vec_id query_id, v.vec_id, 1 / (1 + list_sum(list_transform(list_zip(CAST(q.embedding AS DOUBLE[]), CAST(v.embedding AS DOUBLE[])), lambda z: (z[1] - z[2]) * (z[1] - z[2])))) s FROM embeddings q, embeddings v WHERE q.vec_id % 100 = 0 AND q.vec_id <> v.vec_id),

@@ -209,6 +209,18 @@ def test_passages(spark):
     assert T.obligation_passages(obl, T.passages(df)).first().passage_id == "o003"
 
 
+def test_metadata(spark):
+    texts = [
+        "NOTICE\nOur ref ab-1234, of today\nSubject:  Filing of reports \nbody",  # reference and subject line
+        "FIRST LINE THAT IS LONG ENOUGH\nA line of more than twenty characters\nrest",  # the first that is not all capitals
+        "short\nsecond\nthird", "one", "", None, "\n".join(["x"] * 15 + ["CD-99"] + ["y"] * 12 + ["Re: too late"]),
+    ]
+    df = spark.createDataFrame(list(enumerate(texts)), "circular_id int, document_text string")
+    got = {r.circular_id: (r.reference, r.slug, r.subject) for r in T.metadata(df, reference=r"\b[A-Z]{2,5}-\d{2,6}\b").collect()}
+    assert got[0] == ("ab-1234", "ab_1234", "Filing of reports") and got[1] == (None, None, "A line of more than twenty characters")
+    assert got[2] == (None, None, "second") and got[3] == got[4] == got[5] == (None, None, None) and got[6] == (None, None, "x")
+
+
 def test_chunks(spark):
     text = "1.1 First Heading Text\n" + "body line\n" * 40 + "PART II\n" + "more\n" * 3
     rows = T.chunks(spark.createDataFrame([("d", text)], "circular_id string, document_text string")).orderBy("chunk_no").collect()
