@@ -7,6 +7,7 @@ from pyspark.sql.window import Window
 
 from statuta.functions import columns as C
 from statuta.functions import fields as X
+from statuta.functions import lexicon as L
 from statuta.operators import changes as CH
 from statuta.operators import evaluate as EV
 from statuta.operators import evidence as E
@@ -261,7 +262,20 @@ QUERIES = [
         + ", ".join(" + ".join(f"CAST((length(t) - length(replace(lower(t), '{m}', ''))) / {len(m)} AS INTEGER)" for m in marks) + f" {name}" for name, marks in (("mandatory", MARKERS[:2]), ("discretionary", MARKERS[2:5])))
         + " FROM clean c LEFT JOIN sents ON sents.doc_id = c.doc_id",
     ),
-    (unit_sections, None),
+    (
+        unit_sections,
+        "WITH "
+        + BLOCKS
+        + rf""", nb AS (SELECT doc_id, i, kind, b, kind = 'heading' AND NOT regexp_matches(trim(b), '(?i){L.NOT_A_SECTION}') AND (regexp_matches(b, '{L.SECTION_HEADING}') OR (b = upper(b) AND b <> lower(b) AND len(list_filter(string_split(b, ' '), lambda x: x <> '')) BETWEEN 2 AND 10)) sh FROM blocks WHERE b <> ''),
+  carried AS (SELECT doc_id, i, kind, b, coalesce(last_value(CASE WHEN sh THEN trim(b) END IGNORE NULLS) OVER (PARTITION BY doc_id ORDER BY i), 'General') sec FROM nb),
+  body AS (SELECT doc_id, i, sec, trim(regexp_replace(b, '{L.CLAUSE_NUMBER}', '')) t FROM carried WHERE kind <> 'heading'),
+  fr AS (SELECT doc_id, i, sec, unnest(f) s, generate_subscripts(f, 1) k FROM (SELECT doc_id, i, sec, string_split(regexp_replace(CASE WHEN regexp_matches(t, '(?i)^\s*(?:page\s+)?\d+(?:\s+of\s+\d+)?\s*$') THEN '' ELSE t END, '([.!?;])\s+', '\1' || chr(3), 'g'), chr(3)) f FROM body)),
+  od AS (SELECT doc_id, i, sec, trim(s) s, row_number() OVER (PARTITION BY doc_id, i ORDER BY k) n FROM fr WHERE trim(s) <> ''),
+  gl AS (SELECT doc_id, i, sec, string_agg(CASE WHEN n > 1 AND list_contains([{", ".join(f"'{a}'" for a in L.ABBREVIATIONS)}], lower(split_part(rtrim(s, '.'), ' ', -1))) THEN ' ' ELSE chr(1) END || s, '' ORDER BY n) g FROM od GROUP BY 1, 2, 3),
+  us AS (SELECT doc_id, i, sec, unnest(f) s, generate_subscripts(f, 1) k FROM (SELECT doc_id, i, sec, list_filter(string_split(g, chr(1)), lambda x: length(x) > 2) f FROM gl)),
+  un AS (SELECT doc_id, sec, s, row_number() OVER (PARTITION BY doc_id ORDER BY i, k) o FROM us)
+  SELECT doc_id circular_id, sec[1:70] AS "section", count(*) sentences, count(*) FILTER (contains(lower(s), 'the') OR contains(lower(s), 'that')) mandatory_sentences, CAST(min(o) AS INTEGER) AS "first" FROM un GROUP BY doc_id, sec""",
+    ),
     (
         keyword_profile,
         f"""WITH toks AS (SELECT doc_id, list_filter(regexp_extract_all(lower(coalesce(text, '')), '[a-z][a-z-]{{2,}}'), lambda x: x NOT IN ({", ".join(f"'{s}'" for s in STOPS)})) w FROM documents),
