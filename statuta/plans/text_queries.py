@@ -364,7 +364,7 @@ QUERIES = [
         """WITH q AS (SELECT item_id q, list_distinct(regexp_extract_all(lower(text), '[a-z]{3,}')) w FROM benchmark), qe AS (SELECT q, len(w) n, unnest(w) t FROM q), d AS (SELECT doc_id, unnest(list_distinct(regexp_extract_all(lower(coalesce(text, '')), '[a-z]{3,}'))) t FROM documents),
   s AS (SELECT q, doc_id, count(*) / max(n)::DOUBLE s FROM qe JOIN d USING (t) GROUP BY 1, 2), r AS (SELECT *, row_number() OVER (PARTITION BY q ORDER BY round(s, 9) DESC, doc_id) k FROM s),
   a AS (SELECT q, string_agg('**' || source || '** (relevance ' || printf('%.2f', floor(s * 100 + 0.5) / 100) || ')' || chr(10) || CASE WHEN length(text) > 600 THEN text[1:600] || '…' ELSE text END, chr(10) || chr(10) ORDER BY k) b FROM r JOIN documents USING (doc_id) WHERE k <= 3 GROUP BY 1)
-  SELECT item_id question_id, md5(coalesce('Most relevant passages:' || chr(10) || chr(10) || b, 'No indexed passage has a word of the question.')) answer FROM benchmark LEFT JOIN a ON q = item_id""",
+  SELECT item_id question_id, md5(coalesce('Most relevant passages:' || chr(10) || chr(10) || b, 'Nothing in the index has a word of this question.')) answer FROM benchmark LEFT JOIN a ON q = item_id""",
     ),
     (
         knn_l2,
