@@ -6,6 +6,7 @@ from collections.abc import Sequence
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.types import DataType
 from pyspark.sql.window import Window
 
 from statuta.functions import fields as X
@@ -88,11 +89,22 @@ def not_applicable(register: DataFrame, kind: str) -> DataFrame:
     return register.filter(~F.coalesce(F.array_contains("intermediary_types", kind), F.lit(False)))
 
 
+def _orderable(kind: DataType) -> bool:
+    """Whether Spark can sort by values of this type, which holds for all but maps and variants and what contains them."""
+    text = kind.simpleString()
+    return not any(word in text for word in ("map<", "variant", "interval"))
+
+
 def upsert(register: DataFrame, batch: DataFrame, keys: Sequence[str] = ("obligation_id",), order: str | None = None) -> DataFrame:
-    """Rows of the batch replace those of the register with the same key; of several in a batch the last by ``order`` stays."""
+    """Rows of the batch replace those of the register with the same key; of several in a batch the last by ``order`` stays.
+
+    Rows of equal order are told apart by their other columns from left to right; the largest values stay, so the result does
+    not depend on the order in which rows are read.
+    """
     new = batch.withColumn("_batch", F.lit(1)).withColumn("_order", F.col(order) if order else F.lit(0))
     both = register.withColumn("_batch", F.lit(0)).withColumn("_order", F.lit(None).cast(new.schema["_order"].dataType)).unionByName(new)
-    last = Window.partitionBy(*keys).orderBy(F.desc("_batch"), F.desc("_order"))
+    ties = [f.name for f in register.schema if f.name not in (*keys, order) and _orderable(f.dataType)]
+    last = Window.partitionBy(*keys).orderBy(F.desc("_batch"), F.desc("_order"), *[F.desc(f"`{c}`") for c in ties])
     return both.withColumn("_n", F.row_number().over(last)).filter("_n = 1").drop("_batch", "_order", "_n")
 
 

@@ -314,7 +314,7 @@ QUERIES = [
     (
         latest_per_key_upsert,
         PLAIN
-        + """, b AS (SELECT l_orderkey, arg_max(l_returnflag, l_linenumber) f FROM lineitem GROUP BY 1) SELECT obligation_id, coalesce(f, severity) severity, CASE WHEN f IS NULL THEN status ELSE 'changed' END status FROM register LEFT JOIN b ON l_orderkey = obligation_id
+        + """, b AS (SELECT l_orderkey, arg_max(l_returnflag, (l_linenumber, l_returnflag)) f FROM lineitem GROUP BY 1) SELECT obligation_id, coalesce(f, severity) severity, CASE WHEN f IS NULL THEN status ELSE 'changed' END status FROM register LEFT JOIN b ON l_orderkey = obligation_id
   UNION ALL SELECT l_orderkey, f, 'changed' FROM b WHERE l_orderkey NOT IN (SELECT obligation_id FROM register)""",
     ),
     (supersessions, PLAIN + ", " + V.ORDER_EDGES + " SELECT obligation_id, CASE WHEN dst IS NULL THEN status ELSE 'superseded' END status, coalesce(CAST(dst AS VARCHAR), '') superseded_by FROM register LEFT JOIN order_edges ON src = obligation_id"),

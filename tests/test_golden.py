@@ -308,6 +308,14 @@ def test_upsert(spark):
     assert sorted(map(tuple, once.collect())) == [(1, "a"), (2, "c"), (3, "d")] == sorted(map(tuple, R.upsert(once, batch).collect()))
 
 
+def test_upsert_of_equal_order_does_not_depend_on_the_order_of_rows(spark):
+    reg = spark.createDataFrame([(1, "a", None)], "obligation_id int, status string, at int")
+    rows = [(1, "N", 7), (1, "R", 7), (1, "A", 7), (1, "Z", 6)]
+    for batch in (rows, rows[::-1], rows[1:] + rows[:1]):
+        out = R.upsert(reg, spark.createDataFrame(batch, "obligation_id int, status string, at int").coalesce(1), order="at")
+        assert [tuple(r) for r in out.collect()] == [(1, "R", 7)]
+
+
 def test_similarity_by_prefixes_loses_nothing(spark):
     import random
 
