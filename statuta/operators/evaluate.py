@@ -6,6 +6,8 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
+from statuta.functions.columns import let
+
 
 def confusion(rows: DataFrame, label: str = "label", predicted: str = "predicted") -> DataFrame:
     return rows.groupBy(F.col(label).alias("label"), F.col(predicted).alias("predicted")).agg(F.count(F.lit(1)).alias("n"))
@@ -40,8 +42,10 @@ def overlap_matches(predictions: DataFrame, truth: DataFrame, at_least: float =
     Both have columns doc, id and text; they meet through common words, never as all pairs.
     """
     tokens = F.array_distinct(F.regexp_extract_all(F.lower(F.coalesce("text", F.lit(""))), F.lit(pattern), F.lit(0)))
-    a = predictions.select("doc", F.col("id").alias("pred_id"), F.size(tokens).alias("na"), F.explode(tokens).alias("w"))
-    b = truth.select("doc", F.col("id").alias("truth_id"), F.size(tokens).alias("nb"), F.explode(tokens).alias("w"))
+    # a word carries the size of its set, so a text is read once and not again for each of its words
+    sized = let(tokens, lambda ws: F.transform(ws, lambda w: F.struct(w.alias("w"), F.size(ws).alias("n"))))
+    words = lambda df, name, n: df.select("doc", F.col("id").alias(name), F.explode(sized).alias("x")).select("doc", name, F.col("x.w").alias("w"), F.col("x.n").alias(n))
+    a, b = words(predictions, "pred_id", "na"), words(truth, "truth_id", "nb")
     shared = a.join(b, ["doc", "w"]).groupBy("doc", "pred_id", "truth_id").agg((F.count(F.lit(1)) / F.least(F.first("na"), F.first("nb"))).alias("overlap"))
     best = F.row_number().over(Window.partitionBy("doc", "pred_id").orderBy(F.desc("overlap"), "truth_id"))
     return shared.filter(F.col("overlap") >= at_least).withColumn("_n", best).filter("_n = 1").drop("_n")
