@@ -1,5 +1,10 @@
 """Properties that keep the operators' work in proportion to their input."""
 
+import random
+
+from pyspark.sql import functions as F
+
+from statuta.operators import changes as CH
 from statuta.operators import evaluate as EV
 
 
@@ -13,3 +18,28 @@ def test_overlap_reads_a_text_once(spark):
     # its words are made before they are dealt out, not again beside each of them
     assert [x for x in plan(found).splitlines() if "Project" in x and "regexp_extract_all" in x] == []
     assert found.filter("overlap = 1").count() == 24  # those below 20, and 26 to 29, which repeat 0 to 3
+
+
+def shuffled(spark):
+    executors = spark.sparkContext._jsc.sc().statusStore().executorList(False).iterator()
+    total = 0
+    while executors.hasNext():
+        total += executors.next().totalShuffleWrite()
+    return total
+
+
+def test_diff_moves_what_the_asked_texts_can_match(spark):
+    rng = random.Random(3)
+    texts = [" ".join(f"w{rng.randrange(5000)}" for _ in range(300)) for _ in range(400)]
+    texts[7] = texts[107] + " more"
+    texts[8] = texts[9] = texts[108]  # equal texts on both sides
+    texts[209] = texts[108]
+    kinds = [("deadline", "string"), ("deadline_type", "string"), ("severity", "string"), ("responsible_party", "string"), ("intermediary_types", "array<string>"), ("evidence_requirements", "array<string>")]
+    schema = "obligation_id int, title string, description string, " + ", ".join(f"{n} {t}" for n, t in kinds)
+    rows = spark.createDataFrame([(i, "", t, None, None, "low", None, [], []) for i, t in enumerate(texts)], schema)
+    asked = F.col("obligation_id").between(6, 9)
+    before = shuffled(spark)
+    got = {r["new_id"]: (r["old_id"], r["change_class"]) for r in CH.lexical_diff(rows.filter(asked), rows.filter(~asked)).collect()}
+    assert got == {"6": (None, "NEW"), "7": ("107", "UNCHANGED"), "8": ("108", "UNCHANGED"), "9": ("108", "UNCHANGED")}
+    # all terms of all texts, moved once, would be some megabytes
+    assert shuffled(spark) - before < 1_000_000
