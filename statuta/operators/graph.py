@@ -36,15 +36,27 @@ def direct_dependencies(edges: DataFrame, roots: DataFrame) -> DataFrame:
     return edges.join(roots.select(F.col("root").alias("dst")), "dst").select(F.col("dst").alias("root"), F.col("src").alias("node")).distinct()
 
 
+def edges_out_of(step: DataFrame, level: DataFrame) -> DataFrame:
+    """The edges out of the nodes of a level, written: where they are few, the level is joined to them without being moved."""
+    return materialize(step.join(level.select(F.col("node").alias("src")).distinct(), "src", "left_semi"), "near-edges")
+
+
+def not_seen(level: DataFrame, seen: DataFrame, near: DataFrame) -> DataFrame:
+    """Rows of a new level that are not among those seen, of which only the ones at the ends of its edges are looked at."""
+    again = materialize(seen.select("root", "node").join(near.select(F.col("dst").alias("node")).distinct(), "node", "left_semi").select("root", "node"), "seen-again")
+    return level.join(again, ["root", "node"], "left_anti")
+
+
 def reachable(edges: DataFrame, roots: DataFrame, max_depth: int | None = None) -> DataFrame:
     """(root, node, depth): all that is reachable from each root, at its least depth; a root on a cycle reaches itself."""
-    step = edges.select("src", "dst").distinct()
-    frontier = materialize(direct_dependents(edges, roots).withColumn("depth", F.lit(1)), "frontier")
+    step = materialize(edges.select("src", "dst").distinct(), "edges")
+    frontier = materialize(direct_dependents(step, roots).withColumn("depth", F.lit(1)), "frontier")
     seen, depth = frontier, 1
     while not frontier.isEmpty() and (max_depth is None or depth < max_depth):
         depth += 1
-        nxt = frontier.join(step, frontier["node"] == step["src"]).select("root", F.col("dst").alias("node")).distinct()
-        frontier = materialize(nxt.join(seen, ["root", "node"], "left_anti").withColumn("depth", F.lit(depth)), "frontier")
+        near = edges_out_of(step, frontier)
+        nxt = frontier.join(near, frontier["node"] == near["src"]).select("root", F.col("dst").alias("node")).distinct()
+        frontier = materialize(not_seen(nxt, seen, near).withColumn("depth", F.lit(depth)), "frontier")
         seen = seen.unionByName(frontier)
     return seen
 
@@ -147,23 +159,25 @@ def betweenness(nodes: DataFrame, edges: DataFrame, sources: DataFrame | None =
     Brandes' sums by rounds of joins: levels and path counts of all sources at once going out, shares of
     dependency coming back.
     """
-    step = edges.select("src", "dst").distinct().filter("src <> dst")
+    step = materialize(edges.select("src", "dst").distinct().filter("src <> dst"), "edges")
     roots = nodes.select(F.col("obligation_id").alias("root")) if sources is None else sources.select("root")
     n, used = nodes.count(), roots.count()
     level = materialize(roots.select("root", F.col("root").alias("node"), F.lit(1.0).alias("paths"), F.lit(0).alias("depth")), "level")
-    levels, seen = [level], level.select("root", "node")
+    levels, nears, seen = [level], [], level.select("root", "node")
     while len(levels) < max_depth:
-        nxt = level.join(step, level["node"] == step["src"]).groupBy("root", F.col("dst").alias("node")).agg(F.sum("paths").alias("paths"))
-        level = materialize(nxt.join(seen, ["root", "node"], "left_anti").withColumn("depth", F.lit(len(levels))), "level")
+        near = edges_out_of(step, level)
+        nears.append(near)
+        nxt = level.join(near, level["node"] == near["src"]).groupBy("root", F.col("dst").alias("node")).agg(F.sum("paths").alias("paths"))
+        level = materialize(not_seen(nxt, seen, near).withColumn("depth", F.lit(len(levels))), "level")
         if level.isEmpty():
             break
         levels.append(level)
         seen = seen.unionByName(level.select("root", "node"))
     shares = levels[-1].select("root", "node", "paths", F.lit(0.0).alias("share"))
     total = shares
-    for upper in reversed(levels[:-1]):
+    for upper, near in reversed(list(zip(levels[:-1], nears))):
         low = shares.select("root", F.col("node").alias("dst"), F.col("paths").alias("low_paths"), F.col("share").alias("low_share"))
-        up = upper.join(step, upper["node"] == step["src"]).join(low, ["root", "dst"])
+        up = upper.join(near, upper["node"] == near["src"]).join(low, ["root", "dst"])
         got = up.groupBy("root", "node").agg(F.sum(F.col("paths") / F.col("low_paths") * (1 + F.col("low_share"))).alias("share"))
         shares = materialize(upper.join(got, ["root", "node"], "left").select("root", "node", "paths", F.coalesce("share", F.lit(0.0)).alias("share")), "shares")
         total = total.unionByName(shares)

@@ -6,6 +6,7 @@ from pyspark.sql import functions as F
 
 from statuta.operators import graph as G
 from statuta.plans import views as V
+from statuta.session import materialize
 
 SUPPLY = "WITH RECURSIVE " + V.SUPPLY_EDGES
 REACH = SUPPLY + ", walk(root, node, depth) AS (SELECT src, dst, 1 FROM supply_edges UNION SELECT root, dst, depth + 1 FROM walk JOIN supply_edges ON src = node), reach AS (SELECT root, node, min(depth) depth FROM walk GROUP BY 1, 2)"
@@ -26,23 +27,28 @@ def direct_dependencies(spark, d):
     return G.direct_dependencies(e, e.select(F.col("dst").alias("root")).distinct())
 
 
+def _supply(spark, d):
+    """The supply graph, written once, since roots, steps and nodes are all read from it."""
+    return materialize(V.supply_edges(spark, d), "supply")
+
+
 def transitive_closure(spark, d):
-    e = V.supply_edges(spark, d)
+    e = _supply(spark, d)
     return G.reachable(e, roots(e))
 
 
 def impact_propagation(spark, d):
-    e = V.supply_edges(spark, d)
+    e = _supply(spark, d)
     return G.propagate(e, roots(e)).select("root", "node", "kind")
 
 
 def impact_totals(spark, d):
-    e = V.supply_edges(spark, d)
+    e = _supply(spark, d)
     return G.impact_totals(G.propagate(e, roots(e)))
 
 
 def upstream_depth2(spark, d):
-    e = V.supply_edges(spark, d)
+    e = _supply(spark, d)
     return G.upstream(e, V.supply_nodes(e).select(F.col("obligation_id").alias("root")), 2)
 
 
@@ -74,12 +80,12 @@ def is_acyclic(spark, d):
 
 def betweenness(spark, d):
     """Exact centrality of the supply graph."""
-    e = V.supply_edges(spark, d)
+    e = _supply(spark, d)
     return G.betweenness(V.supply_nodes(e), e).select("obligation_id", F.bround("betweenness", 8).alias("betweenness"))
 
 
 def set_difference_affected(spark, d):
-    e = V.supply_edges(spark, d)
+    e = _supply(spark, d)
     spread = G.propagate(e, roots(e)).filter("root like 'p%'")
     return spread.filter("kind = 'indirect'").select("node").distinct().exceptAll(spread.filter("kind = 'direct'").select("node").distinct())
 
@@ -104,7 +110,7 @@ def affected_workflows(spark, d):
 
 
 def dependency_cards(spark, d):
-    e = V.supply_edges(spark, d)
+    e = _supply(spark, d)
     return G.cards(e, V.supply_nodes(e).select(F.col("obligation_id").alias("root"))).select("root", "n_dependents", "n_dependencies", "n_transitive", F.md5(F.array_join("transitive", ",")).alias("transitive"))
 
 

@@ -6,6 +6,7 @@ from pyspark.sql import functions as F
 
 from statuta.operators import changes as CH
 from statuta.operators import evaluate as EV
+from statuta.operators import graph as G
 
 
 def plan(df):
@@ -43,3 +44,15 @@ def test_diff_moves_what_the_asked_texts_can_match(spark):
     assert got == {"6": (None, "NEW"), "7": ("107", "UNCHANGED"), "8": ("108", "UNCHANGED"), "9": ("108", "UNCHANGED")}
     # all terms of all texts, moved once, would be some megabytes
     assert shuffled(spark) - before < 1_000_000
+
+
+def test_reach_moves_a_level_only_where_it_must(spark):
+    """Many roots that lead to few nodes: the way from these on is joined to the roots without moving all edges again."""
+    first = spark.range(40_000).select(F.concat(F.lit("p"), "id").alias("src"), F.concat(F.lit("s"), F.col("id") % 50).alias("dst"))
+    rest = spark.range(50).select(F.concat(F.lit("s"), "id").alias("src"), F.concat(F.lit("n"), F.col("id") % 5).alias("dst"))
+    edges = first.unionByName(rest).localCheckpoint()
+    before = shuffled(spark)
+    found = G.reachable(edges, edges.select(F.col("src").alias("root")).distinct())
+    moved = shuffled(spark) - before
+    assert [tuple(r) for r in found.groupBy("depth").count().orderBy("depth").collect()] == [(1, 40_050), (2, 40_000)]
+    assert moved < 1_100_000
