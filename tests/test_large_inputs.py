@@ -8,6 +8,7 @@ from statuta.operators import changes as CH
 from statuta.operators import evaluate as EV
 from statuta.operators import graph as G
 from statuta.operators import insights as I
+from statuta.operators import similarity as S
 
 
 def plan(df):
@@ -67,3 +68,20 @@ def test_keyword_profile_moves_texts_and_not_their_terms(spark):
     assert len({r["circular_id"] for r in found}) == 200
     plan = I.keyword_profile(docs)._jdf.queryExecution().executedPlan().toString()
     assert plan.count("Exchange hashpartitioning") == 1
+
+
+def test_nearest_vectors_in_parts_equal_all_pairs(spark):
+    """Parts of few rows against all pairs in Spark, with copies, nulls, odd lengths and values that are no numbers; nothing is broadcast, and the plan does not grow."""
+    rng = random.Random(8)
+    rows = [(i, [rng.gauss(0, 0.3) for _ in range(6)]) for i in range(300)]
+    rows += [(1000 + i, rows[3][1]) for i in range(20)] + [(1100, None), (1101, []), (1102, [1.0]), (1103, [0.1, None, 0.2, 0.3, 0.1, 0.2]), (1104, [float("nan")] + [0.0] * 5), (1105, [float("inf")] + [0.0] * 5), (1120, [])]
+    table = spark.createDataFrame(rows, "vec_id long, embedding array<float>").localCheckpoint()
+    asked = table.filter("vec_id % 3 = 0 or vec_id > 1099")
+    distance = F.aggregate(F.zip_with(F.col("q").cast("array<double>"), F.col("embedding").cast("array<double>"), lambda x, y: (x - y) * (x - y)), F.lit(0.0), lambda s, x: s + x)
+    pairs = table.crossJoin(asked.select(F.col("vec_id").alias("query_id"), F.col("embedding").alias("q"))).select("query_id", "vec_id", (1 / (1 + distance)).alias("similarity")).filter("similarity >= 0.6 and query_id <> vec_id")
+    want = pairs.withColumn("rank", F.expr("row_number() over (partition by query_id order by round(similarity, 9) desc, vec_id)")).filter("rank <= 4")
+    show = lambda df: sorted(map(str, df.select("query_id", "vec_id", "similarity", "rank").collect()))
+    for part_rows in (37, 20_000):
+        found = S.nearest_vectors(table, asked, k=4, at_least=0.6, part_rows=part_rows)
+        assert show(found) == show(want)
+    assert "Broadcast" not in S.nearest_vectors(table, asked, part_rows=20)._jdf.queryExecution().executedPlan().toString()
