@@ -85,3 +85,14 @@ def test_nearest_vectors_in_parts_equal_all_pairs(spark):
         found = S.nearest_vectors(table, asked, k=4, at_least=0.6, part_rows=part_rows)
         assert show(found) == show(want)
     assert "Broadcast" not in S.nearest_vectors(table, asked, part_rows=20)._jdf.queryExecution().executedPlan().toString()
+
+
+def test_retrieval_moves_terms_as_hashes_and_adds_up_where_passages_are(spark):
+    rng = random.Random(9)
+    texts = [" ".join(["often"] + [f"{rng.getrandbits(128):032x}z" for _ in range(300)]) for _ in range(200)]
+    passages = spark.createDataFrame(list(enumerate(texts)), "passage_id long, text string").localCheckpoint()
+    questions = spark.createDataFrame([(i, "often " + texts[i][6:200]) for i in range(40)], "question_id int, question string")
+    before = shuffled(spark)
+    got = S.retrieve(passages, questions, k=2, stops=[]).collect()
+    assert len(got) == 80 and all(r["passage_id"] == r["question_id"] for r in got if r["rank"] == 1)
+    assert shuffled(spark) - before < 12_000_000
