@@ -40,8 +40,8 @@ def is_section_heading(line: Column) -> Column:
     return ~strip(line).rlike("(?iU)" + L.NOT_A_SECTION) & (line.rlike("(?U)" + L.SECTION_HEADING) | capitals)
 
 
-def segment_blocks(c: Column) -> Column:
-    """array<struct<kind, text>> of a text: headings, numbered clauses and other text."""
+def segment_blocks(c: Column, cleaned: bool = False) -> Column:
+    """array<struct<kind, text>> of a text: headings, numbered clauses and other text; ``cleaned`` if it has been through ``clean_text``."""
 
     def mark(raw: Column) -> Column:
         def with_line(line: Column) -> Column:
@@ -58,7 +58,7 @@ def segment_blocks(c: Column) -> Column:
         kind = F.when(piece.contains(KIND), F.substring_index(piece, KIND, 1)).otherwise("text")
         return F.struct(strip(kind).alias("kind"), squeeze(F.substring_index(piece, KIND, -1)).alias("text"))
 
-    marked = F.array_join(F.transform(F.split(clean_text(c), "\n"), mark), " ")
+    marked = F.array_join(F.transform(F.split(c if cleaned else clean_text(c), "\n"), mark), " ")
     return F.filter(F.transform(F.split(marked, CUT), block), lambda b: b["text"] != "")
 
 
@@ -76,9 +76,9 @@ def _glue(fragments: Column, abbreviations: Sequence[str]) -> Column:
     return F.filter(F.split(F.array_join(marked, ""), CUT), lambda s: F.length(s) > 2)
 
 
-def split_sentences(c: Column, abbreviations: Sequence[str] = L.ABBREVIATIONS) -> Column:
+def split_sentences(c: Column, abbreviations: Sequence[str] = L.ABBREVIATIONS, cleaned: bool = False) -> Column:
     """array<string> of a text's sentences; blocks are boundaries, decimals and abbreviations are not."""
-    return let(F.flatten(F.transform(segment_blocks(c), lambda b: _fragments(b["text"]))), lambda f: _glue(f, abbreviations))
+    return let(F.flatten(F.transform(segment_blocks(c, cleaned), lambda b: _fragments(b["text"]))), lambda f: _glue(f, abbreviations))
 
 
 def block_sentences(body: Column, abbreviations: Sequence[str] = L.ABBREVIATIONS) -> Column:
