@@ -88,8 +88,13 @@ def recognised_documents(spark, d):
     return out.select("circular_id", "circular_confidence", "windows_analysed", "family", "family_confidence", "novelty", "is_novel_topic", "is_circular")
 
 
+def _half(spark, folder, kind):
+    """Half of a folder's files: their number follows the input, and a stream takes them in two batches."""
+    return max(1, -(-len(spark.read.format(kind).load(folder).inputFiles()) // 2))
+
+
 def stream_ingestion(spark, d):
-    """Documents as a stream of files into a register of hash buckets; each file a batch, those that are seen or too short left out."""
+    """Documents as a stream of files into a register of hash buckets, in two batches; those that are seen or too short left out."""
     from statuta.sources.buckets import read_buckets
     from statuta.streaming.ingest import ingest
 
@@ -98,10 +103,10 @@ def stream_ingestion(spark, d):
         F.concat(F.lit("https://x.example.org/"), F.coalesce("source", F.lit("")), F.lit("/"), F.col("doc_id").cast("string")).alias("detail_url"), F.col("doc_id").cast("string").alias("circular_id"),
         F.lit("").alias("title"), F.col("lang").alias("circular_type"), F.lit("").alias("date"), F.col("text").alias("document_text"),
     )
-    docs.repartition(4, "circular_id").write.json(source)
+    docs.repartition("circular_id").write.json(source)  # as many files as the texts need
     extract = lambda new: new.select(F.col("circular_id").cast("long").alias("obligation_id"), F.length("document_text").alias("characters"), F.col("circular_type").alias("lang"))
     schema = "obligation_id long, characters int, lang string"
-    ingest(spark, source, register, seen, checkpoint, extract, schema, most_files=2, buckets=16).awaitTermination()
+    ingest(spark, source, register, seen, checkpoint, extract, schema, most_files=_half(spark, source, "text"), buckets=16).awaitTermination()
     return read_buckets(spark, register, schema)
 
 
@@ -114,8 +119,8 @@ def checklist_stream(spark, d):
     schema = "obligation_id long, severity string, evidence_status string"
     upsert_buckets(spark, register, V.register(spark, d).select("obligation_id", "severity", F.lit("red").alias("evidence_status")), schema, buckets=16)
     lines = V.table(spark, d, "lineitem").filter("l_returnflag <> 'N'")
-    lines.select(F.col("l_orderkey").alias("obligation_id"), F.col("l_linenumber").cast("string").alias("item_id"), (F.col("l_returnflag") == "R").alias("completed"), F.when(F.col("l_returnflag") == "R", 1).otherwise(0).alias("ts")).repartition(3, "obligation_id").write.parquet(source)
-    stream = spark.readStream.schema(spark.read.parquet(source).schema).option("maxFilesPerTrigger", 2).parquet(source)
+    lines.select(F.col("l_orderkey").alias("obligation_id"), F.col("l_linenumber").cast("string").alias("item_id"), (F.col("l_returnflag") == "R").alias("completed"), F.when(F.col("l_returnflag") == "R", 1).otherwise(0).alias("ts")).repartition("obligation_id").write.parquet(source)
+    stream = spark.readStream.schema(spark.read.parquet(source).schema).option("maxFilesPerTrigger", _half(spark, source, "parquet")).parquet(source)
     stream.writeStream.foreachBatch(checklist_batch(register, updates, schema, buckets=16)).option("checkpointLocation", checkpoint).trigger(availableNow=True).start().awaitTermination()
     return read_buckets(spark, register, schema).groupBy("evidence_status").agg(F.count(F.lit(1)).alias("n"))
 
