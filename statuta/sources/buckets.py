@@ -19,6 +19,8 @@ from statuta.sources.writers import _fs, read_or_empty, replace_table
 MANIFEST = "bucket int, folder string, rows long, buckets int"
 #: Buckets of a new table where nothing else is said.
 BUCKETS = 64
+#: About so many rows of a bucket are written by one task.
+PART_ROWS = 250_000
 
 
 def bucket_of(key: str, buckets: int) -> Column:
@@ -39,9 +41,15 @@ def read_buckets(spark: SparkSession, path: str, schema: t.StructType | str, onl
 
 def touched_buckets(spark: SparkSession, path: str, rows: DataFrame, key: str, buckets: int = BUCKETS) -> tuple[list[int], int]:
     """The buckets that the rows' keys fall in, and how many the table has (``buckets`` where it is new)."""
+    sizes, n = _touched(spark, path, rows, key, buckets)
+    return sorted(sizes), n
+
+
+def _touched(spark: SparkSession, path: str, rows: DataFrame, key: str, buckets: int) -> tuple[dict[int, int], int]:
+    """Buckets that the rows fall in with the number of these rows, and how many buckets the table has."""
     held = _manifest(spark, path)
     n = next(iter(held.values()))[2] if held else buckets
-    return sorted(r["b"] for r in rows.select(bucket_of(key, n).alias("b")).distinct().collect()), n
+    return {r["b"]: r["n"] for r in rows.groupBy(bucket_of(key, n).alias("b")).agg(F.count(F.lit(1)).alias("n")).collect()}, n
 
 
 def change_buckets(spark: SparkSession, path: str, rows: DataFrame, schema: t.StructType | str, key: str, change: Callable[[DataFrame, DataFrame], DataFrame], buckets: int = BUCKETS) -> list[int]:
@@ -49,12 +57,15 @@ def change_buckets(spark: SparkSession, path: str, rows: DataFrame, schema: t.St
 
     ``change`` must keep each row's key. Folders that the manifest no longer names stay for readers until ``vacuum``.
     """
-    touched, n = touched_buckets(spark, path, rows, key, buckets)
+    added, n = _touched(spark, path, rows, key, buckets)
+    touched = sorted(added)
     if not touched:
         return []
     held, version = _manifest(spark, path), uuid.uuid4().hex[:12]
+    parts = 1 + max(rows_new + held.get(b, ("", 0, n))[1] for b, rows_new in added.items()) // PART_ROWS
     new = change(read_buckets(spark, path, schema, touched), rows).withColumn("bucket", bucket_of(key, n))
-    new.repartition(min(n, len(touched)), "bucket").write.partitionBy("bucket").parquet(f"{path}/data/{version}")
+    # a large bucket is written in parts, each by a task of its own
+    new.repartition(min(n, len(touched)) * parts, F.col("bucket"), F.pmod(F.hash(F.col(key).cast("string")), F.lit(parts))).write.partitionBy("bucket").parquet(f"{path}/data/{version}")
     sizes = {r["bucket"]: r["n"] for r in spark.read.parquet(f"{path}/data/{version}").groupBy("bucket").agg(F.count(F.lit(1)).alias("n")).collect()}
     if not set(sizes) <= set(touched):
         raise ValueError("a change must keep the keys of its rows")

@@ -9,6 +9,8 @@ from statuta.operators import evaluate as EV
 from statuta.operators import graph as G
 from statuta.operators import insights as I
 from statuta.operators import similarity as S
+from statuta.plans import model_queries as M
+from statuta.sources import buckets as B
 
 
 def plan(df):
@@ -96,3 +98,25 @@ def test_retrieval_moves_terms_as_hashes_and_adds_up_where_passages_are(spark):
     got = S.retrieve(passages, questions, k=2, stops=[]).collect()
     assert len(got) == 80 and all(r["passage_id"] == r["question_id"] for r in got if r["rank"] == 1)
     assert shuffled(spark) - before < 12_000_000
+
+
+def test_profile_cleans_a_text_once(spark):
+    # a second cleaning would take the joined line for a page number
+    docs = spark.createDataFrame([(1, "A line here.\npag-\ne 12\nMore text here.")], "circular_id int, document_text string")
+    assert I.profile(docs).first()["longest_sentence_words"] == 5
+    assert plan(I.profile(docs).select("sentences")).count(r"(?:page\s+)?\d+(?:\s+of\s+\d+)?") == 1
+
+
+def test_large_buckets_are_written_in_parts(spark, tmp_path, monkeypatch):
+    monkeypatch.setattr(B, "PART_ROWS", 100, raising=False)
+    rows, schema = spark.range(2000).select(F.col("id").alias("obligation_id"), F.lit("a").alias("x")), "obligation_id long, x string"
+    B.upsert_buckets(spark, str(tmp_path / "t"), rows, schema, buckets=2)
+    B.upsert_buckets(spark, str(tmp_path / "t"), rows.filter("obligation_id < 50").withColumn("x", F.lit("b")), schema, buckets=2)
+    held = B.read_buckets(spark, str(tmp_path / "t"), schema)
+    assert len(held.inputFiles()) >= 8 and {r.x: r["count"] for r in held.groupBy("x").count().collect()} == {"a": 1950, "b": 50}
+
+
+def test_a_stream_takes_any_number_of_files_in_two_batches(spark, tmp_path):
+    for n in (1, 2, 7):
+        spark.range(100).repartition(n).write.json(str(tmp_path / f"s{n}"))
+    assert [M._half(spark, str(tmp_path / f"s{n}"), "text") for n in (1, 2, 7)] == [1, 1, 4]
