@@ -3,11 +3,16 @@
 from __future__ import annotations
 
 from collections.abc import Sequence
+from functools import reduce
 
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
 
+#: Characters that count as white space at the ends of a text, as ``(?U)\\s`` has them.
+WHITE = "\t\n\x0b\x0c\r \x85\xa0\u1680\u2000\u2001\u2002\u2003\u2004\u2005\u2006\u2007\u2008\u2009\u200a\u2028\u2029\u202f\u205f\u3000"
+
+
 def let(value: Column, body) -> Column:
     """Evaluate ``value`` once per row and hand it to ``body`` as a bound variable."""
     return F.element_at(F.transform(F.array(value), body), 1)
@@ -15,12 +20,12 @@ def let(value: Column, body) -> Column:
 
 def strip(c: Column) -> Column:
     """Without white space at either end."""
-    return F.regexp_replace(c, r"(?U)^\s+|\s+$", "")
+    return F.btrim(c, F.lit(WHITE))
 
 
 def squeeze(c: Column) -> Column:
     """Runs of white space as one space, none at the ends."""
-    return F.trim(F.regexp_replace(c, r"(?U)\s+", " "))
+    return F.trim(F.regexp_replace(c, r"(?U)\s(?:(?<! )|(?!\S))\s*", " "))  # a single space, the usual case, is left as it is
 
 
 def words(c: Column) -> Column:
@@ -28,6 +33,17 @@ def words(c: Column) -> Column:
     return F.filter(F.split(c, r"(?U)\s+"), lambda w: w != "")
 
 
+def folded(c: Column) -> Column:
+    """Lower case as a pattern of any case compares it: the four other letters whose case form is an ASCII letter become that letter."""
+    other = reduce(lambda a, b: a | b, [c.contains(x) for x in "ſıİ\u212a"])
+    return F.lower(F.when(other, F.translate(c, "ſıİ\u212a", "siik")).otherwise(c))
+
+
+def any_of(low: Column, parts: Sequence[str]) -> Column:
+    """Whether a ``folded`` text holds one of the parts, which are in lower case."""
+    return reduce(lambda a, b: a | b, [low.contains(x) for x in parts])
+
+
 def literals(values: Sequence[str]) -> Column:
     return F.array(*[F.lit(v) for v in values]).cast("array<string>")
 

@@ -9,38 +9,50 @@ from pyspark.sql import Column
 from pyspark.sql import functions as F
 
 from statuta.functions import lexicon as L
-from statuta.functions.columns import choose, cut, first_capital, let, literals, squeeze, strip, words
+from statuta.functions.columns import any_of, choose, cut, first_capital, folded, let, literals, squeeze, strip, words
 
 I = "(?iU)"  # noqa: E741  case and Unicode as the patterns mean them
 
 
-def deadline(s: Column) -> Column:
+def found(s: Column, name: str, pattern: str, low: Column | None = None) -> Column:
+    """Whether a pattern matches; it is tried only on texts that hold one of its stems. ``low`` is the ``folded`` text, if it is at hand."""
+    held = let(folded(s), lambda x: any_of(x, L.STEMS[name])) if low is None else any_of(low, L.STEMS[name])
+    return held & s.rlike(pattern)
+
+
+def extract(s: Column, name: str, pattern: str, low: Column | None = None) -> Column:
+    """The first group of a pattern's first match, '' where there is none, as ``found``."""
+    held = let(folded(s), lambda x: any_of(x, L.STEMS[name])) if low is None else any_of(low, L.STEMS[name])
+    return F.when(s.isNull() | held, F.regexp_extract(s, pattern, 1)).otherwise("")
+
+
+def deadline(s: Column, low: Column | None = None) -> Column:
     """struct<deadline, deadline_type>: a relative term, else a fixed date, else a frequency, else none."""
     number, unit = F.regexp_extract(s, I + L.RELATIVE, 1), F.regexp_extract(s, I + L.RELATIVE, 2)
     pair = lambda d, t: F.struct(d.alias("deadline"), F.lit(t).alias("deadline_type"))
     return (
-        F.when(s.rlike(I + L.RELATIVE), pair(F.lower(F.concat(F.lit("within "), number, F.lit(" "), unit)), "relative"))
-        .when(s.rlike(I + L.FIXED_DATE), pair(strip(F.regexp_extract(s, I + L.FIXED_DATE, 1)), "fixed"))
-        .when(s.rlike(I + L.FREQUENCY), pair(F.lower(F.regexp_extract(s, I + L.FREQUENCY, 1)), "recurring"))
+        F.when(found(s, "relative", I + L.RELATIVE, low), pair(F.lower(F.concat(F.lit("within "), number, F.lit(" "), unit)), "relative"))
+        .when(s.rlike(r"(?U)\d{4}") & s.rlike(I + L.FIXED_DATE), pair(strip(F.regexp_extract(s, I + L.FIXED_DATE, 1)), "fixed"))
+        .when(found(s, "frequency", I + L.FREQUENCY, low), pair(F.lower(F.regexp_extract(s, I + L.FREQUENCY, 1)), "recurring"))
         .otherwise(pair(F.lit(None).cast("string"), "not_specified"))
     )
 
 
-def responsible(s: Column, fallback: str = "Compliance Officer") -> Column:
-    role, entity = F.regexp_extract(s, I + L.ROLES, 1), F.regexp_extract(s, I + L.ENTITIES, 1)
-    return (
-        F.when((role != "") & (F.lower(role) == "the board"), F.lit("Board of Directors"))
-        .when((role != "") & (role == F.lower(role)), F.initcap(role))
-        .when(role != "", role)
-        .when(entity != "", F.concat(F.initcap(entity), F.lit(f" — {fallback}")))
-        .otherwise(F.lit(fallback))
-    )
+def responsible(s: Column, fallback: str = "Compliance Officer", low: Column | None = None) -> Column:
+    def of_role(role: Column) -> Column:
+        named = F.when(F.lower(role) == "the board", F.lit("Board of Directors")).when(role == F.lower(role), F.initcap(role)).otherwise(role)
+        return F.when(role != "", named).otherwise(let(extract(s, "entities", I + L.ENTITIES, low), of_entity))
+
+    def of_entity(entity: Column) -> Column:
+        return F.when(entity != "", F.concat(F.initcap(entity), F.lit(f" — {fallback}"))).otherwise(F.lit(fallback))
+
+    return let(extract(s, "roles", I + L.ROLES, low), of_role)
 
 
-def action(s: Column) -> Column:
-    found = squeeze(F.regexp_extract(s, I + L.ACTION, 1))
-    tidy = F.regexp_replace(F.regexp_replace(found, r"(?U)\s*\b(and|or)\s*$", ""), r"^[ ,;]+|[ ,;]+$", "")
-    return F.when(s.rlike(I + L.ACTION), first_capital(tidy)).otherwise(strip(F.substring(s, 1, 160)))
+def action(s: Column, low: Column | None = None) -> Column:
+    duty = squeeze(F.regexp_extract(s, I + L.ACTION, 1))
+    tidy = F.regexp_replace(F.regexp_replace(duty, r"(?U)\s*\b(and|or)\s*$", ""), r"^[ ,;]+|[ ,;]+$", "")
+    return F.when(found(s, "action", I + L.ACTION, low), first_capital(tidy)).otherwise(strip(F.substring(s, 1, 160)))
 
 
 def title(act: Column, s: Column, most: int = 11) -> Column:
@@ -58,8 +70,8 @@ def named_types(s: Column, table: Sequence[tuple[str, str]] = L.ENTITY_TYPES) ->
 def evidence(s: Column, rules: Sequence = L.EVIDENCE_RULES, default: Sequence[str] = L.DEFAULT_EVIDENCE, most: int = 4) -> Column:
     """Artefacts of the rules that fire, distinct, in order, at most ``most``; the default where none fires."""
     low, none = F.lower(s), F.array().cast("array<string>")
-    found = F.slice(F.array_distinct(F.concat(*[F.when(low.rlike("(?U)" + p), literals(a)).otherwise(none) for p, a in rules])), 1, most)
-    return let(found, lambda a: F.when(F.size(a) > 0, a).otherwise(literals(default)))
+    named = F.slice(F.array_distinct(F.concat(*[F.when(low.rlike("(?U)" + p), literals(a)).otherwise(none) for p, a in rules])), 1, most)
+    return let(named, lambda a: F.when(F.size(a) > 0, a).otherwise(literals(default)))
 
 
 def keywords(s: Column, stops: Sequence[str] = L.KEYWORD_STOPS, most: int = 6) -> Column:
@@ -72,10 +84,10 @@ def mandatory_terms(s: Column, terms: Sequence[str] = L.MANDATORY_TERMS, most: i
     return F.slice(F.array_compact(F.array(*[F.when(low.contains(t), F.lit(t.strip())) for t in terms])), 1, most)
 
 
-def severity(s: Column, deadline_type: Column, model: Column | None = None, confidence: Column | None = None) -> Column:
+def severity(s: Column, deadline_type: Column, model: Column | None = None, confidence: Column | None = None, low: Column | None = None) -> Column:
     """struct<severity, basis>: high rules, low rules without a hard deadline, a hard deadline, the model where it
     is sure, else medium."""
-    hits = lambda rules: F.array_compact(F.array(*[F.when(s.rlike(I + p), F.lit(n)) for n, p in rules.items()]))
+    hits = lambda rules: F.array_compact(F.array(*[F.when(found(s, n, I + p, low), F.lit(n)) for n, p in rules.items()]))
     pair = lambda v, b: F.struct(v.alias("severity"), b.alias("basis"))
     rule = lambda a: F.concat(F.lit("rule: "), F.array_join(F.slice(a, 1, 2), ", "))
     hard = F.coalesce(deadline_type.isin("relative", "fixed"), F.lit(False))
@@ -83,10 +95,10 @@ def severity(s: Column, deadline_type: Column, model: Column | None = None, conf
     confidence = F.lit(0.0) if confidence is None else F.coalesce(confidence, F.lit(0.0))
 
     def decide(h: Column) -> Column:
-        def with_low(low: Column) -> Column:
+        def with_low(minor: Column) -> Column:
             return (
                 F.when(F.size(h) > 0, pair(F.lit("high"), rule(h)))
-                .when((F.size(low) > 0) & ~hard, pair(F.lit("low"), rule(low)))
+                .when((F.size(minor) > 0) & ~hard, pair(F.lit("low"), rule(minor)))
                 .when(hard, pair(F.lit("medium"), F.lit("rule: hard deadline, no escalating factor")))
                 .when(model.isNotNull() & (model != "") & (confidence >= 0.60), pair(model, F.format_string("model (%.2f)", confidence)))
                 .otherwise(pair(F.lit("medium"), F.lit("default (no decisive signal)")))
@@ -242,12 +254,12 @@ def excerpt(c: Column, n: int) -> Column:
     return cut(c, n, "…")
 
 
-def modality_features(s: Column) -> dict[str, Column]:
+def modality_features(s: Column, low: Column | None = None) -> dict[str, Column]:
     """The twenty features of a sentence, each a double."""
     flag = lambda c: F.when(c, 1.0).otherwise(0.0)
     size = lambda p: F.length(s) - F.length(F.regexp_replace(s, p, ""))
     n, chars, alpha = F.greatest(F.size(words(s)), F.lit(1)), F.greatest(F.length(s), F.lit(1)), size(r"\p{L}")
-    out = {k: flag(s.rlike(p)) for k, p in L.FEATURES.items()}
+    out = {k: flag(found(s, k, p, low) if k in L.STEMS else s.rlike(p)) for k, p in L.FEATURES.items()}
     out |= {
         "len_words_norm": F.least(n / 60.0, F.lit(1.0)),
         "digit_ratio": size(r"\p{Nd}") / chars,

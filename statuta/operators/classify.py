@@ -20,6 +20,7 @@ from pyspark.sql.window import Window
 
 from statuta.functions import fields as X
 from statuta.functions import lexicon as L
+from statuta.functions.columns import folded, let
 from statuta.operators import similarity as S
 from statuta.operators import text as T
 from statuta.session import materialize, scratch_path
@@ -273,8 +274,12 @@ def recognise(window_rows: DataFrame, nearest: DataFrame, key: str = "circular_i
 
 def rule_scores(units: DataFrame) -> DataFrame:
     """A scorer without a trained model: probability from modality (0.9 binding, 0.4 discretionary, 0.1 other)."""
-    f = X.modality_features(F.col("sentence"))
-    return units.withColumn("obligation_probability", F.when((f["has_deontic"] == 1) | (f["has_prohibition"] == 1), 0.9).when(f["has_discretion"] == 1, 0.4).otherwise(0.1))
+
+    def score(low: Column) -> Column:
+        f = X.modality_features(F.col("sentence"), low)
+        return F.when((f["has_deontic"] == 1) | (f["has_prohibition"] == 1), 0.9).when(f["has_discretion"] == 1, 0.4).otherwise(0.1)
+
+    return units.withColumn("obligation_probability", let(folded(F.col("sentence")), score))
 
 
 def extract_obligations(docs: DataFrame, scorer=rule_scores, threshold: float = 0.55, requested: Sequence[str] = ()) -> DataFrame:  # noqa: ANN001
@@ -283,6 +288,9 @@ def extract_obligations(docs: DataFrame, scorer=rule_scores, threshold: float =
     ``scorer`` adds obligation_probability to unit rows and keeps their columns; it may add severity, severity_confidence, deadline_type
     and intermediary_types of its own under model_* names.
     """
+    # dealt once, as the numbers need it; a number of parts is given, as a few large ones would leave cores idle: the work on a text is far more than its size
+    parts = int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    docs = docs.select("circular_id", "title", "document_text").repartition(parts, "circular_id")
     base = T.units(docs, carry=["title"]).filter(~T.is_boilerplate(F.col("sentence")))
     rows = scorer(base)
     for name, kind in (("model_severity", "string"), ("model_severity_confidence", "double"), ("model_deadline_type", "string"), ("model_types", "array<string>")):
@@ -291,9 +299,10 @@ def extract_obligations(docs: DataFrame, scorer=rule_scores, threshold: float =
     hits = rows.filter(F.col("obligation_probability") >= threshold)
     s = F.col("sentence")
     asked = F.array(*[F.lit(r) for r in requested]).cast("array<string>")
-    first = hits.withColumns({"_d": X.deadline(s), "_action": X.action(s), "_evidence": X.evidence(s)})
+    low = F.col("_low")
+    first = hits.withColumn("_low", folded(s)).withColumns({"_d": X.deadline(s, low), "_action": X.action(s, low), "_evidence": X.evidence(s)})
     first = first.withColumn("deadline_type", X.adopt_type(F.col("_d.deadline"), F.col("_d.deadline_type"), F.col("model_deadline_type")))
-    first = first.withColumn("_s", X.severity(s, F.col("deadline_type"), F.col("model_severity"), F.col("model_severity_confidence")))
+    first = first.withColumn("_s", X.severity(s, F.col("deadline_type"), F.col("model_severity"), F.col("model_severity_confidence"), low))
     number = F.row_number().over(Window.partitionBy("circular_id").orderBy("order")) - 1
     why = F.format_string(L.RATIONALE, "obligation_probability", "section", F.col("_s.severity"), F.col("_s.basis"))
     return first.select(
@@ -303,7 +312,7 @@ def extract_obligations(docs: DataFrame, scorer=rule_scores, threshold: float =
         X.clause_reference(F.col("clause_number"), F.col("section"), F.coalesce(F.nullif(F.col("title"), F.lit("")), F.col("circular_id").cast("string")), s).alias("clause_reference"),
         X.title(F.col("_action"), s).alias("title"),
         s.alias("description"),
-        X.responsible(s).alias("responsible_party"),
+        X.responsible(s, low=low).alias("responsible_party"),
         F.col("_action").alias("required_action"),
         F.col("_d.deadline").alias("deadline"),
         "deadline_type",

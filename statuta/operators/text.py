@@ -14,7 +14,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as t
 
 from statuta.functions import lexicon as L
-from statuta.functions.columns import let, literals, squeeze, strip, words
+from statuta.functions.columns import WHITE, let, literals, squeeze, strip, words
 
 CUT, KIND, SECTION, HEAD, DOT = "\u0001", "\u0002", "\u0003", "\u0004", "\u0005"
 
@@ -24,8 +24,8 @@ def clean_text(c: Column) -> Column:
     t = F.translate(F.coalesce(c, F.lit("")), CUT + KIND + SECTION + HEAD + DOT, "")
     t = F.regexp_replace(F.regexp_replace(t, "\r\n", "\n"), "\r", "\n")
     t = F.regexp_replace(t, r"(?imdU)^\s*(?:page\s+)?\d+(?:\s+of\s+\d+)?\s*$", "")
-    t = F.regexp_replace(t, r"(?U)(\w)-\n(\w)", "$1$2")
-    t = F.regexp_replace(F.regexp_replace(t, r"[ \t]+", " "), r"\n{3,}", "\n\n")
+    t = F.regexp_replace(t, r"(?U)(?=.-\n)(\w)-\n(\w)", "$1$2")
+    t = F.regexp_replace(F.regexp_replace(t, r" [ \t]+|\t[ \t]*", " "), r"\n{3,}", "\n\n")
     return strip(t)
 
 
@@ -71,7 +71,7 @@ def _fragments(body: Column) -> Column:
 def _glue(fragments: Column, abbreviations: Sequence[str]) -> Column:
     """A fragment whose own last word is an abbreviation goes to the sentence before it."""
     short = literals(abbreviations)
-    last = lambda s: F.lower(F.substring_index(F.regexp_replace(s, r"\.+$", ""), " ", -1))
+    last = lambda s: F.lower(F.rtrim(F.substring_index(s, " ", -1), F.lit(".")))
     marked = F.transform(fragments, lambda s, i: F.concat(F.when((i > 0) & F.array_contains(short, last(s)), F.lit(" ")).otherwise(F.lit(CUT)), s))
     return F.filter(F.split(F.array_join(marked, ""), CUT), lambda s: F.length(s) > 2)
 
@@ -88,7 +88,7 @@ def block_sentences(body: Column, abbreviations: Sequence[str] = L.ABBREVIATIONS
 
 def line_sentences(line: Column, abbreviations: Sequence[str] = L.ABBREVIATIONS) -> Column:
     """``block_sentences`` of a line that was cleaned and squeezed before: only a bare page number is left to remove."""
-    plain = F.when(line.rlike(r"(?idU)^\s*(?:page\s+)?\d+(?:\s+of\s+\d+)?\s*$"), "").otherwise(line)
+    plain = let(line, lambda x: F.when(x.rlike(r"(?idU)^\s*(?:page\s+)?\d+(?:\s+of\s+\d+)?\s*$"), "").otherwise(x))
     return let(_fragments(plain), lambda f: _glue(f, abbreviations))
 
 
@@ -103,16 +103,19 @@ def without_clause_number(s: Column) -> Column:
 
 def is_boilerplate(s: Column) -> Column:
     """Too short, a salutation, letterhead, an annexure title, or mostly not letters."""
-    t = strip(s)
-    low = F.lower(t)
-    letters = F.length(t) - F.length(F.regexp_replace(t, r"\p{L}", ""))
-    return (
-        (F.length(t) < 25)
-        | low.rlike("(?U)" + L.BOILERPLATE_START)
-        | (low.contains(L.LETTERHEAD) & (F.length(t) < 80))
-        | (low.rlike("(?U)" + L.ANNEX_START) & (F.length(t) < 60))
-        | (letters < F.length(t) * 0.5)
-    )
+
+    def of(t: Column) -> Column:
+        low = F.lower(t)
+        letters = F.length(t) - F.length(F.regexp_replace(t, r"\p{L}+", ""))
+        return (
+            (F.length(t) < 25)
+            | low.rlike("(?U)" + L.BOILERPLATE_START)
+            | ((F.length(t) < 80) & low.contains(L.LETTERHEAD))
+            | ((F.length(t) < 60) & low.rlike("(?U)" + L.ANNEX_START))
+            | (letters < F.length(t) * 0.5)
+        )
+
+    return let(strip(s), of)
 
 
 def blocks(docs: DataFrame, text: str = "document_text", key: str = "circular_id") -> DataFrame:
@@ -135,8 +138,8 @@ def units(docs: DataFrame, text: str = "document_text", key: str = "circular_id"
         bodies = F.filter(F.split(F.substring_index(part, HEAD, -1), CUT), lambda x: x != "")
 
         def of_body(body: Column, name: Column) -> Column:
-            number = clause_number(body)
-            return F.transform(line_sentences(without_clause_number(body)), lambda s: F.struct(s.alias("sentence"), name.alias("section"), number.alias("clause_number")))
+            sentences = line_sentences(without_clause_number(body))  # the number is taken once a body, not again for each sentence
+            return let(clause_number(body), lambda number: F.transform(sentences, lambda s: F.struct(s.alias("sentence"), name.alias("section"), number.alias("clause_number"))))
 
         return let(section, lambda name: F.flatten(F.transform(bodies, lambda b: of_body(b, name))))
 
@@ -145,10 +148,6 @@ def units(docs: DataFrame, text: str = "document_text", key: str = "circular_id"
     return rows.select(key, (F.col("pos") + 1).alias("order"), "u.sentence", "u.section", "u.clause_number", *carry)
 
 
-#: Characters that count as white space at the ends of a text.
-WHITE = "\t\n\x0b\x0c\r \x85\xa0\u1680\u2000\u2001\u2002\u2003\u2004\u2005\u2006\u2007\u2008\u2009\u200a\u2028\u2029\u202f\u205f\u3000"
-
-
 def folded(docs: DataFrame, key: str, pieces: Column, fold: Callable[[list[dict]], Iterator[tuple[str, str]]]) -> DataFrame:
     """(key, place, text, section) of what ``fold`` makes of each row's array of structs, in one pass over it.
 
