@@ -11,7 +11,7 @@ from statuta.operators import text as T
 from statuta.operators import training as TR
 from statuta.plans import views as V
 from statuta.plans.text_queries import STOPS, tf_sql
-from statuta.session import scratch_path
+from statuta.session import materialize, scratch_path
 
 FEATURES = ("digit_ratio", "punct_ratio", "caps_ratio", "comma_density")
 STEPS, RATE, RIDGE = 25, 2.0, 0.001
@@ -25,8 +25,6 @@ def _featured(spark, d):
 
 
 def _scored(spark, d):
-    from statuta.session import materialize
-
     rows = materialize(_featured(spark, d), "featured")
     head = TR.fit_dense(rows.filter("not held_out"), FEATURES, steps=STEPS, rate=RATE, ridge=RIDGE)
     return head, rows.withColumn("probability", head.probability()).withColumn("predicted", (F.col("probability") >= 0.5).cast("int"))
@@ -81,10 +79,11 @@ def recognised_documents(spark, d):
     share = lambda marks: F.size(F.filter("w", lambda x: x.isin(*marks))) / F.greatest(F.size("w"), F.lit(1))
     scores = F.create_map(*[x for lang, marks in FAMILY_WORDS.items() for x in (F.lit(lang), share(marks))])
     rows = windows.withColumn("w", words).select("circular_id", "window_no", share([m for marks in FAMILY_WORDS.values() for m in marks]).alias("circular_probability"), scores.alias("family_scores"))
-    texts = docs.select(F.col("circular_id").alias("id"), F.col("document_text").alias("text"))
-    vectors = S.tfidf(texts, longest=1, stops=STOPS)
-    kept = S.save_centroids(S.centroids(vectors, docs.select(F.col("circular_id").alias("id"), F.col("lang").alias("family"))), scratch_path(spark, "centroids"))
-    out = K.recognise(rows, S.novelty(vectors, kept), sure_at=0.1)
+    rows = materialize(rows, "windows")  # two sums read them: words are taken from the windows once
+    texts = docs.select(F.col("circular_id").alias("id"), F.col("lang").alias("family"), F.col("document_text").alias("text"))
+    vectors = S.family_texts(texts, stops=STOPS)
+    kept = S.save_centroids(S.family_means(vectors, texts), scratch_path(spark, "centroids"))
+    out = K.recognise(rows, S.family_novelty(vectors, kept), sure_at=0.1)
     return out.select("circular_id", "circular_confidence", "windows_analysed", "family", "family_confidence", "novelty", "is_novel_topic", "is_circular")
 
 
