@@ -45,16 +45,17 @@ def training_report(spark, d):
 
 
 def _role_terms(spark, d):
-    """(id, role, term, tf) of turns: words and character trigrams under their marks."""
+    """(id, role, term, tf) of turns: words and character trigrams under their marks; turns are dealt by id, so that terms are counted where they are."""
     mark = lambda a, p: F.transform(a, lambda t: F.concat(F.lit(p), t))
     terms = F.concat(mark(S.word_terms(F.col("text"), 1, STOPS), "word__"), mark(S.char_terms(F.col("text"), 3, 3), "char__"))
     turns = V.turns(spark, d).select(F.concat_ws(":", F.col("circular_id").cast("string"), F.col("id").cast("string")).alias("id"), F.coalesce("role", F.lit("")).alias("role"), "text")
-    return turns.select("id", "role", F.explode(terms).alias("term")).groupBy("id", "role", "term").agg(F.count(F.lit(1)).alias("tf"))
+    parts = int(spark.conf.get("spark.sql.shuffle.partitions"))  # a number is given, as a few large parts would leave cores idle
+    return turns.repartition(parts, "id").select("id", "role", F.explode(terms).alias("term")).groupBy("id", "role", "term").agg(F.count(F.lit(1)).alias("tf"))
 
 
 def explain_terms(spark, d):
     """What speaks for and against a turn being the user's, by a table of log odds of its terms."""
-    counts = _role_terms(spark, d)
+    counts = materialize(_role_terms(spark, d), "role-terms")  # the odds and the values read them
     odds = F.log((1 + F.count_if(F.col("role") == "user")) / (1 + F.count_if(F.col("role") != "user")))
     table = counts.groupBy("term").agg(F.bround(odds, 6).alias("weight"))
     values = counts.select("id", "term", (1 + F.log("tf")).alias("value"))
