@@ -163,8 +163,11 @@ def report(rows: DataFrame, kind: str | None = None) -> DataFrame:
 
 def with_steps(acts: DataFrame, register: DataFrame) -> DataFrame:
     """Actions with the six-step procedure of their obligation (left join)."""
-    more = register.select("obligation_id", X.template_steps(F.col("clause_reference"), F.col("required_action"), F.col("evidence_requirements"), F.col("responsible_party"), F.col("deadline")).alias("procedure"))
-    return acts.join(more, "obligation_id", "left")
+    names = ("clause_reference", "required_action", "evidence_requirements", "responsible_party", "deadline")
+    # only the fields are joined; the steps, some hundred characters a row, are written after it
+    fields = register.select("obligation_id", F.struct(*names).alias("_of"))
+    steps = X.template_steps(*[F.col(f"_of.{n}") for n in names])
+    return acts.join(fields, "obligation_id", "left").withColumn("procedure", F.when(F.col("_of").isNotNull(), steps)).drop("_of")
 
 
 def circular_card(rows: DataFrame, acts: DataFrame, high_ids: int = 5) -> DataFrame:

@@ -8,6 +8,7 @@ from statuta.operators import changes as CH
 from statuta.operators import evaluate as EV
 from statuta.operators import graph as G
 from statuta.operators import insights as I
+from statuta.operators import risk as K
 from statuta.operators import similarity as S
 from statuta.plans import model_queries as M
 from statuta.sources import buckets as B
@@ -121,3 +122,17 @@ def test_a_stream_takes_any_number_of_files_in_two_batches(spark, tmp_path):
     for n in (1, 2, 7):
         spark.range(100).repartition(n).write.json(str(tmp_path / f"s{n}"))
     assert [M._half(spark, str(tmp_path / f"s{n}"), "text") for n in (1, 2, 7)] == [1, 1, 4]
+
+
+def test_procedures_are_written_after_their_join(spark):
+    kinds = "obligation_id int, clause_reference string, required_action string, evidence_requirements array<string>, responsible_party string, deadline string"
+    register = spark.createDataFrame([(1, "Clause 4", "File it", ["a", "b", "c", "d"], "Desk", "1998-08-02"), (2, None, None, None, None, None)], kinds)
+    found = K.with_steps(spark.createDataFrame([(1,), (2,), (3,)], "obligation_id int"), register)
+    # the steps, most of them fixed text, would be sorted with every row
+    above, below = plan(found).split("Join LeftOuter")
+    assert "Step 6" in above and "Step 6" not in below
+    assert found.columns == ["obligation_id", "procedure"]
+    got = {r.obligation_id: r.procedure for r in found.collect()}
+    assert got[3] is None and len(got[1]) == len(got[2]) == 6  # no obligation, and one without any field
+    assert "evidence — a, b, c. Store" in got[1][3] and got[1][4].endswith("to Desk for sign-off before 1998-08-02.")
+    assert got[2][4].endswith("to Compliance Officer for sign-off before the applicable regulatory deadline.")
