@@ -93,7 +93,9 @@ def field_extraction(spark, d):
     from statuta.operators.classify import extract_obligations
 
     docs = V.documents(spark, d).withColumn("title", F.concat(F.lit("Document "), F.col("circular_id").cast("string")))
-    return extract_obligations(docs, threshold=0.1).select("obligation_id", "circular_id", "order", "title", "responsible_party", "deadline", "severity", "confidence_score")
+    found = extract_obligations(docs, threshold=0.1)
+    lists = [c for c, kind in found.dtypes if kind == "array<string>"]
+    return found.withColumns({c: F.array_join(c, "\n") for c in lists} | {"evidence_checklist": F.to_json("evidence_checklist")})
 
 
 def last_six_turns(spark, d):
